@@ -3,12 +3,10 @@
 Two documents join when the Jaccard similarity of their sets of word n-grams is at least
 ``threshold``. The search is exact over the hashed n-grams: PartEnum turns the threshold into a
 bound k on the symmetric difference for a band of set sizes, hashes the feature domain into
-n1 = k + 1 + t partitions, and uses that at most k of them can differ between two similar sets,
-so that at least 1 + t projections agree. A projection that holds only common features (or none)
-is trivial; a set with at most t trivial projections leaves them out, for then one of the agreeing
-ones is not trivial. Sets with more trivial ones give all of theirs, so no pair is missed and the
-projections that half the corpus shares seldom become signatures. What counts as common changes the
-work, never the result.
+n1 = ceil((k + 1) / (SPARE + 1)) partitions, of which one differs in at most SPARE features, and
+each of these into SPLIT parts, of which all but SPARE then agree; every choice of SPLIT - SPARE
+parts of a partition is a signature. More parts make a signature longer, hence rarer among
+unrelated documents, at the price of more signatures.
 
 A set gives signatures in its own size band and, where a partner of the next band is in reach, in
 that one too. Signatures are sorted, the smallest document of each run leads it, and the pairs of
@@ -18,6 +16,7 @@ a row a signature and a set a membership, never a pair.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint, mix64, pick
 
 WORD = re.compile(r"\w+")
-FIRST_BAND = 4
+FIRST_BAND, SPARE, SPLIT = 4, 1, 4
 
 
 def words_of(text: str) -> list[str]:
@@ -69,14 +68,8 @@ def most_different(a: int, b: int, threshold: float) -> int:
     return math.floor((1 - threshold) / (1 + threshold) * (a + b) + 1e-9)
 
 
-def plan_band(hi: int, threshold: float) -> tuple[int, int]:
-    """(k, t) of the instance of a band: both sets have at most hi members."""
-    k = most_different(hi, hi, threshold)
-    return k, 1 + (k + 1) // 6
-
-
-def signatures(sets: list[np.ndarray], threshold: float, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, index of the set) of all sets. Each set is sorted and holds no repeats."""
+def signatures(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, index of the set) of all sets. A set holds no repeats; an empty one gives none."""
     sizes = np.array([len(s) for s in sets], np.int64)
     if not sizes.size or not sizes.max():
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -84,41 +77,26 @@ def signatures(sets: list[np.ndarray], threshold: float, common: np.ndarray) ->
     los = np.array([b[0] for b in table])
     own = np.searchsorted(los, sizes, side="right") - 1
     reach = np.searchsorted(los, np.floor(sizes / threshold + 1e-9), side="right") - 1
-    kt = np.array([plan_band(hi, threshold) for _, hi in table])
-    alive = sizes > 0
-    idx = np.concatenate([np.flatnonzero(alive), *[np.flatnonzero(alive & (reach >= own + d)) for d in range(1, int((reach - own).max()) + 1)]])
-    shift = np.concatenate([np.full(int((alive & (reach >= own + d)).sum()), d) for d in range(0, int((reach - own).max()) + 1)])
-    band = own[idx] + shift
-    n1 = kt[band, 0] + 1 + kt[band, 1]
     sigs, owners = [], []
-    start = 0
-    cost = np.cumsum(sizes[idx] + n1)
-    while start < len(idx):  # a few million cells at a time
-        end = max(start + 1, int(np.searchsorted(cost, (cost[start - 1] if start else 0) + 2_000_000)))
-        who, at, parts = idx[start:end], band[start:end], n1[start:end]
-        n = sizes[who]
-        feats = np.concatenate([sets[i] for i in who]).astype(np.uint64)
-        if len(common):
-            spot = np.minimum(np.searchsorted(common, feats), len(common) - 1)
-            rare = common[spot] != feats
-        else:
-            rare = np.ones(len(feats), bool)
-        row = np.repeat(np.arange(len(who)), n)
-        h = mix64(feats + np.uint64(0x9E3779B97F4A7C15) * (at[row].astype(np.uint64) + np.uint64(1)))
-        part = ((h >> np.uint64(32)) * parts[row].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        base = np.concatenate([[0], np.cumsum(parts)])
-        cell = base[row] + part
-        total = np.zeros(base[-1], np.uint64)
-        np.add.at(total, cell, mix64(h))
-        heavy = np.bincount(cell[rare], minlength=base[-1]) > 0
-        of = np.repeat(np.arange(len(who)), parts)
-        trivial = np.bincount(of[~heavy], minlength=len(who))
-        emit = heavy | (trivial > kt[at, 1])[of]
-        number = (np.arange(base[-1]) - base[:-1][of]).astype(np.uint64)
-        key = mix64(mix64(total + number) + at[of].astype(np.uint64))
-        sigs.append(key[emit].view(np.int64))
-        owners.append(who[of[emit]])
-        start = end
+    for later in range(int((reach - own).max()) + 1):
+        for band in np.unique(own[(sizes > 0) & (reach >= own + later)]).tolist():
+            who = np.flatnonzero((sizes > 0) & (own == band) & (reach >= band + later))
+            at = band + later
+            k = most_different(table[at][1], table[at][1], threshold)
+            spare, split = (SPARE, SPLIT) if k else (0, 1)
+            n1 = -(-(k + 1) // (spare + 1))
+            feats = np.concatenate([sets[i] for i in who]).astype(np.uint64)
+            row = np.repeat(np.arange(len(who)), sizes[who])
+            h = mix64(feats + np.uint64(0x9E3779B97F4A7C15 * (at + 1) & (1 << 64) - 1))
+            cell = row * (n1 * split) + ((h >> np.uint64(32)) * np.uint64(n1 * split) >> np.uint64(32)).astype(np.int64)
+            total = np.zeros(len(who) * n1 * split, np.uint64)
+            np.add.at(total, cell, mix64(h))
+            total = total.reshape(len(who), n1, split)
+            number = np.arange(n1, dtype=np.uint64) * np.uint64(64)
+            for c, chosen in enumerate(itertools.combinations(range(split), split - spare)):
+                key = mix64(mix64(total[:, :, list(chosen)].sum(2) + number + np.uint64(c)) + np.uint64(at))
+                sigs.append(key.ravel().view(np.int64))
+                owners.append(np.repeat(who, n1))
     return np.concatenate(sigs), np.concatenate(owners)
 
 
@@ -185,33 +163,6 @@ def feature_sets(docs: DataFrame, n: int) -> DataFrame:
     return base.mapInArrow(extract, "doc_id long, feats array<int>").filter(F.size("feats") > 0)
 
 
-def common_features(sets: DataFrame, share: float) -> np.ndarray:
-    """Features that at least about half of ``share`` of the documents hold, sorted.
-
-    A feature that a share of all documents hold is held by that share in some partition, so each
-    partition reports its own frequent ones with their counts and only those whose counts add up
-    stay; they number at most (mean set size) * 2 / share, whatever the corpus.
-    """
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, n = np.empty(0, np.int32), np.empty(0, np.int64), 0
-        for batch in batches:
-            n += batch.num_rows
-            k, c = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
-            both, inverse = np.unique(np.concatenate([keys, k]), return_inverse=True)
-            counts = np.bincount(inverse, np.concatenate([counts, c]), minlength=len(both)).astype(np.int64)
-            keys = both
-        often = counts >= max(2, share * n)
-        rows = pa.array(keys[often]), pa.array(counts[often]), pa.array(np.zeros(int(often.sum()), np.int64))
-        yield pa.RecordBatch.from_arrays(list(rows), ["f", "c", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int32()), pa.array([0], pa.int64()), pa.array([n], pa.int64())], ["f", "c", "n"])
-
-    found = sets.select("feats").mapInArrow(local, "f int, c long, n long").groupBy("f").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
-    total = found.agg(F.max("n").alias("total"))
-    often = found.crossJoin(F.broadcast(total)).filter("f is not null").filter(F.col("c") >= F.col("total") * (share / 2))
-    return np.sort(often.select("f").toPandas()["f"].to_numpy(np.int32).view(np.uint32)).astype(np.uint64)
-
-
 def leaders(sigs: DataFrame) -> DataFrame:
     """(leader, member) of each run of equal signatures; the smallest document leads."""
 
@@ -239,7 +190,7 @@ def leaders(sigs: DataFrame) -> DataFrame:
     return ordered.mapInArrow(runs, "leader long, member long").distinct()
 
 
-def verified(docs: DataFrame, threshold: float = 0.8, n: int = 1, common_share: float = 0.001, chains: bool = False) -> DataFrame:
+def verified(docs: DataFrame, threshold: float = 0.855, n: int = 1, chains: bool = False) -> DataFrame:
     """Pairs doc_a < doc_b of documents with jaccard >= threshold.
 
     chains=False: every pair of distinct sets (their smallest documents stand for equal sets), and
@@ -247,8 +198,6 @@ def verified(docs: DataFrame, threshold: float = 0.8, n: int = 1, common_share:
     as hold each connected group together.
     """
     sets = checkpoint(feature_sets(docs, n))
-    common = common_features(sets, common_share)
-    handle = docs.sparkSession.sparkContext.broadcast(common)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,7 +205,7 @@ def verified(docs: DataFrame, threshold: float = 0.8, n: int = 1, common_share:
                 part = batch.slice(lo, 2000)
                 ids, col = part.column(0).to_numpy(), part.column(1)
                 ends, flat = col.offsets.to_numpy(), col.values.to_numpy().view(np.uint32)
-                sig, who = signatures([np.sort(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])], threshold, handle.value)
+                sig, who = signatures([flat[a:b] for a, b in zip(ends[:-1], ends[1:])], threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(ids[who])], ["sig", "doc_id"])
 
     star = checkpoint(leaders(sets.mapInArrow(sign, "sig long, doc_id long")))
@@ -309,7 +258,7 @@ def spanning(m: int, x: np.ndarray, y: np.ndarray, jac: np.ndarray) -> tuple[np.
     return x[take], y[take], jac[take]
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 1) -> DataFrame:
+def jaccard_join(docs: DataFrame, threshold: float = 0.85, n: int = 1) -> DataFrame:
     """doc_a, doc_b, jaccard of all documents whose n-gram sets reach the threshold.
 
     Null ids, null texts and texts without words join with nothing. Rows that repeat a doc_id with
@@ -322,7 +271,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 1) -> DataFra
     return verified(docs, threshold, n).withColumn("jaccard", F.round("jaccard", 6))
 
 
-def groups(docs: DataFrame, threshold: float = 0.8, n: int = 1) -> DataFrame:
+def groups(docs: DataFrame, threshold: float = 0.85, n: int = 1) -> DataFrame:
     """doc_id, group_id for every document in a connected group of two or more; group_id is the smallest doc_id."""
     edges = verified(docs, threshold, n, chains=True).select("doc_a", "doc_b")
     return components(edges)

@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), threshold=0.8, n=1)
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), threshold=0.85, n=1)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
