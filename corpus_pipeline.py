@@ -1,8 +1,64 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: documents to packed training windows in five stages.
 
+Toxic documents go, then those without a recognisable language, then all but the smallest doc_id
+of each group of near copies; what is left is repeated by source to flatter weights, and packed.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glyphmill.llm import jaccard_join, language_id, mixing, packing, toxicity
+from glyphmill.llm.common import ensure_checkpoint_dir
+
+#: No stage before the last can be put in SQL (trained models, hashes); tests compare with brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without toxic words, disguised ones included; the rules are learnt from labels."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which the network finds a language with a pooled probability of 0.4 at least."""
+    return language_id.filter_by_language(docs, min_confidence=0.4)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that word sets with Jaccard >= 0.85 connect: the smallest doc_id."""
+    return jaccard_join.keep_one(docs, threshold=0.85, n=1)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document once, small sources up to 1.5 times."""
+    return mixing.remix(docs, max_repeats=1.5)
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of all documents in windows of 8192 bytes."""
+    return packing.pack(docs, capacity=8192)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language_id", keep_known_languages),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_windows),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents; each result is written as Parquet to the shared checkpoint folder and read again."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for number, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{number}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

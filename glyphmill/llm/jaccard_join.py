@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, mix64, pick
+from .common import checkpoint, mix64, pick, positional
 
 WORD = re.compile(r"\w+")
 FIRST_BAND, SPARE, SPLIT = 4, 1, 4
@@ -277,6 +277,25 @@ def groups(docs: DataFrame, threshold: float = 0.85, n: int = 1) -> DataFrame:
     return components(edges)
 
 
+def keep_one(docs: DataFrame, threshold: float = 0.85, n: int = 1) -> DataFrame:
+    """The rows of docs but those of documents with a smaller doc_id in their group, all columns as they were.
+
+    Rows that repeat a doc_id and its text become one; rows without doc_id, text or words stay. Of
+    one doc_id with two texts both stay or go.
+    """
+    flat, where = positional(docs)
+    doc_id, text = F.col(where["doc_id"]), F.col(where["text"])
+    gone = groups(docs, threshold, n).filter("doc_id <> group_id").select(F.col("doc_id").alias("_id")).distinct()
+    repeated = checkpoint(flat.filter(doc_id.isNotNull()).groupBy(doc_id.cast("long").alias("_id")).count().filter("count > 1").select("_id"))
+    kept = flat.join(gone, doc_id.cast("long") == F.col("_id"), "left_anti")
+    if not repeated.isEmpty():
+        again = doc_id.cast("long") == F.col("_id")
+        once = kept.join(repeated, again, "left_semi")
+        once = once.filter(text.isNull()).unionByName(once.filter(text.isNotNull()).dropDuplicates([where["doc_id"], where["text"]]))
+        kept = kept.join(repeated, again, "left_anti").unionByName(once)
+    return kept.toDF(*docs.columns)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """doc_id, group_id (smallest id reachable) by alternating large-star and small-star steps until nothing changes."""
     e = checkpoint(edges.select(F.col("doc_a").alias("u"), F.col("doc_b").alias("v")).filter("u <> v").distinct())

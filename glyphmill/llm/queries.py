@@ -6,9 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, language_id, toxicity
-
-TOKENIZERS = "/opt/tokenizers"
+from . import chat, embedding_dedup, fingerprints, jaccard_join, language_id, mixing, packing, quality, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,18 +17,56 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), capacity=8192)
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), max_repeats=1.5)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.expand(table(spark, sf_dir, "conversations"))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"), samples=32)
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), threshold=0.85, n=1)
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), key="source", target_tokens=1 << 25)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_language_id": op1_language_id,
-    "op4_toxicity": op4_toxicity,
-    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    f.__name__: f
+    for f in (
+        op1_language_id,
+        op2_packing,
+        op3_mixing,
+        op4_toxicity,
+        op5_quality,
+        op6_embedding_dedup,
+        op7_chat_format,
+        op8_fingerprints,
+        op9_ngram_jaccard_join,
+        op10_sharding,
+    )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_chat_format": chat.EXPAND_SQL}

@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -304,8 +305,6 @@ RESULT = "score double, hits array<string>"
 
 def scorer(docs: DataFrame, model: Model):
     """A column function text -> struct of RESULT."""
-    import pandas as pd
-
     handle = docs.sparkSession.sparkContext.broadcast((model.rules, model.lm))
 
     @F.pandas_udf(RESULT)
