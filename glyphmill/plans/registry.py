@@ -1,4 +1,585 @@
-"""Registered queries and their SQL."""
+"""Registered queries and their SQL. Every query runs over its whole table."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import charclass as C
+from ..functions import text as T
+from ..operators import counts, merging, metrics, serialize, trainer
+from ..operators.trainer import Config
+from ..sources import corpus
+from . import sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+STEPS, FEW, LIMIT, FREQUENT = 16, 8, 40, 15000
+SPECIALS = ["<|endoftext|>", "<pad>"]
+COLLIDING = ["th", "e", "<eos>"]
+VOCAB = 2000
+
+
+def query(oracle: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def load(spark: SparkSession, d: str, name: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def words_of(spark: SparkSession, d: str, mode: str = "whitespace") -> DataFrame:
+    return counts.word_counts(load(spark, d), mode)
+
+
+def big(*names: str) -> list:
+    return [F.col(n).cast("bigint").alias(n) for n in names]
+
+
+def merge_rows(spark: SparkSession, found: list[tuple[str, str, int]]) -> DataFrame:
+    return spark.createDataFrame([(i, a, b, n) for i, (a, b, n) in enumerate(found)], "rank long, left_token string, right_token string, cnt long")
+
+
+def stepwise(spark: SparkSession, d: str, mode: str = "whitespace", steps: int = STEPS, **how):
+    return merging.train_stepwise(words_of(spark, d, mode), steps, **how)
+
+
+def pairs_list(found) -> list[tuple[str, str]]:
+    return [(a, b) for a, b, _ in found]
+
+
+def learned(words: DataFrame, steps: int = STEPS) -> list[tuple[str, str]]:
+    """The first merges, by the incremental trainer."""
+    size = counts.alphabet_counts(words).count()
+    return trainer.collected(trainer.train_table(words, Config(vocab_size=size + steps)))[1]
+
+
+WS_WORDS = f"words AS ({sql.WS_COUNTS})"
+ALPHA = f"{WS_WORDS}, alpha AS ({sql.alphabet()})"
+SYMBOLS = f"{ALPHA}, sym AS (SELECT word, string_split(word, '') AS t, cnt FROM words)"
+PAIRS = f"{SYMBOLS}, pairs AS (SELECT t[i] AS l, t[i + 1] AS r, word, cnt FROM (SELECT *, unnest(range(1, len(t))) AS i FROM sym))"
+EACH_LINE = f"SELECT doc_id, unnest(range(0, len(l)))::BIGINT AS line_no, unnest(l) AS line FROM (SELECT doc_id, {sql.lines('text')} AS l FROM documents)"
+EACH_PIECE = f"SELECT doc_id, line_no, unnest({sql.pieces('line')}) AS piece FROM ({EACH_LINE})"
+
+
+# scans and sources
+
+
+@query()
+def scan_text(spark, d):
+    """Text files read in splits: the documents written as lines, and read again."""
+    from ..functions.shared import shared_folder
+
+    path = shared_folder(spark, "scan")
+    load(spark, d).select(F.regexp_replace("text", "\n", " ").alias("value")).write.text(path)
+    return corpus.scan_lines(spark, [path]).select(F.explode(T.words(F.col("line"))).alias("word")).groupBy("word").agg(F.count("*").alias("cnt"))
+
+
+@query(EACH_LINE)
+def split_lines(spark, d):
+    return corpus.split_lines(load(spark, d)).select("doc_id", *big("line_no"), "line")
+
+
+@query(f"SELECT word, count(*)::BIGINT AS cnt FROM (SELECT unnest({sql.words('text')}) AS word FROM (SELECT text FROM documents UNION ALL SELECT text FROM benchmark UNION ALL SELECT text FROM conversations)) GROUP BY word")
+def multi_source_counts(spark, d):
+    every = [load(spark, d, t).select("text") for t in ("documents", "benchmark", "conversations")]
+    return counts.word_counts(every[0].unionByName(every[1]).unionByName(every[2]))
+
+
+@query("SELECT word, (2 * cnt + length(word))::BIGINT AS cnt FROM (" + sql.WS_COUNTS + ")")
+def words_tsv_counts(spark, d):
+    w = words_of(spark, d)
+    row = lambda n: F.concat("word", F.lit("\t"), n.cast("string")).alias("value")
+    return corpus.parse_counts(w.select(F.explode(F.array(row(F.col("cnt") * 2), row(F.char_length("word"))))).select(F.col("col").alias("value")))
+
+
+@query("SELECT doc_id, text FROM (SELECT *, coalesce(sum(strlen(text) + 2) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents WHERE text IS NOT NULL) WHERE before < 1000000")
+def corpus_slice(spark, d):
+    return corpus.corpus_slice(load(spark, d), 1_000_000).select("doc_id", "text")
+
+
+@query("SELECT page_id, array_to_string(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1), chr(10)) AS body FROM pages")
+def html_paragraph_text(spark, d):
+    return load(spark, d, "pages").select("page_id", corpus.paragraphs(F.col("html")).alias("body"))
+
+
+@query("SELECT doc_id, lang, row_number() OVER (ORDER BY n, lang)::BIGINT AS position FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents)")
+def round_robin_sample(spark, d):
+    return corpus.round_robin(load(spark, d).select("doc_id", "lang")).select("doc_id", "lang", "position")
+
+
+@query()
+def utf8_guard(spark, d):
+    return corpus.utf8_guard(spark, f"{d}/documents.parquet").select("n_bytes", "valid")
+
+
+# pretokens
+
+
+@query(f"SELECT doc_id, unnest(t) AS word, unnest(range(0, len(t)))::BIGINT AS pos FROM (SELECT doc_id, {sql.words('text')} AS t FROM documents)")
+def ws_tokens(spark, d):
+    return load(spark, d).select("doc_id", F.posexplode(T.words(F.col("text"))).alias("pos", "word")).select("doc_id", "word", *big("pos"))
+
+
+@query(EACH_PIECE)
+def bl_pieces(spark, d):
+    return corpus.split_lines(load(spark, d)).select("doc_id", *big("line_no"), F.explode(T.pieces(F.col("line"))).alias("piece"))
+
+
+@query(f"SELECT piece, cnt FROM ({sql.RAW_COUNTS}) WHERE regexp_full_match(piece, {sql.q(C.CONTRACTION)})")
+def bl_contractions(spark, d):
+    return counts.pretokens(load(spark, d), "bytelevel").filter(F.col("word").rlike(f"^{C.CONTRACTION}$")).groupBy(F.col("word").alias("piece")).agg(F.count("*").alias("cnt"))
+
+
+@query(f"SELECT length(piece)::BIGINT AS run, count(*)::BIGINT AS cnt FROM ({EACH_PIECE}) WHERE regexp_full_match(piece, {sql.q(f'[{C.WS}]+')}) GROUP BY 1")
+def bl_ws_runs(spark, d):
+    blank = counts.pretokens(load(spark, d), "bytelevel").filter(F.col("word").rlike(f"^[{C.WS}]+$"))
+    return blank.groupBy(F.char_length("word").cast("bigint").alias("run")).agg(F.count("*").alias("cnt"))
+
+
+def _class(letter: str, number: str, space: str, match: str) -> str:
+    return f"CASE WHEN {match}(ch, '{letter}') THEN 'letter' WHEN {match}(ch, '{number}') THEN 'number' WHEN {match}(ch, '{space}') THEN 'space' ELSE 'other' END"
+
+
+@query(f"SELECT {_class(f'[{C.SQL_L}]', f'[{C.SQL_N}]', f'[{C.WS}]', 'regexp_full_match')} AS class, count(*)::BIGINT AS distinct_chars, sum(cnt)::BIGINT AS cnt FROM ({sql.alphabet('(SELECT text AS word, 1 AS cnt FROM documents)')}) GROUP BY 1")
+def char_classes(spark, d):
+    chars = counts.alphabet_counts(load(spark, d).select(F.col("text").alias("word"), F.lit(1).alias("cnt")))
+    is_ = lambda c: F.col("ch").rlike(f"^[{c}]$")
+    kind = F.when(is_(C.L), "letter").when(is_(C.N), "number").when(is_(C.WS), "space").otherwise("other")
+    return chars.groupBy(kind.alias("class")).agg(F.count("*").alias("distinct_chars"), F.sum("cnt").alias("cnt"))
+
+
+@query(f"SELECT piece, {sql.shown('piece')} AS shown FROM ({sql.RAW_COUNTS})")
+def bl_byte_map(spark, d):
+    return counts.pretokens(load(spark, d), "bytelevel").distinct().select(F.col("word").alias("piece"), T.show_bytes(F.col("word")).alias("shown"))
+
+
+@query(f"SELECT piece, piece AS back FROM ({sql.RAW_COUNTS})")
+def bl_roundtrip(spark, d):
+    return counts.pretokens(load(spark, d), "bytelevel").distinct().select(F.col("word").alias("piece"), T.read_bytes(T.show_bytes(F.col("word"))).alias("back"))
+
+
+@query(f"SELECT doc_id, line_no, string_agg({sql.shown('piece')}, chr(9) ORDER BY i) AS out FROM (SELECT doc_id, line_no, unnest(range(0, len(p))) AS i, unnest(p) AS piece FROM (SELECT doc_id, line_no, {sql.pieces('line')} AS p FROM ({EACH_LINE}))) GROUP BY ALL")
+def pretok_lines(spark, d):
+    return corpus.split_lines(load(spark, d)).select("doc_id", *big("line_no"), F.array_join(F.transform(T.pieces(F.col("line")), T.show_bytes), "\t").alias("out"))
+
+
+# aggregations
+
+
+@query(sql.WS_COUNTS)
+def ws_word_counts(spark, d):
+    return words_of(spark, d)
+
+
+@query(sql.BL_COUNTS)
+def bl_word_counts(spark, d):
+    return words_of(spark, d, "bytelevel")
+
+
+@query(f"WITH {ALPHA} SELECT * FROM alpha")
+def alphabet_counts(spark, d):
+    return counts.alphabet_counts(words_of(spark, d))
+
+
+def _symbols(spark, d):
+    return words_of(spark, d).select("word", "cnt", T.characters(F.col("word")).alias("symbols"))
+
+
+@query(f'WITH {PAIRS} SELECT l AS "left", r AS "right", sum(cnt)::BIGINT AS cnt FROM pairs GROUP BY ALL')
+def pair_counts(spark, d):
+    return counts.pair_counts(_symbols(spark, d))
+
+
+@query(f'WITH {PAIRS} SELECT l AS "left", r AS "right", count(DISTINCT word)::BIGINT AS n_words FROM pairs GROUP BY ALL')
+def pair_postings(spark, d):
+    return counts.pair_postings(_symbols(spark, d))
+
+
+@query(f"WITH {PAIRS} SELECT (SELECT count(*) FROM words)::BIGINT AS n_words, (SELECT sum(len(t)) FROM sym)::BIGINT AS n_symbols, count(DISTINCT (l, r))::BIGINT AS n_pairs, count(DISTINCT (l, r, word))::BIGINT AS n_postings FROM pairs")
+def corpus_stats(spark, d):
+    s = _symbols(spark, d)
+    posted = counts.pair_postings(s).agg(F.count("*").alias("n_pairs"), F.sum("n_words").alias("n_postings"))
+    return s.agg(F.count("*").alias("n_words"), F.sum(F.size("symbols")).alias("n_symbols")).crossJoin(posted)
+
+
+# alphabets and vocabularies
+
+
+@query(f"WITH {ALPHA} {sql.vocabulary()}")
+def alphabet_ids(spark, d):
+    return counts.vocabulary(counts.alphabet_counts(words_of(spark, d)))
+
+
+@query(f"WITH {ALPHA} SELECT ch, cnt FROM alpha ORDER BY cnt DESC, ch DESC LIMIT {LIMIT}")
+def alphabet_limited(spark, d):
+    return counts.limited(counts.alphabet_counts(words_of(spark, d)), LIMIT)
+
+
+@query(f"WITH {ALPHA}, forced AS (SELECT ch, max(cnt) AS cnt FROM (SELECT * FROM alpha UNION ALL SELECT unnest(['Ω', 'e']), 9223372036854775807) GROUP BY ch), kept AS (SELECT ch FROM forced ORDER BY cnt DESC, ch DESC LIMIT {LIMIT}) {sql.vocabulary((), 'kept')}")
+def alphabet_initial(spark, d):
+    return counts.vocabulary(counts.limited(counts.alphabet_counts(words_of(spark, d)), LIMIT, ["Ω", "e"]))
+
+
+@query(f"WITH {ALPHA} {sql.vocabulary([*SPECIALS, 'e', 'e'])}")
+def vocab_specials(spark, d):
+    return counts.vocabulary(counts.alphabet_counts(words_of(spark, d)), [*SPECIALS, "e", "e"])
+
+
+def _decorated(c: str, i: str, n: str) -> str:
+    return f"(CASE WHEN {i} > 1 THEN '##' ELSE '' END || {c} || CASE WHEN {i} = {n} THEN '</w>' ELSE '' END)"
+
+
+DECORATED = f"{SYMBOLS}, kept AS (SELECT ch FROM alpha ORDER BY cnt DESC, ch DESC LIMIT {LIMIT}), each AS (SELECT word, cnt, i, t[i] AS c, {_decorated('t[i]', 'i', 'len(t)')} AS tok FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM sym) WHERE t[i] IN (SELECT ch FROM kept))"
+
+
+@query(f"WITH {DECORATED}, new AS (SELECT DISTINCT tok FROM each WHERE tok NOT IN (SELECT ch FROM kept)) SELECT ({LIMIT} - 1 + row_number() OVER (ORDER BY tok))::BIGINT AS id, tok AS token FROM new")
+def decorated_alphabet(spark, d):
+    w = words_of(spark, d)
+    plain = counts.limited(counts.alphabet_counts(w), LIMIT)
+    vocab = counts.vocabulary(plain)
+    found = counts.symbols(w, vocab, "##", "</w>").select(F.explode("symbols").alias("token")).distinct()
+    found = found.join(plain.select(F.col("ch").alias("token")), "token", "left_anti")
+    return found.select((F.row_number().over(W.orderBy("token")) + F.lit(LIMIT - 1)).cast("bigint").alias("id"), "token")
+
+
+@query(f"WITH {SYMBOLS}, kept AS (SELECT ch FROM alpha ORDER BY cnt DESC, ch DESC LIMIT {LIMIT}), v AS ({sql.vocabulary((), 'kept')}) SELECT word, cnt, coalesce((SELECT string_agg(v.id::VARCHAR, ' ' ORDER BY x.i) FROM (SELECT unnest(t) AS c, unnest(range(0, len(t))) AS i) x JOIN v ON v.token = x.c), '') AS ids FROM sym")
+def word_symbols(spark, d):
+    w = words_of(spark, d)
+    vocab = counts.vocabulary(counts.limited(counts.alphabet_counts(w), LIMIT))
+    id_of = F.broadcast(vocab.agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("id_of")))
+    ids = F.transform("symbols", lambda s: F.col("id_of")[s].cast("string"))
+    return counts.symbols(w, vocab).crossJoin(id_of).select("word", "cnt", F.array_join(ids, " ").alias("ids"))
+
+
+@query(f"WITH {DECORATED} SELECT s.word, s.cnt, coalesce(string_agg(e.tok, ' ' ORDER BY e.i), '') AS symbols FROM sym s LEFT JOIN each e ON e.word = s.word GROUP BY s.word, s.cnt")
+def decorated_symbols(spark, d):
+    w = words_of(spark, d)
+    vocab = counts.vocabulary(counts.limited(counts.alphabet_counts(w), LIMIT))
+    return counts.symbols(w, vocab, "##", "</w>").select("word", "cnt", F.array_join("symbols", " ").alias("symbols"))
+
+
+def _top(spark, d, k):
+    w = words_of(spark, d)
+    vocab = counts.vocabulary(counts.alphabet_counts(w))
+    return counts.top_pairs(counts.pair_counts(counts.symbols(w, vocab)), vocab, k)
+
+
+def _top_sql(k: int) -> str:
+    return f'WITH {PAIRS}, v AS ({sql.vocabulary()}) SELECT l AS "left", r AS "right", sum(cnt)::BIGINT AS cnt, any_value(a.id) AS left_id, any_value(b.id) AS right_id FROM pairs JOIN v a ON a.token = l JOIN v b ON b.token = r GROUP BY l, r ORDER BY cnt DESC, left_id, right_id LIMIT {k}'
+
+
+@query(_top_sql(1))
+def top_pair(spark, d):
+    return _top(spark, d, 1)
+
+
+@query(_top_sql(25))
+def top_pairs(spark, d):
+    return _top(spark, d, 25)
+
+
+# training
+
+
+@query(sql.merges(sql.WS_COUNTS, 1) + "SELECT word, trim(replace(w, chr(1) || chr(1), ' '), chr(1)) AS tokens, cnt FROM w1")
+def merge_step(spark, d):
+    w = words_of(spark, d)
+    found, _ = merging.train_stepwise(w, 1)
+    return merging.encode(w, pairs_list(found)).select("word", F.array_join("tokens", " ").alias("tokens"), "cnt")
+
+
+@query(sql.merges(sql.WS_COUNTS, STEPS) + "SELECT * FROM every")
+def bpe_train_naive(spark, d):
+    return merge_rows(spark, stepwise(spark, d)[0])
+
+
+def incremental(spark, d, mode="whitespace", steps=None, **how) -> DataFrame:
+    """The incremental trainer's merges; with steps, the vocabulary is that much larger than specials and alphabet."""
+    w = words_of(spark, d, mode).persist()
+    if steps is not None:
+        first = counts.vocabulary(counts.limited(counts.alphabet_counts(w), how.get("limit_alphabet")), how.get("special_tokens", ()))
+        how["vocab_size"] = first.count() + steps
+    return trainer.train_table(w, Config(**how))
+
+
+def only_merges(table: DataFrame) -> DataFrame:
+    return table.filter("kind = 'merge'").select(F.col("id").alias("rank"), F.col("left").alias("left_token"), F.col("right").alias("right_token"))
+
+
+NO_COUNT = "SELECT rank, left_token, right_token FROM every"
+
+
+@query(sql.merges(sql.WS_COUNTS, STEPS, SPECIALS) + NO_COUNT)
+def bpe_train_ws(spark, d):
+    return only_merges(incremental(spark, d, steps=STEPS, special_tokens=SPECIALS))
+
+
+@query(sql.merges(sql.BL_COUNTS, STEPS) + NO_COUNT)
+def bpe_train_bl(spark, d):
+    return only_merges(incremental(spark, d, "bytelevel", steps=STEPS))
+
+
+@query()
+def bpe_train_ws_2k(spark, d):
+    return incremental(spark, d, vocab_size=VOCAB, special_tokens=SPECIALS)
+
+
+@query()
+def bpe_train_bl_2k(spark, d):
+    return incremental(spark, d, "bytelevel", vocab_size=VOCAB)
+
+
+@query(sql.merges(sql.WS_COUNTS, STEPS, (), None, FREQUENT) + NO_COUNT)
+def bpe_min_frequency(spark, d):
+    return only_merges(incremental(spark, d, steps=STEPS, min_frequency=FREQUENT))
+
+
+@query(sql.merges(sql.WS_COUNTS, STEPS, (), LIMIT) + NO_COUNT)
+def bpe_limit_alphabet(spark, d):
+    return only_merges(incremental(spark, d, steps=STEPS, limit_alphabet=LIMIT))
+
+
+@query(sql.merges(sql.WS_COUNTS, STEPS, COLLIDING) + "SELECT id, token FROM vocab")
+def bpe_special_collision(spark, d):
+    found, _ = stepwise(spark, d, specials=COLLIDING)
+    first = counts.vocabulary(counts.alphabet_counts(words_of(spark, d)), COLLIDING)
+    known = {r["token"]: r["id"] for r in first.collect()}
+    for a, b, _ in found:
+        known.setdefault(a + b, len(known))
+    return spark.createDataFrame([(i, t) for t, i in known.items()], "id long, token string")
+
+
+@query()
+def bpe_max_token_length(spark, d):
+    return incremental(spark, d, vocab_size=VOCAB, max_token_length=6)
+
+
+@query()
+def bpe_phantom(spark, d):
+    """Prefix and maximal length together, where counts can fall below zero and win as unsigned numbers."""
+    return incremental(spark, d, vocab_size=VOCAB, max_token_length=4, continuing_subword_prefix="##")
+
+
+@query()
+def wordpiece_train(spark, d):
+    return incremental(spark, d, vocab_size=VOCAB, continuing_subword_prefix="##", special_tokens=["[UNK]"])
+
+
+@query(sql.merges(sql.WS_COUNTS, FEW, COLLIDING) + "SELECT DISTINCT ON (left_token, right_token) rank, left_token, right_token FROM (SELECT rank, left_token, right_token FROM every UNION ALL SELECT rank + 100, left_token, right_token FROM every WHERE rank % 2 = 0) ORDER BY left_token, right_token, rank DESC")
+def serialized_merges(spark, d):
+    """Of repeated pairs the last rank stays; every other merge is repeated here to show it."""
+    m = merge_rows(spark, stepwise(spark, d, steps=FEW, specials=COLLIDING)[0]).drop("cnt")
+    log = m.unionByName(m.filter("rank % 2 = 0").withColumn("rank", F.col("rank") + 100))
+    return log.groupBy("left_token", "right_token").agg(F.max("rank").alias("rank"))
+
+
+# sinks
+
+
+@query(sql.merges(sql.WS_COUNTS, STEPS) + "SELECT rank, left_token || ' ' || right_token AS line FROM every")
+def merge_lines(spark, d):
+    return only_merges(incremental(spark, d, steps=STEPS)).select("rank", F.concat_ws(" ", "left_token", "right_token").alias("line"))
+
+
+def _escape_sql(s: str) -> str:
+    out = f"replace(replace({s}, '\\', '\\\\'), '\"', '\\\"')"
+    short = {8: "b", 9: "t", 10: "n", 12: "f", 13: "r"}
+    for c in range(1, 0x20):
+        out = f"replace({out}, chr({c}), {sql.q(chr(92) + short[c] if c in short else f'{chr(92)}u{c:04x}')})"
+    return out
+
+
+@query(f"SELECT doc_id, {_escape_sql('text')} AS escaped FROM documents")
+def json_escape(spark, d):
+    return load(spark, d).select("doc_id", T.json_escaped(F.col("text")).alias("escaped"))
+
+
+@query()
+def vocab_json(spark, d):
+    vocab, _ = trainer.collected(incremental(spark, d, vocab_size=VOCAB))
+    return spark.createDataFrame([(serialize.vocab_json(vocab),)], "document string")
+
+
+@query()
+def tokenizer_json(spark, d):
+    cfg = Config(vocab_size=VOCAB, special_tokens=SPECIALS)
+    vocab, merges = trainer.collected(trainer.train_table(words_of(spark, d, "bytelevel"), cfg))
+    return spark.createDataFrame([(serialize.tokenizer_json(vocab, merges, cfg, "bytelevel"),)], "document string")
+
+
+@query(sql.merges(sql.WS_COUNTS, STEPS, SPECIALS) + "SELECT (SELECT count(*) FROM words)::BIGINT AS n_words, (SELECT count(*) FROM vocab)::BIGINT AS n_vocab, (SELECT count(*) FROM every)::BIGINT AS n_merges")
+def train_summary(spark, d):
+    table = incremental(spark, d, steps=STEPS, special_tokens=SPECIALS)
+    n = lambda k: F.count(F.when(F.col("kind") == k, 1))
+    return words_of(spark, d).agg(F.count("*").alias("n_words")).crossJoin(table.agg(n("vocab").alias("n_vocab"), n("merge").alias("n_merges")))
+
+
+# analytics
+
+
+SPACED = "trim(replace(w, chr(1) || chr(1), ' '), chr(1))"
+
+
+@query(sql.merges(sql.WS_COUNTS, STEPS) + f"SELECT word, cnt, {SPACED} AS tokens, {sql.tokens()}::BIGINT AS n_tokens FROM w{STEPS}")
+def encode_words(spark, d):
+    w = words_of(spark, d)
+    coded = merging.encode(w, learned(w))
+    return coded.select("word", "cnt", F.array_join("tokens", " ").alias("tokens"), F.size("tokens").cast("bigint").alias("n_tokens"))
+
+
+@query(sql.merges(sql.WS_COUNTS, STEPS) + f"SELECT sum(cnt * {sql.tokens()})::BIGINT AS n_tokens, sum(cnt)::BIGINT AS n_words, round(sum(cnt * {sql.tokens()}) / sum(cnt), 6) AS fertility FROM w{STEPS}")
+def fertility(spark, d):
+    w = words_of(spark, d)
+    return metrics.fertility(merging.encode(w, learned(w)))
+
+
+def _compressed_sql(rows: str, by: str = "") -> str:
+    sums = f"SELECT {by + ',' if by else ''} sum(length(word) * cnt)::BIGINT AS n_chars, sum(strlen(word) * cnt)::BIGINT AS n_bytes, sum({sql.tokens()} * cnt)::BIGINT AS n_tokens FROM {rows} {'GROUP BY ' + by if by else ''}"
+    return f"SELECT *, round(n_chars / n_tokens, 6) AS chars_per_token, round(n_bytes / n_tokens, 6) AS bytes_per_token FROM ({sums})"
+
+
+@query(sql.merges(sql.WS_COUNTS, STEPS) + _compressed_sql(f"w{STEPS}"))
+def bytes_per_token(spark, d):
+    w = words_of(spark, d)
+    return metrics.compression(merging.encode(w, learned(w)))
+
+
+LANG_WORDS = f"by_lang AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest({sql.words('text')}) AS word FROM documents) GROUP BY ALL)"
+LANG_ROWS = f"(SELECT b.lang, b.word, b.n AS cnt, w.w FROM by_lang b JOIN w{STEPS} w ON w.word = b.word)"
+
+
+def by_language(docs: DataFrame) -> DataFrame:
+    return docs.select("lang", F.explode(T.words(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("cnt"))
+
+
+def coded_by_language(spark, d) -> DataFrame:
+    rows = by_language(load(spark, d))
+    found = learned(rows.groupBy("word").agg(F.sum("cnt").alias("cnt")))
+    tokens = merging.unwrapped(merging.merge_all(merging.wrapped(T.characters(F.col("word"))), found))
+    return metrics.compression(rows.withColumn("tokens", tokens), "lang")
+
+
+@query(sql.merges(sql.WS_COUNTS, STEPS, also=LANG_WORDS) + f"SELECT arg_max(lang, (chars_per_token, lang)) AS best, arg_min(lang, (chars_per_token, lang)) AS worst, round(stddev_pop(chars_per_token), 6) AS spread FROM ({_compressed_sql(LANG_ROWS, 'lang')})")
+def lang_equity(spark, d):
+    return metrics.equity(coded_by_language(spark, d))
+
+
+@query(sql.merges(sql.WS_COUNTS, STEPS, also=LANG_WORDS) + _compressed_sql(LANG_ROWS, "lang"))
+def lang_compression(spark, d):
+    return coded_by_language(spark, d)
+
+
+CROSS = {"documents": "text", "benchmark": "text", "conversations": "text"}
+
+
+def _counts_of(table: str) -> str:
+    return sql.WS_COUNTS.replace("FROM documents", f"FROM {table}")
+
+
+def _cross_sql() -> str:
+    """Each table's merges on each table's words; CTEs of a training get its number as a suffix."""
+    import re
+
+    parts, names = [], [*CROSS]
+    final = []
+    for k, t in enumerate(names):
+        body = sql.merges(_counts_of(t), FEW)[5:]
+        body = re.sub(r"\b(words|alpha_all|alpha|every|vocab|[vwm]\d+)\b(?! AS w\b)", rf"\1_{k}", body)
+        parts.append(body)
+    for k, trained in enumerate(names):
+        for j, used in enumerate(names):
+            w = "array_to_string(list_transform(string_split(word, ''), lambda c: chr(1) || c || chr(1)), '')"
+            rows = f"SELECT word, cnt, {w} AS w FROM words_{j}"
+            for s in range(1, FEW + 1):
+                rows = f"SELECT word, cnt, replace(w, chr(1) || l || chr(1) || chr(1) || r || chr(1), chr(1) || l || r || chr(1)) AS w FROM ({rows}) CROSS JOIN m{s}_{k}"
+            final.append(f"SELECT '{trained}' AS trained, '{used}' AS used, * FROM ({_compressed_sql(f'({rows})')})")
+    return "WITH " + ",\n".join(parts) + " UNION ALL ".join(final)
+
+
+@query(_cross_sql())
+def cross_domain(spark, d):
+    words = {t: counts.word_counts(load(spark, d, t)) for t in CROSS}
+    merges = {t: learned(w, FEW) for t, w in words.items()}
+    cells = [metrics.compression(merging.encode(words[u], merges[t])).select(F.lit(t).alias("trained"), F.lit(u).alias("used"), "*") for t in CROSS for u in CROSS]
+    out = cells[0]
+    for c in cells[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+ENGLISH = sql.WS_COUNTS.replace("FROM documents", "FROM documents WHERE lang = 'en'")
+
+
+def _two(spark, d):
+    docs = load(spark, d)
+    every = counts.word_counts(docs)
+    english = counts.word_counts(docs.filter("lang = 'en'"))
+    return [learned(w, FEW) for w in (every, english)]
+
+
+def _renamed(spark, found) -> DataFrame:
+    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(found)], "rank long, left string, right string")
+
+
+def _both_sql(final: str) -> str:
+    import re
+
+    a = sql.merges(sql.WS_COUNTS, FEW)[5:]
+    b = re.sub(r"\b(words|alpha_all|alpha|every|vocab|[vwm]\d+)\b", r"\1_b", sql.merges(ENGLISH, FEW)[5:])
+    return f"WITH {a}, {b} {final}"
+
+
+DIFFERENT = "every x FULL JOIN every_b y USING (rank) WHERE (x.left_token, x.right_token) IS DISTINCT FROM (y.left_token, y.right_token)"
+
+
+@query(_both_sql(f"SELECT rank, x.left_token AS left_a, x.right_token AS right_a, y.left_token AS left_b, y.right_token AS right_b FROM {DIFFERENT}"))
+def merge_diff(spark, d):
+    a, b = _two(spark, d)
+    return metrics.merge_diff(_renamed(spark, a), _renamed(spark, b))
+
+
+@query(_both_sql(f"SELECT coalesce(p, n)::BIGINT AS prefix, round(coalesce(p, n) / n, 6) AS fraction FROM (SELECT (SELECT min(rank) FROM {DIFFERENT}) AS p, (SELECT max(rank) + 1 FROM (SELECT rank FROM every UNION ALL SELECT rank FROM every_b)) AS n)"))
+def merge_prefix(spark, d):
+    a, b = _two(spark, d)
+    return metrics.merge_prefix(_renamed(spark, a), _renamed(spark, b))
+
+
+def _vocab_after(spark, d, found, condition="true") -> DataFrame:
+    known = {r["token"]: r["id"] for r in counts.vocabulary(counts.alphabet_counts(counts.word_counts(load(spark, d).filter(condition)))).collect()}
+    for a, b in found:
+        known.setdefault(a + b, len(known))
+    return spark.createDataFrame([(i, t) for t, i in known.items()], "id long, token string")
+
+
+def _vocabs(spark, d):
+    a, b = _two(spark, d)
+    return _vocab_after(spark, d, a), _vocab_after(spark, d, b, "lang = 'en'")
+
+
+@query(_both_sql("SELECT id, x.token AS token_a, y.token AS token_b FROM vocab x FULL JOIN vocab_b y USING (id) WHERE x.token IS DISTINCT FROM y.token"))
+def vocab_diff(spark, d):
+    return metrics.vocab_diff(*_vocabs(spark, d))
+
+
+OVERLAP = "SELECT shared::BIGINT AS shared, total::BIGINT AS total, round(shared / total, 6) AS overlap FROM (SELECT count(*) FILTER (WHERE token IN (SELECT token FROM vocab{0})) AS shared, count(*) AS total FROM vocab_b{0})"
+
+
+@query(_both_sql(OVERLAP.format("")))
+def vocab_overlap(spark, d):
+    return metrics.vocab_overlap(*_vocabs(spark, d))
+
+
+@query(_both_sql(OVERLAP.format(" WHERE id < 50")))
+def rank_overlap(spark, d):
+    return metrics.rank_overlap(*_vocabs(spark, d), 50)
