@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint, positional, unit_hash
 
 NONE = "\x00none"
-STEPS = 60
+STEPS, BROADCAST_SOURCES = 60, 100_000
 
 
 def tempered(shares: list[float], exponent: float) -> list[float]:
@@ -119,6 +119,8 @@ def mixed(docs: DataFrame, target_entropy: float | None = None, max_repeats: flo
     last = [(s, u, b, rest[s] - before) for s, u, b, before in last]
     ended = spark.createDataFrame(last, "_source string, _end_u double, _end_block long, _left long")
     params = per_source.join(ended, "_source", "left")
+    if len(plans) <= BROADCAST_SOURCES:  # a row a source; a shuffle on the source would put a hot one into one task
+        params = F.broadcast(params)
     # documents of a final block: first ones in the order of its permutation that fit what is left
     placed = keyed.join(params, "_source").withColumn("_block", block).withColumn("_u", block_rank)
     whole = (F.col("_rest") > 0) & ((F.col("_u") < F.col("_end_u")) | ((F.col("_u") == F.col("_end_u")) & (F.col("_block") < F.col("_end_block"))))
