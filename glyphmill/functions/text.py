@@ -33,7 +33,8 @@ def show_bytes(raw: Column) -> Column:
 
 def read_bytes(shown: Column) -> Column:
     """What show_bytes made of it, undone."""
-    return F.decode(F.encode(F.translate(shown, VISIBLE, HIDDEN), "ISO-8859-1"), "UTF-8")
+    some = F.translate(shown, VISIBLE[1:], HIDDEN[1:])  # translate would delete what becomes NUL
+    return F.decode(F.encode(F.replace(some, F.lit(VISIBLE[0]), F.lit("\0")), "ISO-8859-1"), "UTF-8")
 
 
 def characters(word: Column) -> Column:
