@@ -186,6 +186,8 @@ def label_batch(net: Network, texts: list[str | None]) -> tuple[np.ndarray, np.n
     n, n_lang = len(raw), len(net.languages)
     pooled, votes = np.zeros((n, n_lang)), np.zeros((n, n_lang), np.int64)
     sizes = np.array([len(r) for r in raw], np.int64)
+    if not n_lang:
+        return pooled, votes, sizes, [np.empty(0, np.int8)] * n
     x, doc, real = windows(raw)
     labels = []
     for s in range(0, x.shape[1], BLOCK):

@@ -37,7 +37,7 @@ def test_language_gradient():
 
 def test_language(spark, awkward, net):
     assert net.languages == ["de", "en"]
-    got = [r.lang_pred for r in language_id.identify(spark.createDataFrame([(1, "the thing of the thing of"), (2, "und der ißt und der ißt")], "doc_id long, text string"), net).orderBy("doc_id").collect()]
+    got = [r.lang_pred for r in language_id.identify(spark.createDataFrame([(1, "the thing of " * 10), (2, "und der ißt " * 10)], "doc_id long, text string"), net).orderBy("doc_id").collect()]
     assert got == ["en", "de"]
     rows = language_id.identify(awkward, net).collect()
     assert len(rows) == 10 and {r.doc_id for r in rows if r.lang_pred is None} == {2, 3}
