@@ -290,7 +290,7 @@ def label_positions(docs: DataFrame, net: Network) -> DataFrame:
                 labels = label_batch(own, [t if isinstance(t, str) else None for t in cut["text"]])[3]
                 for i, x in zip(cut["doc_id"], labels):
                     s, e = runs_of(x)
-                    yield pd.DataFrame({"doc_id": np.full(len(s), i), "start": s, "end": e, "lang": [own.languages[k] for k in x[s]]})
+                    yield pd.DataFrame({"doc_id": np.full(len(s), i), "start": s, "end": e, "lang": np.array([own.languages[k] for k in x[s]], dtype=object)})
 
     return pick(docs, "doc_id", "text").filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(spans, "doc_id long, start long, end long, lang string")
 
