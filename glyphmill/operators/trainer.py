@@ -176,14 +176,17 @@ def train_table(words: DataFrame, cfg: Config) -> DataFrame:
     The distinct words go to one task; their order doesn't matter for the result.
     """
 
+    def strings(values: list[str]) -> np.ndarray:
+        return np.array(values, dtype=object)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [r for pdf in batches for r in zip(pdf["word"].tolist(), pdf["cnt"].tolist())]
         done = train(rows, cfg)
-        yield pd.DataFrame({"kind": "vocab", "id": range(len(done.vocab)), "token": done.vocab, "left": None, "right": None})
+        yield pd.DataFrame({"kind": "vocab", "id": range(len(done.vocab)), "token": strings(done.vocab), "left": None, "right": None})
         merges = done.serialized()
         prefix = cfg.continuing_subword_prefix
         joined = [a + (b[len(prefix) :] if prefix and b.startswith(prefix) else b) for a, b in merges]
-        yield pd.DataFrame({"kind": "merge", "id": range(len(merges)), "token": joined, "left": [a for a, _ in merges], "right": [b for _, b in merges]})
+        yield pd.DataFrame({"kind": "merge", "id": range(len(merges)), "token": strings(joined), "left": strings([a for a, _ in merges]), "right": strings([b for _, b in merges])})
 
     return words.select("word", F.col("cnt").cast("long").alias("cnt")).repartition(1).mapInPandas(run, SCHEMA)
 

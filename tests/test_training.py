@@ -155,3 +155,9 @@ def test_files_and_command_line(spark, tmp_path, capsys):
             main(["--vocab-size", "9", *bad, str(tsv)])
         assert e.value.code == 2
     assert main(["pretok", str(f)]) == 0 and capsys.readouterr().out.split() == ["x", "Ġy", "čĊ"] * 3
+
+
+def test_training_tables_of_little(spark):
+    for rows, vocab in (([], []), ([("a", 1)], ["a"])):
+        table = trainer.train_table(spark.createDataFrame(rows, "word string, cnt long"), Config(vocab_size=10))
+        assert trainer.collected(table) == (vocab, [])
