@@ -31,6 +31,8 @@ from .common import checkpoint, mix64, pick, positional
 
 WORD = re.compile(r"\w+")
 FIRST_BAND, SPARE, SPLIT = 4, 1, 4
+#: Members of a class of equal sets that are written against as many others at a time.
+BLOCK = 512
 
 
 def words_of(text: str) -> list[str]:
@@ -190,14 +192,8 @@ def leaders(sigs: DataFrame) -> DataFrame:
     return ordered.mapInArrow(runs, "leader long, member long").distinct()
 
 
-def verified(docs: DataFrame, threshold: float = 0.855, n: int = 1, chains: bool = False) -> DataFrame:
-    """Pairs doc_a < doc_b of documents with jaccard >= threshold.
-
-    chains=False: every pair of distinct sets (their smallest documents stand for equal sets), and
-    (smallest document, other document) with 1.0 for equal sets. chains=True: only as many of them
-    as hold each connected group together.
-    """
-    sets = checkpoint(feature_sets(docs, n))
+def candidates(sets: DataFrame, threshold: float) -> DataFrame:
+    """leader, member: who is compared with whom, the leaders with themselves included."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +205,18 @@ def verified(docs: DataFrame, threshold: float = 0.855, n: int = 1, chains: bool
                 yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(ids[who])], ["sig", "doc_id"])
 
     star = checkpoint(leaders(sets.mapInArrow(sign, "sig long, doc_id long")))
-    members = star.unionByName(star.select("leader", F.col("leader").alias("member")).distinct())
+    return star.unionByName(star.select("leader", F.col("leader").alias("member")).distinct())
+
+
+def verified(docs: DataFrame, threshold: float = 0.855, n: int = 1, chains: bool = False) -> DataFrame:
+    """Pairs doc_a < doc_b of documents with jaccard >= threshold.
+
+    chains=False: every pair of distinct sets (their smallest documents stand for equal sets), and
+    (smallest document, other document) with 1.0 for equal sets. chains=True: only as many of them
+    as hold each connected group together.
+    """
+    sets = checkpoint(feature_sets(docs, n))
+    members = candidates(sets, threshold)
     led = members.join(sets.withColumnRenamed("doc_id", "member"), "member").select("leader", "member", "feats")
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -258,17 +265,69 @@ def spanning(m: int, x: np.ndarray, y: np.ndarray, jac: np.ndarray) -> tuple[np.
     return x[take], y[take], jac[take]
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.85, n: int = 1) -> DataFrame:
+def expanded(docs: DataFrame, threshold: float, n: int) -> DataFrame:
+    """Every pair doc_a < doc_b of documents with jaccard >= threshold.
+
+    Documents of equal sets form a class. Only the smallest of each goes to the leaders; the pairs
+    found between classes and each class itself are then written out member by member, in blocks.
+    """
+    sets = checkpoint(feature_sets(docs, n)).withColumn("key", F.xxhash64("feats"))
+    classes = checkpoint(sets.groupBy("key").agg(F.sort_array(F.collect_set("doc_id")).alias("ids")))
+    members = candidates(sets.select("doc_id", "feats"), threshold)
+    members = checkpoint(members.join(classes.select(F.col("ids")[0].alias("member")).distinct(), "member", "left_semi"))
+    members = members.join(members.groupBy("leader").count().filter("count > 1"), "leader", "left_semi")
+    led = members.join(sets.withColumnRenamed("doc_id", "member"), "member").select("leader", "key", "feats")
+
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("key")
+        keys = pdf["key"].to_numpy()
+        x, y, jac = similar_pairs([np.asarray(f, np.int32).view(np.uint32) for f in pdf["feats"]], threshold)
+        return pd.DataFrame({"key_a": np.minimum(keys[x], keys[y]), "key_b": np.maximum(keys[x], keys[y]), "jaccard": jac})
+
+    near = led.groupBy("leader").applyInPandas(verify, "key_a long, key_b long, jaccard double").groupBy("key_a", "key_b").agg(F.max("jaccard").alias("jaccard"))
+    blocks = F.transform(F.sequence(F.lit(0), F.size("ids") - 1, F.lit(BLOCK)), lambda i: F.slice("ids", i + 1, BLOCK))
+    cut = classes.select("key", blocks.alias("blocks"))
+    left, right = cut.toDF("key_a", "left"), cut.toDF("key_b", "right")
+    across = near.join(left, "key_a").join(right, "key_b").select("left", "right", "jaccard").withColumn("left", F.explode("left")).withColumn("right", F.explode("right"))
+    within = cut.filter(F.size(F.flatten("blocks")) > 1).select("blocks", F.posexplode("blocks").alias("at", "left"))
+    within = within.select("left", F.explode(F.slice("blocks", F.col("at") + 1, F.size("blocks"))).alias("right"), F.lit(1.0).alias("jaccard"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, held = [], 0
+            for left, right, jac in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
+                a, b = left.values.to_numpy(), right.values.to_numpy()
+                own = len(a) == len(b) and bool((a == b).all())
+                a, b = np.repeat(a, len(b)), np.tile(b, len(a))
+                ok = a < b if own else a != b
+                parts.append((np.minimum(a, b)[ok], np.maximum(a, b)[ok], np.full(int(ok.sum()), jac)))
+                held += len(parts[-1][0])
+                if held >= BLOCK * BLOCK:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], ["doc_a", "doc_b", "jaccard"])
+                    parts, held = [], 0
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], ["doc_a", "doc_b", "jaccard"])
+
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = across.unionByName(within).repartition(spread).mapInArrow(write, "doc_a long, doc_b long, jaccard double")
+    if sets.groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo <> hi").isEmpty():
+        return pairs
+    return pairs.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+
+
+def jaccard_join(docs: DataFrame, threshold: float = 0.85, n: int = 1, every: bool = False) -> DataFrame:
     """doc_a, doc_b, jaccard of all documents whose n-gram sets reach the threshold.
 
     Null ids, null texts and texts without words join with nothing. Rows that repeat a doc_id with
-    the same text count once; one doc_id with two texts joins by both, never with itself. Equal sets
-    are reported as (smallest id, other id, 1.0), similar distinct sets as their smallest ids.
-    Ties at the threshold join. Extra columns are ignored.
+    the same text count once; one doc_id with two texts joins by both, never with itself.
+    every=True: all pairs. every=False: equal sets are reported as (smallest id, other id, 1.0),
+    similar distinct sets as their smallest ids. Ties at the threshold join. Extra columns are
+    ignored.
     """
     if not 0.5 <= threshold <= 1:
         raise ValueError("threshold must lie in [0.5, 1]")
-    return verified(docs, threshold, n).withColumn("jaccard", F.round("jaccard", 6))
+    found = expanded(docs, threshold, n) if every else verified(docs, threshold, n)
+    return found.withColumn("jaccard", F.round("jaccard", 6))
 
 
 def groups(docs: DataFrame, threshold: float = 0.85, n: int = 1) -> DataFrame:

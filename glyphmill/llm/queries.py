@@ -46,7 +46,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), threshold=0.85, n=1)
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), threshold=0.85, n=1, every=True)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,6 +153,27 @@ def test_join_is_exact(spark, threshold, n):
     assert found <= near and len(found) >= 0.97 * len(near)
 
 
+@pytest.mark.parametrize("threshold,n", [(0.85, 1), (0.6, 2)])
+def test_join_gives_every_pair(spark, monkeypatch, threshold, n):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(12):
+        base = [f"w{k}" for k in rng.integers(0, 400, 30)]
+        for v in range(3):
+            rows += [(len(rows) + i, " ".join([*base, *[f"x{g}"] * v, f"y{v}"])) for i in range(int(rng.integers(1, 9)))]
+    rows += [(3, rows[20][1]), (3, rows[3][1])]
+    sets = [(i, jaccard_join.shingles(t, n)) for i, t in rows]
+    want = {}
+    for x, (i, s) in enumerate(sets):
+        for j, t in sets[x + 1 :]:
+            if i != j and jaccard(s, t) >= threshold:
+                pair = min(i, j), max(i, j)
+                want[pair] = max(want.get(pair, 0), round(jaccard(s, t), 6))
+    got = [tuple(r) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), threshold, n, every=True).collect()]
+    assert len(got) == len(want) and {(a, b): pytest.approx(j, abs=2e-6) for a, b, j in got} == want
+
+
 def test_keep_one_by_brute_force(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
