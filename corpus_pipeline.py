@@ -29,8 +29,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that word sets with Jaccard >= 0.85 connect: the smallest doc_id."""
-    return jaccard_join.keep_one(docs, threshold=0.85, n=1)
+    """One document of each group that word sets with Jaccard >= 0.7 connect: the smallest doc_id."""
+    return jaccard_join.keep_one(docs, threshold=0.7, n=1)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

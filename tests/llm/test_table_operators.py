@@ -257,3 +257,14 @@ def test_pipeline(spark, tables):
     for r in rows:
         packed[r.doc_id] = packed.get(r.doc_id, 0) + r.length
     assert packed.keys() == sizes.keys() and all(packed[i] % n == 0 and 1 <= packed[i] // n <= 2 for i, n in sizes.items())
+
+
+def test_pipeline_drops_copies_with_an_added_line(spark):
+    import corpus_pipeline
+
+    text = [f"w{i}" for i in range(40)]
+    edited = ["here", "is", "one", "more", "line", "first", *text[:20], "changed", *text[21:]]
+    other = [f"w{i}" for i in range(20)] + [f"v{i}" for i in range(20)]
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(edited)), (3, " ".join(other))], "doc_id long, text string")
+    assert 0.8 < jaccard(set(text), set(edited)) < 0.85
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [1, 3]
