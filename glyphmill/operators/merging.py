@@ -6,8 +6,9 @@ SEP a SEP SEP b SEP merges from left to right without overlaps.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,3 +68,30 @@ def encode(words: DataFrame, merges: Sequence[tuple[str, str]], alphabet: DataFr
     else:
         rows = counts.symbols(words, alphabet)
     return rows.select("word", "cnt", unwrapped(merge_all(wrapped(F.col("symbols")), merges)).alias("tokens"))
+
+
+def cut(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
+    """The tokens of a word by any number of merges, each applied once in its order as merge_all does."""
+    now, last = list(word), -1
+    while len(now) > 1:
+        rank = min((r for p in zip(now, now[1:]) if (r := ranks.get(p, -1)) > last), default=None)
+        if rank is None:
+            break
+        out, i = [], 0
+        while i < len(now):
+            hit = i + 1 < len(now) and ranks.get((now[i], now[i + 1])) == rank
+            out.append(now[i] + now[i + 1] if hit else now[i])
+            i += 1 + hit
+        now, last = out, rank
+    return now
+
+
+def cut_all(word: Column, merges: Sequence[tuple[str, str]]) -> Column:
+    """tokens (array) of each word; for merge lists that are too long for an expression."""
+    ranks = {pair: i for i, pair in enumerate(merges)}
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for words in batches:
+            yield pd.Series([cut(w, ranks) for w in words.tolist()], dtype=object)
+
+    return F.pandas_udf(run, "array<string>")(word)

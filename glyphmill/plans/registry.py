@@ -22,6 +22,8 @@ STEPS, FEW, LIMIT, FREQUENT = 16, 8, 40, 15000
 SPECIALS = ["<|endoftext|>", "<pad>"]
 COLLIDING = ["th", "e", "<eos>"]
 VOCAB = 2000
+#: Of the queries that end in _30k.
+PRODUCTION, OFTEN = 30000, 2
 
 
 def query(oracle: str | None = None):
@@ -583,3 +585,126 @@ def vocab_overlap(spark, d):
 @query(_both_sql(OVERLAP.format(" WHERE id < 50")))
 def rank_overlap(spark, d):
     return metrics.rank_overlap(*_vocabs(spark, d), 50)
+
+
+# the same to a production vocabulary, which no SQL can follow
+
+
+def produced(words: DataFrame, **how) -> DataFrame:
+    return trainer.train_table(words, Config(vocab_size=PRODUCTION, **how))
+
+
+def coded(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
+    return words.withColumn("tokens", merging.cut_all(F.col("word"), merges))
+
+
+def _coded_all(spark, d) -> DataFrame:
+    w = words_of(spark, d)
+    return coded(w, trainer.collected(produced(w))[1])
+
+
+@query()
+def bpe_train_ws_30k(spark, d):
+    return only_merges(produced(words_of(spark, d), special_tokens=SPECIALS))
+
+
+@query()
+def bpe_train_bl_30k(spark, d):
+    return only_merges(produced(words_of(spark, d, "bytelevel")))
+
+
+@query()
+def bpe_min_frequency_30k(spark, d):
+    return only_merges(produced(words_of(spark, d), min_frequency=OFTEN))
+
+
+@query()
+def bpe_limit_alphabet_30k(spark, d):
+    return only_merges(produced(words_of(spark, d), limit_alphabet=LIMIT))
+
+
+@query()
+def serialized_merges_30k(spark, d):
+    return only_merges(produced(words_of(spark, d), special_tokens=COLLIDING)).select("left_token", "right_token", "rank")
+
+
+@query()
+def merge_lines_30k(spark, d):
+    return only_merges(produced(words_of(spark, d))).select("rank", F.concat_ws(" ", "left_token", "right_token").alias("line"))
+
+
+@query()
+def train_summary_30k(spark, d):
+    w = words_of(spark, d)
+    n = lambda k: F.count(F.when(F.col("kind") == k, 1))
+    return w.agg(F.count("*").alias("n_words")).crossJoin(produced(w, special_tokens=SPECIALS).agg(n("vocab").alias("n_vocab"), n("merge").alias("n_merges")))
+
+
+@query()
+def encode_words_30k(spark, d):
+    return _coded_all(spark, d).select("word", "cnt", F.array_join("tokens", " ").alias("tokens"), F.size("tokens").cast("bigint").alias("n_tokens"))
+
+
+@query()
+def fertility_30k(spark, d):
+    return metrics.fertility(_coded_all(spark, d))
+
+
+@query()
+def bytes_per_token_30k(spark, d):
+    return metrics.compression(_coded_all(spark, d))
+
+
+@query()
+def lang_compression_30k(spark, d):
+    rows = by_language(load(spark, d))
+    found = trainer.collected(produced(rows.groupBy("word").agg(F.sum("cnt").alias("cnt"))))[1]
+    return metrics.compression(coded(rows, found), "lang")
+
+
+@query()
+def lang_equity_30k(spark, d):
+    return metrics.equity(lang_compression_30k(spark, d))
+
+
+@query()
+def cross_domain_30k(spark, d):
+    words = {t: counts.word_counts(load(spark, d, t)) for t in CROSS}
+    merges = {t: trainer.collected(produced(w))[1] for t, w in words.items()}
+    cells = [metrics.compression(coded(words[u], merges[t])).select(F.lit(t).alias("trained"), F.lit(u).alias("used"), "*") for t in CROSS for u in CROSS]
+    out = cells[0]
+    for c in cells[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+def _two_produced(spark, d, kind: str) -> list[DataFrame]:
+    """Of all texts and of the English ones: merges (rank, left, right) or vocabulary (id, token)."""
+    docs = load(spark, d)
+    both = [produced(counts.word_counts(x)).filter(F.col("kind") == kind) for x in (docs, docs.filter("lang = 'en'"))]
+    return [t.select(F.col("id").alias("rank"), "left", "right") if kind == "merge" else t.select("id", "token") for t in both]
+
+
+@query()
+def merge_diff_30k(spark, d):
+    return metrics.merge_diff(*_two_produced(spark, d, "merge"))
+
+
+@query()
+def merge_prefix_30k(spark, d):
+    return metrics.merge_prefix(*[t.persist() for t in _two_produced(spark, d, "merge")])
+
+
+@query()
+def vocab_diff_30k(spark, d):
+    return metrics.vocab_diff(*_two_produced(spark, d, "vocab"))
+
+
+@query()
+def vocab_overlap_30k(spark, d):
+    return metrics.vocab_overlap(*_two_produced(spark, d, "vocab"))
+
+
+@query()
+def rank_overlap_30k(spark, d):
+    return metrics.rank_overlap(*_two_produced(spark, d, "vocab"), PRODUCTION // 2)

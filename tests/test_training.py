@@ -161,3 +161,39 @@ def test_training_tables_of_little(spark):
     for rows, vocab in (([], []), ([("a", 1)], ["a"])):
         table = trainer.train_table(spark.createDataFrame(rows, "word string, cnt long"), Config(vocab_size=10))
         assert trainer.collected(table) == (vocab, [])
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_cut_follows_every_merge_in_order(seed):
+    rng = random.Random(seed)
+    words = {"".join(rng.choices("abc", k=rng.randint(1, 16))): rng.randint(1, 30) for _ in range(rng.randint(3, 12))}
+    merges = list(dict.fromkeys(stepwise(words, 60)))
+    ranks = {p: i for i, p in enumerate(merges)}
+    for w in words:
+        now = "".join(f"<{c}>" for c in w)
+        for a, b in merges:
+            now = now.replace(f"<{a}><{b}>", f"<{a}{b}>")
+        assert merging.cut(w, ranks) == now[1:-1].split("><")
+
+
+def test_production_queries_follow_all_merges(spark, tmp_path):
+    from glyphmill.plans import registry
+
+    rng = random.Random(7)
+    texts = [(i, " ".join("".join(rng.choices("abcdefgh", k=rng.randint(1, 7))) for _ in range(12)), "en" if i % 2 else "de") for i in range(12)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    words, english = of(" ".join(t for _, t, _ in texts)), of(" ".join(t for _, t, lang in texts if lang == "en"))
+    want, other = stepwise(words, 30000), stepwise(english, 30000)
+    assert len(set(want)) == len(want) > registry.STEPS and len(set(other)) == len(other)
+    run = lambda name: registry.QUERIES[name](spark, str(tmp_path))
+    assert [(r.left_token, r.right_token) for r in run("bpe_train_ws_30k").orderBy("rank").collect()] == want
+    assert {r.word: r.n_tokens for r in run("encode_words_30k").collect()} == dict.fromkeys(words, 1)
+    assert run("fertility_30k").first().fertility == 1.0
+    differ = {i for i in range(max(len(want), len(other))) if want[i : i + 1] != other[i : i + 1]}
+    assert {r["rank"] for r in run("merge_diff_30k").collect()} == differ and max(differ) > registry.FEW
+    assert run("merge_prefix_30k").first().prefix == min(differ)
+    assert {r.lang for r in run("lang_compression_30k").collect()} == {"de", "en"}
+    tokens = lambda found, w: {a + b for a, b in found} | {c for x in w for c in x}
+    got = run("vocab_overlap_30k").first()
+    assert (got.shared, got.total) == (len(tokens(want, words) & tokens(other, english)), len(tokens(other, english)))
