@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -30,6 +32,36 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the checkpoint folder, which all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that is no longer read."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """The frame as a Parquet table in a shared folder: lineage ends there, and only the columns that are used are read again."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within, each query's shuffle files go when it ends; what is written is all that is read again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """The frame with columns c0..cn and the place of each name (exact spelling first, first of repeats)."""
     names = [f"c{i}" for i in range(len(df.columns))]

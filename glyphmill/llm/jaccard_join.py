@@ -8,14 +8,21 @@ each of these into SPLIT parts, of which all but SPARE then agree; every choice
 parts of a partition is a signature. More parts make a signature longer, hence rarer among
 unrelated documents, at the price of more signatures.
 
-A set gives signatures in its own size band and, where a partner of the next band is in reach, in
-that one too. Signatures are sorted, the smallest document of each run leads it, and the pairs of
-(leader, member) are verified leader by leader against the sets themselves; so the shuffle carries
-a row a signature and a set a membership, never a pair.
+Documents of equal sets form a class first, by an aggregation that combines before it shuffles; one
+set stands for the class from there on. A set gives signatures in its own size band and, where a
+partner of the next band is in reach, in that one too. They are made and sorted in several passes,
+each over a share of the partitions, so that the files of one pass are gone before the next.
+Within a run of equal signatures sketches (a parity bit for each bucket of the domain) bound the
+symmetric difference from below; sets that no chain of possible pairs connects part ways, and the
+smallest class of each chain leads it. So the shuffle carries a row a signature and a row a
+membership, never a pair, and unrelated sets that share a signature go no further. Last, the sets
+of a leader are compared exactly. Runs and leaders with many members are divided into pairs of
+blocks, each a task of its own.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 import re
@@ -24,15 +31,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, mix64, pick, positional
+from .common import checkpoint, dropping_shuffles, folder, mix64, pick, positional, remove, written
 
 WORD = re.compile(r"\w+")
 FIRST_BAND, SPARE, SPLIT = 4, 1, 4
-#: Members of a class of equal sets that are written against as many others at a time.
-BLOCK = 512
+#: Members of a run or of a leader that are compared with as many others in one task.
+BLOCK = 2048
+PASS_BYTES = 8_000_000
 
 
 def words_of(text: str) -> list[str]:
@@ -70,8 +78,11 @@ def most_different(a: int, b: int, threshold: float) -> int:
     return math.floor((1 - threshold) / (1 + threshold) * (a + b) + 1e-9)
 
 
-def signatures(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, index of the set) of all sets. A set holds no repeats; an empty one gives none."""
+def signatures(sets: list[np.ndarray], threshold: float, share: tuple[int, int] = (0, 1)) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, index of the set) of all sets. A set holds no repeats; an empty one gives none.
+
+    share (i, m): only of the partitions i, i + m, i + 2 m and so on.
+    """
     sizes = np.array([len(s) for s in sets], np.int64)
     if not sizes.size or not sizes.max():
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -79,7 +90,8 @@ def signatures(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np
     los = np.array([b[0] for b in table])
     own = np.searchsorted(los, sizes, side="right") - 1
     reach = np.searchsorted(los, np.floor(sizes / threshold + 1e-9), side="right") - 1
-    sigs, owners = [], []
+    part, of = share
+    sigs, owners = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for later in range(int((reach - own).max()) + 1):
         for band in np.unique(own[(sizes > 0) & (reach >= own + later)]).tolist():
             who = np.flatnonzero((sizes > 0) & (own == band) & (reach >= band + later))
@@ -87,21 +99,101 @@ def signatures(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np
             k = most_different(table[at][1], table[at][1], threshold)
             spare, split = (SPARE, SPLIT) if k else (0, 1)
             n1 = -(-(k + 1) // (spare + 1))
+            mine = len(range(part, n1, of))
+            if not mine:
+                continue
             feats = np.concatenate([sets[i] for i in who]).astype(np.uint64)
             row = np.repeat(np.arange(len(who)), sizes[who])
             h = mix64(feats + np.uint64(0x9E3779B97F4A7C15 * (at + 1) & (1 << 64) - 1))
-            cell = row * (n1 * split) + ((h >> np.uint64(32)) * np.uint64(n1 * split) >> np.uint64(32)).astype(np.int64)
-            total = np.zeros(len(who) * n1 * split, np.uint64)
-            np.add.at(total, cell, mix64(h))
-            total = total.reshape(len(who), n1, split)
-            number = np.arange(n1, dtype=np.uint64) * np.uint64(64)
+            place = ((h >> np.uint64(32)) * np.uint64(n1 * split) >> np.uint64(32)).astype(np.int64)
+            if of > 1:
+                live = place // split % of == part
+                h, row, place = h[live], row[live], place[live]
+                place = place // split // of * split + place % split
+            total = np.zeros(len(who) * mine * split, np.uint64)
+            np.add.at(total, row * (mine * split) + place, mix64(h))
+            total = total.reshape(len(who), mine, split)
+            number = np.arange(part, n1, of).astype(np.uint64) * np.uint64(64)
             for c, chosen in enumerate(itertools.combinations(range(split), split - spare)):
                 key = mix64(mix64(total[:, :, list(chosen)].sum(2) + number + np.uint64(c)) + np.uint64(at))
                 sigs.append(key.ravel().view(np.int64))
-                owners.append(np.repeat(who, n1))
+                owners.append(np.repeat(who, mine))
     return np.concatenate(sigs), np.concatenate(owners)
 
 
+def sketch(feats: np.ndarray) -> np.ndarray:
+    """uint64 words: a parity bit for each of 2^b buckets of the domain, 1.5 buckets a member at least.
+
+    Two sets differ in a member at least for each bit in which their sketches do. Half a sketch
+    xor the other half is the sketch of half as many buckets.
+    """
+    bits = max(64, 1 << int(np.ceil(np.log2(1.5 * max(1, len(feats))))))
+    bucket = (mix64(feats.astype(np.uint64) + np.uint64(0x5BF03635)) & np.uint64(bits - 1)).astype(np.int64)
+    odd = np.bincount(bucket, minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.uint64)
+
+
+def folded(x: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (row, word) with fewer words."""
+    while x.shape[1] > words:
+        x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+    return x
+
+
+def neighbours(lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs i < j of positions in the same one of consecutive runs of the given lengths, some hundred thousand at a time."""
+    ends = np.cumsum(lengths)
+    after = np.repeat(ends, lengths) - np.arange(len(np.repeat(ends, lengths))) - 1
+    done = np.cumsum(after)
+    lo = 0
+    while lo < len(after):
+        hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + 400_000, side="right")))
+        n = after[lo:hi]
+        i = np.repeat(np.arange(lo, hi), n)
+        yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        lo = hi
+
+
+def possible(sketches: np.ndarray, words: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, threshold: float) -> np.ndarray:
+    """For each member of consecutive runs the first one of its run that a chain of possible pairs connects it with.
+
+    A pair is possible if the sketches don't show more differences than the threshold allows.
+    sketches: all of them, one after the other; words: how many words each has.
+    """
+    label = np.arange(len(sizes))
+    rate = (1 - threshold) / (1 + threshold)
+    begin = np.cumsum(words) - words
+    fewest = np.minimum.reduceat(words, np.cumsum(lengths) - lengths)
+    a, b = [], []
+    for w in np.unique(fewest).tolist():
+        runs = np.flatnonzero(fewest == w)
+        at = np.flatnonzero(np.repeat(fewest == w, lengths))
+        x = np.empty((len(at), w), np.uint64)
+        own = words[at]
+        for v in np.unique(own).tolist():
+            rows = np.flatnonzero(own == v)
+            x[rows] = folded(sketches[begin[at[rows]][:, None] + np.arange(v)], w)
+        size = sizes[at]
+        for i, j in neighbours(lengths[runs]):
+            for lo in range(0, len(i), max(1, 2_000_000 // w)):
+                p, q = i[lo : lo + max(1, 2_000_000 // w)], j[lo : lo + max(1, 2_000_000 // w)]
+                apart = np.bitwise_count(x[p] ^ x[q]).sum(1, dtype=np.int64)
+                ok = apart <= rate * (size[p] + size[q]) + 1e-6
+                a.append(at[p[ok]])
+                b.append(at[q[ok]])
+    if a:
+        a, b = np.concatenate(a), np.concatenate(b)
+        while True:
+            low = np.minimum(label[a], label[b])
+            before = label.copy()
+            np.minimum.at(label, a, low)
+            np.minimum.at(label, b, low)
+            label = label[label]
+            if (label == before).all():
+                break
+    return label
+
+
 def similar_pairs(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All pairs i < j of distinct sets with Jaccard >= threshold, and the similarity, by counting shared members."""
     m = len(sets)
@@ -165,89 +257,202 @@ def feature_sets(docs: DataFrame, n: int) -> DataFrame:
     return base.mapInArrow(extract, "doc_id long, feats array<int>").filter(F.size("feats") > 0)
 
 
-def leaders(sigs: DataFrame) -> DataFrame:
-    """(leader, member) of each run of equal signatures; the smallest document leads."""
+def classes_of(docs: DataFrame, n: int, path: str) -> tuple[DataFrame, DataFrame]:
+    """Tables members (doc_id, k1, k2; a row for each document) and classes (cls, k1, k2, rep, n, feats; a row for each distinct set).
+
+    k1 and k2 are 64-bit hashes of the set. Copies are counted before they are shuffled.
+    """
+    spark = docs.sparkSession
+    keys = [F.xxhash64("feats").alias("k1"), F.xxhash64(F.lit(1), "feats").alias("k2")]
+    sets = written(feature_sets(docs, n).select("doc_id", *keys, "feats"), f"{path}/sets")
+    members = written(sets.select("doc_id", "k1", "k2").distinct(), f"{path}/members")
+    each = members.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    first = sets.withColumnRenamed("doc_id", "rep").join(each, ["k1", "k2", "rep"]).dropDuplicates(["k1", "k2", "rep"])
+    classes = first.select(F.monotonically_increasing_id().alias("cls"), "k1", "k2", "rep", "n", "feats")
+    classes = written(classes, f"{path}/classes")
+    remove(spark, f"{path}/sets")
+    return members, classes
+
+
+def lists_of(column: pa.Array) -> list[np.ndarray]:
+    ends, flat = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint32)
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
+def blocks_of(group: Column, item: Column, size: Column) -> Column:
+    """(group, i, j) for each pair of blocks that an item takes part in: one for groups of up to BLOCK, else BLOCK items or so are a block."""
+    n = F.ceil(size / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(7), item), n).cast("int")
+    others = F.sequence(F.lit(0), n - 1)
+    return F.transform(others, lambda o: F.struct(group.alias("grp"), F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
+
+
+def runs(sigs: DataFrame) -> DataFrame:
+    """grp, i, j, cls of all signatures that two classes at least have; long runs in pairs of blocks."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_sig, held = np.empty(0, np.int64), np.empty(0, np.int64)
+
+        def out(sig: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
+            first = np.r_[True, (sig[1:] != sig[:-1])]
+            n = np.diff(np.r_[np.flatnonzero(first), len(sig)])
+            n = np.repeat(n, n)
+            live = n > 1
+            return pa.RecordBatch.from_arrays([pa.array(sig[live]), pa.array(cls[live]), pa.array(n[live])], ["grp", "cls", "n"])
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_sig, last_leader = None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            first = np.ones(len(sig), bool)
-            first[1:] = sig[1:] != sig[:-1]
-            if last_sig is not None and sig[0] == last_sig:
-                first[0] = False
-            run = np.cumsum(first) - 1
-            heads = doc[first]
-            lead = np.where(run >= 0, heads[np.maximum(run, 0)] if len(heads) else last_leader, last_leader)
-            member = ~first
-            if member.any():
-                pair = pd.DataFrame({"leader": lead[member], "member": doc[member]}).drop_duplicates()
-                pair = pair[pair.leader != pair.member]
-                yield pa.RecordBatch.from_pandas(pair, preserve_index=False)
-            last_sig, last_leader = sig[-1], lead[-1]
-
-    ordered = sigs.repartition("sig").sortWithinPartitions("sig", "doc_id")
-    return ordered.mapInArrow(runs, "leader long, member long").distinct()
-
-
-def candidates(sets: DataFrame, threshold: float) -> DataFrame:
-    """leader, member: who is compared with whom, the leaders with themselves included."""
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
-                ids, col = part.column(0).to_numpy(), part.column(1)
-                ends, flat = col.offsets.to_numpy(), col.values.to_numpy().view(np.uint32)
-                sig, who = signatures([flat[a:b] for a, b in zip(ends[:-1], ends[1:])], threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(ids[who])], ["sig", "doc_id"])
-
-    star = checkpoint(leaders(sets.mapInArrow(sign, "sig long, doc_id long")))
-    return star.unionByName(star.select("leader", F.col("leader").alias("member")).distinct())
+            sig, cls = np.r_[held_sig, batch.column(0).to_numpy()], np.r_[held, batch.column(1).to_numpy()]
+            fresh = np.r_[True, (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])]
+            sig, cls = sig[fresh], cls[fresh]
+            at = int(np.searchsorted(sig, sig[-1])) if sig[0] <= sig[-1] else 0
+            if at:
+                yield out(sig[:at], cls[:at])
+            held_sig, held = sig[at:], cls[at:]
+        if len(held):
+            yield out(held_sig, held)
 
+    ordered = sigs.repartition("sig").sortWithinPartitions("sig", "cls")
+    long = ordered.mapInArrow(cut, "grp long, cls long, n long")
+    return long.select("cls", F.explode(blocks_of(F.col("grp"), F.col("cls"), F.col("n"))).alias("g")).select("g.grp", "g.i", "g.j", "cls")
 
-def verified(docs: DataFrame, threshold: float = 0.855, n: int = 1, chains: bool = False) -> DataFrame:
-    """Pairs doc_a < doc_b of documents with jaccard >= threshold.
 
-    chains=False: every pair of distinct sets (their smallest documents stand for equal sets), and
-    (smallest document, other document) with 1.0 for equal sets. chains=True: only as many of them
-    as hold each connected group together.
-    """
-    sets = checkpoint(feature_sets(docs, n))
-    members = candidates(sets, threshold)
-    led = members.join(sets.withColumnRenamed("doc_id", "member"), "member").select("leader", "member", "feats")
-
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("member", kind="stable")
-        ids = pdf["member"].to_numpy()
-        feats = [np.asarray(f, np.int32).view(np.uint32) for f in pdf["feats"]]
-        first: dict[bytes, int] = {}
-        keep, a, b, j = [], [], [], []
-        for i, f in enumerate(feats):
-            at = first.setdefault(f.tobytes(), i)
-            if at == i:
-                keep.append(i)
+def by_group(rows: DataFrame, work, schema: str) -> DataFrame:
+    """work(first row of each group, batch as columns) for batches of whole groups (grp, i, j), as Arrow, many small groups at a time."""
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            whole = pa.Table.from_batches(parts).combine_chunks()
+            if whole.num_rows:
+                yield from work(whole.to_batches()[0])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(c).to_numpy() for c in range(3)]
+            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            if held and [held[-1].column(c)[-1].as_py() for c in range(3)] != [k[0].item() for k in keys]:
+                yield from flush(held)
+                held = []
+            if len(change):
+                at = int(change[-1])
+                yield from flush([*held, batch.slice(0, at)])
+                held = [batch.slice(at)]
             else:
-                a.append(ids[at]), b.append(ids[i]), j.append(1.0)
-        if len(keep) > 1:
-            x, y, jac = similar_pairs([feats[i] for i in keep], threshold)
-            kept = ids[keep]
-            if chains:
-                x, y, jac = spanning(len(keep), x, y, jac)
-            a += kept[x].tolist()
-            b += kept[y].tolist()
-            j += jac.tolist()
-        return pd.DataFrame({"doc_a": np.array(a, np.int64), "doc_b": np.array(b, np.int64), "jaccard": np.array(j, np.float64)})
-
-    found = led.groupBy("leader").applyInPandas(verify, "doc_a long, doc_b long, jaccard double")
-    found = found.filter("doc_a <> doc_b").select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "jaccard")
-    return found.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
-
-
-def spanning(m: int, x: np.ndarray, y: np.ndarray, jac: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A forest of the pairs: the smallest member of each group with each other one would not be true pairs, so edges are taken as they come."""
+                held.append(batch)
+        if held:
+            yield from flush(held)
+
+    return rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(stream, schema)
+
+
+def group_lengths(batch: pa.RecordBatch) -> np.ndarray:
+    keys = [batch.column(c).to_numpy() for c in range(3)]
+    first = np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)]
+    return np.diff(np.r_[np.flatnonzero(first), batch.num_rows])
+
+
+def passes_for(threshold: float, features: int, tasks: int) -> int:
+    """Passes over the signatures, so that those of one take about as much room as the sets; fewer where a task of the shuffle would get less than PASS_BYTES."""
+    a_feature = 4 * (1 - threshold) / (1 + threshold) * (1 + 1 / threshold)
+    by_size = math.ceil(16 * a_feature * features / (PASS_BYTES * tasks))
+    return max(1, min(by_size, round(24 * (1 - threshold) / (1 + threshold) / threshold)))
+
+
+def candidates(classes: DataFrame, threshold: float, path: str) -> DataFrame:
+    """leader, member: classes that are compared with each other, the leaders themselves included."""
+
+    def sign_share(share: tuple[int, int]):
+        def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 2000):
+                    part = batch.slice(lo, 2000)
+                    sig, who = signatures(lists_of(part.column(1)), threshold, share)
+                    yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(part.column(0).to_numpy()[who])], ["sig", "cls"])
+
+        return sign
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = lists_of(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array([len(s) for s in sets], np.int32)), pa.array([sketch(s).tobytes() for s in sets], pa.binary())], ["cls", "size", "sketch"])
+
+    def connect(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        cls, sizes = batch.column(3).to_numpy(), batch.column(4).to_numpy().astype(np.int64)
+        _, ends, data = batch.column(5).buffers()
+        ends = np.frombuffer(ends, np.int32)[batch.column(5).offset :][: len(cls) + 1]
+        sketches = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].copy().view(np.uint64)
+        label = possible(sketches, np.diff(ends) // 8, sizes, group_lengths(batch), threshold)
+        # the smallest class of a chain leads
+        lead = np.full(len(cls), np.iinfo(np.int64).max)
+        np.minimum.at(lead, label, cls)
+        lead = lead[label]
+        some = lead != cls
+        pair = pd.DataFrame({"leader": lead[some], "member": cls[some]}).drop_duplicates()
+        yield pa.RecordBatch.from_pandas(pair, preserve_index=False)
+
+    spark = classes.sparkSession
+    sketches = written(classes.select("cls", "feats").mapInArrow(draw, "cls long, size int, sketch binary"), f"{path}/sketches")
+    total = sketches.agg(F.sum("size")).first()[0] or 0
+    times, found = passes_for(threshold, total, int(spark.conf.get("spark.sql.shuffle.partitions"))), []
+    for i in range(times):
+        sigs = classes.select("cls", "feats").mapInArrow(sign_share((i, times)), "sig long, cls long")
+        rows = runs(sigs).join(sketches, "cls").select("grp", "i", "j", "cls", "size", "sketch")
+        found.append(written(by_group(rows, connect, "leader long, member long").distinct(), f"{path}/star-{i}"))
+    star = functools.reduce(DataFrame.unionByName, found).distinct()
+    star = written(star, f"{path}/star")
+    return star.unionByName(star.select("leader", F.col("leader").alias("member")).distinct())
+
+
+def compared(classes: DataFrame, threshold: float, path: str) -> DataFrame:
+    """a, b, links: for a class with partners (b null) the documents of other classes that it joins with, in parts that add up; and (a, b) that hold each connected group together."""
+    star = candidates(classes, threshold, path)
+    sized = star.join(star.groupBy("leader").agg(F.count("*").alias("many")), "leader")
+    led = sized.groupBy("member").agg(F.array_sort(F.collect_set(F.struct("leader", "many"))).alias("led"))
+    led = led.join(classes.select(F.col("cls").alias("member"), "n", "feats"), "member")
+    each = led.select("member", "n", "feats", F.col("led.leader").alias("leaders"), F.explode("led").alias("l"))
+    each = each.select("member", "n", "feats", "leaders", F.explode(blocks_of(F.col("l.leader"), F.col("member"), F.col("l.many"))).alias("g"), F.ceil(F.col("l.many") / BLOCK).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64(F.lit(7), F.col("member")), F.col("parts")).cast("int")
+    rows = each.select("g.grp", "g.i", "g.j", "member", "n", "feats", "leaders", own.alias("block"))
+
+    def verify(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        member, weight, block = (batch.column(c).to_numpy() for c in (3, 4, 7))
+        grp, bi, bj = (batch.column(c).to_numpy() for c in (0, 1, 2))
+        feats = lists_of(batch.column(5))
+        known = batch.column(6).to_pylist()
+        at, a, b, n = 0, [], [], []
+        for m in group_lengths(batch).tolist():
+            if m > 1:
+                x, y, _ = similar_pairs(feats[at : at + m], threshold)
+                if bi[at] != bj[at]:
+                    across = block[at + x] != block[at + y]
+                    x, y = x[across], y[across]
+                # two classes may share several leaders: they count under the first one
+                several = np.fromiter((len(k) > 1 for k in known[at : at + m]), bool, m)
+                mine = ~(several[x] & several[y])
+                for e in np.flatnonzero(~mine).tolist():
+                    mine[e] = min(set(known[at + x[e]]) & set(known[at + y[e]])) == grp[at]
+                x, y = x[mine], y[mine]
+                links = np.bincount(x, weight[at + y], m) + np.bincount(y, weight[at + x], m)
+                some = np.flatnonzero(links)
+                a += member[at + some].tolist()
+                b += [None] * len(some)
+                n += links[some].astype(np.int64).tolist()
+                p, q = spanning(m, x, y)
+                a += member[at + p].tolist()
+                b += member[at + q].tolist()
+                n += [None] * len(p)
+            at += m
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["a", "b", "links"])
+
+    return written(by_group(rows, verify, "a long, b long, links long"), f"{path}/found")
+
+
+def spanning(m: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the pairs, as they come."""
     parent = list(range(m))
 
     def root(i: int) -> int:
@@ -262,78 +467,59 @@ def spanning(m: int, x: np.ndarray, y: np.ndarray, jac: np.ndarray) -> tuple[np.
         if p != q:
             parent[max(p, q)] = min(p, q)
             take.append(e)
-    return x[take], y[take], jac[take]
+    return x[take], y[take]
+
+
+def with_classes(members: DataFrame, table: DataFrame) -> DataFrame:
+    """Members joined with a table by k1, k2. A class that holds a thousandth of all documents or more would overload a task of the shuffle; there are a thousand of them at most, so these are broadcast."""
+    many = members.count() // 1000 + 1
+    usual = members.join(table.filter(F.col("n") < many), ["k1", "k2"])
+    return usual.unionByName(members.join(F.broadcast(table.filter(F.col("n") >= many)), ["k1", "k2"]))
+
+
+#: Over documents, for n = 1.
+JOIN_SQL = r"""
+WITH RECURSIVE w AS (SELECT DISTINCT doc_id, text, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS g FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, k FROM (SELECT doc_id, list(g ORDER BY g) AS k FROM w GROUP BY doc_id, text)),
+c AS (SELECT k, min(doc_id) AS rep, count(*) AS n FROM s GROUP BY k),
+x AS (SELECT rep, n, len(k) AS size, unnest(k) AS g FROM c),
+half AS (SELECT a.rep AS a, b.rep AS b, a.n AS n_a, b.n AS n_b FROM x a JOIN x b ON a.g = b.g AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n, a.size, b.size HAVING count(*) >= (0.85 - 1e-6) * (a.size + b.size - count(*))),
+edges AS (SELECT a, b, n_b AS n FROM half UNION ALL SELECT b, a, n_a FROM half),
+reached AS (SELECT rep, rep AS other FROM c UNION SELECT r.rep, e.b FROM reached r JOIN edges e ON e.a = r.other),
+least AS (SELECT rep, min(other) AS class_id FROM reached GROUP BY rep),
+linked AS (SELECT a AS rep, sum(n) AS links FROM edges GROUP BY a)
+SELECT s.doc_id, class_id, (n - 1)::BIGINT AS n_copies, (n - 1 + coalesce(links, 0))::BIGINT AS n_links FROM s JOIN c USING (k) JOIN least USING (rep) LEFT JOIN linked USING (rep)
+"""
 
 
-def expanded(docs: DataFrame, threshold: float, n: int) -> DataFrame:
-    """Every pair doc_a < doc_b of documents with jaccard >= threshold.
+def jaccard_join(docs: DataFrame, threshold: float = 0.85, n: int = 1) -> DataFrame:
+    """doc_id, class_id, n_copies, n_links: a row for each document.
 
-    Documents of equal sets form a class. Only the smallest of each goes to the leaders; the pairs
-    found between classes and each class itself are then written out member by member, in blocks.
-    """
-    sets = checkpoint(feature_sets(docs, n)).withColumn("key", F.xxhash64("feats"))
-    classes = checkpoint(sets.groupBy("key").agg(F.sort_array(F.collect_set("doc_id")).alias("ids")))
-    members = candidates(sets.select("doc_id", "feats"), threshold)
-    members = checkpoint(members.join(classes.select(F.col("ids")[0].alias("member")).distinct(), "member", "left_semi"))
-    members = members.join(members.groupBy("leader").count().filter("count > 1"), "leader", "left_semi")
-    led = members.join(sets.withColumnRenamed("doc_id", "member"), "member").select("leader", "key", "feats")
-
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("key")
-        keys = pdf["key"].to_numpy()
-        x, y, jac = similar_pairs([np.asarray(f, np.int32).view(np.uint32) for f in pdf["feats"]], threshold)
-        return pd.DataFrame({"key_a": np.minimum(keys[x], keys[y]), "key_b": np.maximum(keys[x], keys[y]), "jaccard": jac})
-
-    near = led.groupBy("leader").applyInPandas(verify, "key_a long, key_b long, jaccard double").groupBy("key_a", "key_b").agg(F.max("jaccard").alias("jaccard"))
-    blocks = F.transform(F.sequence(F.lit(0), F.size("ids") - 1, F.lit(BLOCK)), lambda i: F.slice("ids", i + 1, BLOCK))
-    cut = classes.select("key", blocks.alias("blocks"))
-    left, right = cut.toDF("key_a", "left"), cut.toDF("key_b", "right")
-    across = near.join(left, "key_a").join(right, "key_b").select("left", "right", "jaccard").withColumn("left", F.explode("left")).withColumn("right", F.explode("right"))
-    within = cut.filter(F.size(F.flatten("blocks")) > 1).select("blocks", F.posexplode("blocks").alias("at", "left"))
-    within = within.select("left", F.explode(F.slice("blocks", F.col("at") + 1, F.size("blocks"))).alias("right"), F.lit(1.0).alias("jaccard"))
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts, held = [], 0
-            for left, right, jac in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
-                a, b = left.values.to_numpy(), right.values.to_numpy()
-                own = len(a) == len(b) and bool((a == b).all())
-                a, b = np.repeat(a, len(b)), np.tile(b, len(a))
-                ok = a < b if own else a != b
-                parts.append((np.minimum(a, b)[ok], np.maximum(a, b)[ok], np.full(int(ok.sum()), jac)))
-                held += len(parts[-1][0])
-                if held >= BLOCK * BLOCK:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], ["doc_a", "doc_b", "jaccard"])
-                    parts, held = [], 0
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], ["doc_a", "doc_b", "jaccard"])
-
-    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = across.unionByName(within).repartition(spread).mapInArrow(write, "doc_a long, doc_b long, jaccard double")
-    if sets.groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo <> hi").isEmpty():
-        return pairs
-    return pairs.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
-
-
-def jaccard_join(docs: DataFrame, threshold: float = 0.85, n: int = 1, every: bool = False) -> DataFrame:
-    """doc_a, doc_b, jaccard of all documents whose n-gram sets reach the threshold.
-
-    Null ids, null texts and texts without words join with nothing. Rows that repeat a doc_id with
-    the same text count once; one doc_id with two texts joins by both, never with itself.
-    every=True: all pairs. every=False: equal sets are reported as (smallest id, other id, 1.0),
-    similar distinct sets as their smallest ids. Ties at the threshold join. Extra columns are
-    ignored.
+    n_links counts all other documents whose n-gram sets reach the threshold, of which n_copies
+    have the very same set. class_id is the smallest doc_id of those that links connect with it,
+    directly or through others; its own where there is no link.
+
+    Null ids, null texts and texts without words give no row. Rows that repeat a doc_id with the
+    same set count once; one doc_id with two sets counts as two documents, with a row each. Ties at
+    the threshold join. Extra columns are ignored. An empty table gives no rows.
     """
     if not 0.5 <= threshold <= 1:
         raise ValueError("threshold must lie in [0.5, 1]")
-    found = expanded(docs, threshold, n) if every else verified(docs, threshold, n)
-    return found.withColumn("jaccard", F.round("jaccard", 6))
-
-
-def groups(docs: DataFrame, threshold: float = 0.85, n: int = 1) -> DataFrame:
-    """doc_id, group_id for every document in a connected group of two or more; group_id is the smallest doc_id."""
-    edges = verified(docs, threshold, n, chains=True).select("doc_a", "doc_b")
-    return components(edges)
+    spark = docs.sparkSession
+    path, kept = folder(spark, "join"), folder(spark, "joined")
+    with dropping_shuffles(spark):
+        members, classes = classes_of(docs, n, path)
+        found = compared(classes, threshold, path)
+        links = found.filter("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
+        small = classes.select("cls", "k1", "k2", "rep", "n")
+        group = components(found.filter("b is not null").select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))).select(F.col("doc_id").alias("cls"), F.col("group_id").alias("grp"))
+        least = group.join(small.select("cls", "rep"), "cls").groupBy("grp").agg(F.min("rep").alias("class_id"))
+        table = small.join(links, "cls", "left").join(group.join(least, "grp").select("cls", "class_id"), "cls", "left")
+        table = written(table.select("k1", "k2", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class_id", "rep").alias("class_id")), f"{path}/table")
+        rows = with_classes(members, table).select("doc_id", "class_id", (F.col("n") - 1).alias("n_copies"), (F.col("links") + F.col("n") - 1).alias("n_links"))
+        rows = written(rows, kept)
+        remove(spark, path)
+    return rows
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.85, n: int = 1) -> DataFrame:
@@ -344,7 +530,7 @@ def keep_one(docs: DataFrame, threshold: float = 0.85, n: int = 1) -> DataFrame:
     """
     flat, where = positional(docs)
     doc_id, text = F.col(where["doc_id"]), F.col(where["text"])
-    gone = groups(docs, threshold, n).filter("doc_id <> group_id").select(F.col("doc_id").alias("_id")).distinct()
+    gone = jaccard_join(docs, threshold, n).filter("doc_id <> class_id").select(F.col("doc_id").alias("_id")).distinct()
     repeated = checkpoint(flat.filter(doc_id.isNotNull()).groupBy(doc_id.cast("long").alias("_id")).count().filter("count > 1").select("_id"))
     kept = flat.join(gone, doc_id.cast("long") == F.col("_id"), "left_anti")
     if not repeated.isEmpty():

@@ -46,7 +46,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), threshold=0.85, n=1, every=True)
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), threshold=0.85, n=1)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +69,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op7_chat_format": chat.EXPAND_SQL}
+ORACLES: dict[str, str] = {"op7_chat_format": chat.EXPAND_SQL, "op9_ngram_jaccard_join": jaccard_join.JOIN_SQL}

@@ -122,80 +122,83 @@ def jaccard(a, b):
 
 
 def brute_join(rows, threshold, n):
-    sets = {}
-    for i, t in rows:
-        s = frozenset(jaccard_join.shingles(t, n))
-        if i is not None and s:
-            sets.setdefault(s, set()).add(i)
-    out = {(min(ids), i, 1.0) for ids in sets.values() for i in ids if i != min(ids)}
-    each = [(min(ids), s) for s, ids in sets.items()]
-    for x, (i, s) in enumerate(each):
-        for j, t in each[x + 1 :]:
-            if i != j and jaccard(s, t) >= threshold - 1e-9:
-                out.add((min(i, j), max(i, j), round(jaccard(s, t), 6)))
-    return out
-
-
-@pytest.mark.parametrize("threshold,n", [(0.85, 1), (0.6, 2), (0.5, 1), (1.0, 1)])
-def test_join_is_exact(spark, threshold, n):
+    """doc_id, class_id, n_copies, n_links by comparing every document with every other."""
+    docs = sorted({(i, frozenset(jaccard_join.shingles(t, n))) for i, t in rows if i is not None and jaccard_join.shingles(t, n)}, key=lambda d: d[0])
+    links = [[y for y, (_, t) in enumerate(docs) if y != x and jaccard(s, t) >= threshold - 1e-9] for x, (_, s) in enumerate(docs)]
+    least = list(range(len(docs)))
+    while True:
+        now = [min([least[x], *(least[y] for y in links[x])]) for x in range(len(docs))]
+        if now == least:
+            break
+        least = now
+    return sorted((i, docs[least[x]][0], sum(docs[y][1] == s for y in links[x]), len(links[x])) for x, (i, s) in enumerate(docs))
+
+
+@pytest.mark.parametrize("threshold,n,block", [(0.85, 1, 2048), (0.6, 2, 4), (0.5, 1, 2048), (0.7, 1, 3), (1.0, 1, 2048)])
+def test_join_is_exact(spark, monkeypatch, threshold, n, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
     rng = np.random.default_rng(int(threshold * 100) + n)
     rows, base = [], []
     for i in range(160):
-        if i % 4 == 0 or not base:
+        if i % 8 == 0 or not base:
             base = [f"w{k}" for k in rng.integers(0, 400, rng.integers(1, 60))]
         words = [w if rng.random() > 0.05 else f"v{rng.integers(9)}" for w in base]
         rows.append((i, " ".join(words)))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    want = brute_join(rows, threshold, n)
-    got = {tuple(r) for r in jaccard_join.jaccard_join(df, threshold, n).collect()}
-    near = {(a, b) for a, b, _ in want}
-    found = {(a, b) for a, b, _ in got}
-    assert found <= near and len(found) >= 0.97 * len(near)
-
-
-@pytest.mark.parametrize("threshold,n", [(0.85, 1), (0.6, 2)])
-def test_join_gives_every_pair(spark, monkeypatch, threshold, n):
-    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
-    rng = np.random.default_rng(5)
-    rows = []
-    for g in range(12):
-        base = [f"w{k}" for k in rng.integers(0, 400, 30)]
-        for v in range(3):
-            rows += [(len(rows) + i, " ".join([*base, *[f"x{g}"] * v, f"y{v}"])) for i in range(int(rng.integers(1, 9)))]
-    rows += [(3, rows[20][1]), (3, rows[3][1])]
-    sets = [(i, jaccard_join.shingles(t, n)) for i, t in rows]
-    want = {}
-    for x, (i, s) in enumerate(sets):
-        for j, t in sets[x + 1 :]:
-            if i != j and jaccard(s, t) >= threshold:
-                pair = min(i, j), max(i, j)
-                want[pair] = max(want.get(pair, 0), round(jaccard(s, t), 6))
-    got = [tuple(r) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), threshold, n, every=True).collect()]
-    assert len(got) == len(want) and {(a, b): pytest.approx(j, abs=2e-6) for a, b, j in got} == want
+    rows += [(200 + i, rows[i][1]) for i in range(0, 60, 3)] + [(3, rows[20][1]), (3, rows[3][1]), (7, rows[6][1])]
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), threshold, n)
+    assert sorted(tuple(r) for r in got.collect()) == brute_join(rows, threshold, n)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.85, 1.0])
+def test_signatures_and_sketches_lose_no_pair(threshold):
+    rng = np.random.default_rng(11)
+    sets, pairs = [], []
+    for _ in range(300):
+        a = rng.choice(1 << 32, int(rng.integers(1, 120)), replace=False).astype(np.uint32)
+        drop = int(rng.integers(0, len(a) + 1) * rng.random() ** 3)
+        b = np.unique(np.r_[a[drop:], rng.integers(0, 1 << 32, int(rng.integers(0, 30) * rng.random() ** 2)).astype(np.uint32)])
+        sets += [np.unique(a), b]
+    where = {}
+    for i in range(3):
+        sig, who = jaccard_join.signatures(sets, threshold, (i, 3))
+        for s, w in zip(sig.tolist(), who.tolist()):
+            where.setdefault(w, set()).add(s)
+    whole = {}
+    for s, w in zip(*(x.tolist() for x in jaccard_join.signatures(sets, threshold))):
+        whole.setdefault(w, set()).add(s)
+    assert whole == where
+    for x in range(0, len(sets), 2):
+        if len(sets[x + 1]) and jaccard(set(sets[x].tolist()), set(sets[x + 1].tolist())) >= threshold:
+            pairs.append(x)
+            sk = [jaccard_join.sketch(s) for s in sets[x : x + 2]]
+            label = jaccard_join.possible(np.concatenate(sk), np.array([len(s) for s in sk]), np.array([len(s) for s in sets[x : x + 2]]), np.array([2]), threshold)
+            assert where[x] & where[x + 1] and label.tolist() == [0, 0]
+    assert len(pairs) > 20
+
+
+def test_neighbours():
+    for lengths in ([1], [3, 1, 4], [2, 2, 900]):
+        runs = np.repeat(np.arange(len(lengths)), lengths)
+        want = {(i, j) for i in range(len(runs)) for j in range(i + 1, len(runs)) if runs[i] == runs[j]}
+        parts = list(jaccard_join.neighbours(np.array(lengths)))
+        got = [(i, j) for a, b in parts for i, j in zip(a.tolist(), b.tolist())]
+        assert len(got) == len(want) and set(got) == want
 
 
 def test_keep_one_by_brute_force(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
-    parent = {i: i for i, _ in rows}
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for a, b, _ in brute_join(rows, 0.85, 1):
-        a, b = root(a), root(b)
-        parent[max(a, b)] = min(a, b)
+    want = {i for i, least, *_ in brute_join([(r.doc_id, r.text) for r in docs.collect()], 0.85, 1) if i == least}
     kept = jaccard_join.keep_one(docs)
-    assert {r.doc_id for r in kept.collect()} == {i for i in parent if root(i) == i} and kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == want and kept.columns == docs.columns
 
 
 def test_join_of_awkward_rows(awkward):
-    assert {tuple(r) for r in jaccard_join.jaccard_join(awkward, 0.85).collect()} == {(1, 6, 1.0), (4, 5, 1.0)}
+    assert {tuple(r) for r in jaccard_join.jaccard_join(awkward, 0.85).collect()} == {(1, 1, 1, 1), (6, 1, 1, 1), (4, 4, 1, 1), (5, 4, 1, 1), (8, 8, 0, 0)}
     kept = jaccard_join.keep_one(awkward)
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 7, 8] and kept.columns == awkward.columns
     assert jaccard_join.jaccard_join(awkward.limit(0)).count() == 0 and jaccard_join.keep_one(awkward.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        jaccard_join.jaccard_join(awkward, 0.4)
 
 
 def test_components(spark):
