@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import resource
 import sys
 import time
 from pathlib import Path
@@ -16,6 +17,8 @@ from .operators.trainer import Config
 from .sources import corpus
 
 WORDPIECE = "##"
+#: Bytes of lines that pretok holds at once.
+CHUNK = 16_000_000
 
 
 def parser() -> argparse.ArgumentParser:
@@ -41,10 +44,17 @@ def pretok(args: list[str]) -> int:
     p.add_argument("--lines", action="store_true")
     p.add_argument("file")
     a = p.parse_args(args)
-    rows = corpus.read_files(api.session(), [a.file]).select(F.explode(T.lines(F.col("text"))).alias("line"))
-    shown = F.transform(T.pieces(F.col("line")), T.show_bytes)
-    for r in rows.select(F.array_join(shown, "\t" if a.lines else "\n").alias("out")).toLocalIterator():
-        print(r["out"])
+    spark = api.session()
+    shown = F.array_join(F.transform(T.pieces(F.col("line")), T.show_bytes), "\t" if a.lines else "\n")
+    # what is printed passes the driver in the file's order anyway; so many bytes at a time
+    with open(a.file, "rb") as f:
+        while lines := f.readlines(CHUNK):
+            try:
+                rows = spark.createDataFrame([(i, x.decode()) for i, x in enumerate(lines)], "i long, line string")
+            except UnicodeDecodeError:
+                p.error(corpus.NOT_UTF8)
+            for r in rows.select("i", shown.alias("out")).orderBy("i").toLocalIterator():
+                print(r["out"])
     return 0
 
 
@@ -53,8 +63,13 @@ def main(args: list[str]) -> int:
         return pretok(args[1:])
     p = parser()
     a = p.parse_args(args)
-    if a.wordpiece and a.continuing_subword_prefix not in (None, WORDPIECE):
-        p.error("--wordpiece and another --continuing-subword-prefix conflict")
+    if a.wordpiece and a.continuing_subword_prefix is not None:
+        p.error("--wordpiece sets the prefix itself; --continuing-subword-prefix can't be given with it")
+    for decoration in (a.continuing_subword_prefix, a.end_of_word_suffix):
+        if decoration and " " in decoration:
+            p.error("a prefix or suffix must not contain a space, which divides the tokens of a printed merge")
+    if a.threads is not None and not 0 <= a.threads <= api.MOST_THREADS:
+        p.error(f"--threads must lie in 0..{api.MOST_THREADS}")
     prefix = WORDPIECE if a.wordpiece else a.continuing_subword_prefix
     try:
         cfg = Config(a.vocab_size, a.min_frequency, tuple(a.special), a.limit_alphabet, (), a.max_token_length, prefix, a.end_of_word_suffix)
@@ -62,16 +77,26 @@ def main(args: list[str]) -> int:
         p.error(str(e))
     if a.words_tsv and len(a.files) != 1:
         p.error("--words-tsv takes one file")
-    began = time.time()
+    times = [time.time()]
     try:
         words = corpus.read_counts(api.session(), a.files[0]) if a.words_tsv else api.count_words(a.files, a.pretokenizer)
+        words = words.persist()
+        distinct, total = words.agg(F.count("*"), F.sum("cnt")).first()
+        times.append(time.time())
         ids, merges = api.train_from_counts(words, cfg)
+        times.append(time.time())
+        words.unpersist()
     except ValueError as e:
         p.error(str(e))
+    except Exception as e:
+        if corpus.NOT_UTF8 not in str(e):
+            raise
+        p.error(corpus.NOT_UTF8)
     sys.stdout.write(serialize.merge_lines(merges))
     if a.vocab_out:
         Path(a.vocab_out).write_text(serialize.vocab_json(list(ids)), encoding="utf-8")
-    print(f"vocab {len(ids)}, merges {len(merges)}, {time.time() - began:.1f} s", file=sys.stderr)
+    peak = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+    print(f"words {total or 0}, distinct {distinct}, vocab {len(ids)}, merges {len(merges)}, counting {times[1] - times[0]:.1f} s, merging {times[2] - times[1]:.1f} s, driver {peak:.0f} MB", file=sys.stderr)
     return 0
 
 

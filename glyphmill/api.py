@@ -28,7 +28,7 @@ def count_words(files: Sequence[str], pretokenizer: str = "whitespace", spark: S
     missing = [f for f in files if "://" not in f and not Path(f).is_file()]
     if missing:
         raise ValueError(f"not a regular file: {missing[0]}")
-    return counts.word_counts(corpus.read_files(spark or session(), files), pretokenizer)
+    return counts.line_counts(corpus.read_lines(spark or session(), files), pretokenizer)
 
 
 def train_bpe(files: Sequence[str], vocab_size: int, *, special_tokens: Sequence[str] = (), min_frequency: int = 0, max_token_length: int | None = None, limit_alphabet: int | None = None, pretokenizer: str = "whitespace", threads: int | None = None, continuing_subword_prefix: str | None = None, end_of_word_suffix: str | None = None) -> tuple[dict[str, int], list[tuple[str, str]]]:
@@ -36,9 +36,8 @@ def train_bpe(files: Sequence[str], vocab_size: int, *, special_tokens: Sequence
     if threads is not None and not 0 <= threads <= MOST_THREADS:
         raise ValueError(f"threads must lie in 0..{MOST_THREADS}")
     cfg = Config(vocab_size, min_frequency, tuple(special_tokens), limit_alphabet, (), max_token_length, continuing_subword_prefix, end_of_word_suffix)
-    words = count_words(files, pretokenizer)
     try:
-        return train_from_counts(words, cfg)
+        return train_from_counts(count_words(files, pretokenizer), cfg)
     except Exception as e:
         if "valid UTF-8" in str(e):
             raise ValueError("stream did not contain valid UTF-8") from e

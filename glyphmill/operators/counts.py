@@ -28,6 +28,15 @@ def word_counts(docs: DataFrame, mode: str = "whitespace", text: str = "text") -
     return n if mode == "whitespace" else n.withColumn("word", T.show_bytes(F.col("word")))
 
 
+def line_counts(lines: DataFrame, mode: str = "whitespace") -> DataFrame:
+    """word, cnt of lines (line with its terminator, weight)."""
+    if mode not in MODES:
+        raise ValueError(f"unknown pretokenizer {mode!r}: expected one of {', '.join(MODES)}")
+    cut = T.words(F.col("line")) if mode == "whitespace" else T.pieces(F.col("line"))
+    n = lines.select(F.explode(cut).alias("word"), "weight").groupBy("word").agg(F.sum("weight").alias("cnt")).filter("cnt <> 0")
+    return n if mode == "whitespace" else n.withColumn("word", T.show_bytes(F.col("word")))
+
+
 def alphabet_counts(words: DataFrame) -> DataFrame:
     """ch, cnt: occurrences of every character, weighted by the words' counts."""
     return words.select(F.explode(T.characters(F.col("word"))).alias("ch"), "cnt").groupBy("ch").agg(F.sum("cnt").alias("cnt"))

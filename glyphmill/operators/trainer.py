@@ -1,13 +1,14 @@
 """Incremental training: one task holds the distinct words and follows the merges exactly.
 
-Counts of pairs are kept up to date from the neighbours of each merge; a heap orders pairs by
-(count, ids), and an entry whose count is outdated goes back with the right one.
+The symbols of all words lie in one array, linked to their neighbours. A merge looks at the words
+that its pair was last seen in, finds all its places at once and updates the counts of the pairs
+around them; a heap orders pairs by (count, ids), and an entry whose count is outdated goes back
+with the right one.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -17,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNSIGNED = (1 << 64) - 1
-CHAR = re.compile(r".", re.S)
 
 
 @dataclass(frozen=True)
@@ -37,9 +37,6 @@ class Config:
         for name in ("vocab_size", "min_frequency"):
             if getattr(self, name) < 0:
                 raise ValueError(f"{name} must not be negative")
-        for decoration in (self.continuing_subword_prefix, self.end_of_word_suffix):
-            if decoration and re.search(r"\s", decoration):
-                raise ValueError("a prefix or suffix must not contain white space")
 
 
 @dataclass
@@ -55,12 +52,16 @@ class Trained:
         return [(self.vocab[a], self.vocab[b]) for (a, b), _ in sorted(last.items(), key=lambda x: x[1])]
 
 
-def start(words: Sequence[tuple[str, int]], cfg: Config) -> tuple[list[str], dict[str, int], list[list[int]], list[int]]:
-    """The vocabulary before any merge, ids, and the words' symbols and counts."""
-    seen: dict[str, int] = {}
-    for w, n in words:
-        for c in w:
-            seen[c] = seen.get(c, 0) + n
+def start(words: Sequence[str], counts: np.ndarray, cfg: Config) -> tuple[list[str], dict[str, int], np.ndarray, np.ndarray]:
+    """The vocabulary before any merge, ids, the symbols of all words and the word of each."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+    distinct, which = np.unique(points, return_inverse=True)
+    weight = np.zeros(len(distinct), np.int64)
+    np.add.at(weight, which, counts[owner])
+    chars = [chr(c) for c in distinct.tolist()]
+    seen = dict(zip(chars, weight.tolist()))
     for c in cfg.initial_alphabet:
         seen[c] = UNSIGNED
     kept = sorted(seen)
@@ -68,51 +69,68 @@ def start(words: Sequence[tuple[str, int]], cfg: Config) -> tuple[list[str], dic
         kept = sorted(sorted(kept, key=lambda c: (seen[c], c))[len(kept) - cfg.limit_alphabet :])
     vocab = list(dict.fromkeys([*cfg.special_tokens, *kept]))
     ids = {t: i for i, t in enumerate(vocab)}
+    live = np.array([c in ids for c in chars], bool)[which]
     prefix, suffix = cfg.continuing_subword_prefix or "", cfg.end_of_word_suffix or ""
-    spelled = [[((prefix if i else "") + c + (suffix if i == len(w) - 1 else "")) for i, c in enumerate(w) if c in ids] for w, _ in words] if prefix or suffix else None
-    if spelled is not None:
-        for t in sorted({t for s in spelled for t in s} - ids.keys()):
+    # a symbol's spelling depends on its character and on whether it begins or ends its word
+    edge = np.zeros(len(points), np.int64)
+    if prefix or suffix:
+        ends = np.cumsum(sizes)[sizes > 0]
+        edge[(ends - sizes[sizes > 0])] += 1
+        edge[ends - 1] += 2
+    spelled, symbol = np.unique((which * 4 + edge)[live], return_inverse=True)
+    tokens = [chars[k >> 2] for k in spelled.tolist()]
+    if prefix or suffix:
+        tokens = [(t if k & 1 else prefix + t) + (suffix if k & 2 else "") for t, k in zip(tokens, spelled.tolist())]
+        for t in sorted(set(tokens) - ids.keys()):
             ids[t] = len(vocab)
             vocab.append(t)
-        symbols = [[ids[t] for t in s] for s in spelled]
-    else:
-        symbols = [[ids[c] for c in w if c in ids] for w, _ in words]
-    return vocab, ids, symbols, [n for _, n in words]
-
-
-def first_pairs(symbols: list[list[int]], counts: list[int]) -> tuple[dict[tuple[int, int], int], dict[tuple[int, int], np.ndarray]]:
-    """Counts of neighbours and the words they stand in."""
-    sizes = np.array([len(s) for s in symbols], np.int64)
-    flat = np.fromiter((x for s in symbols for x in s), np.int64, int(sizes.sum()))
-    owner = np.repeat(np.arange(len(symbols)), sizes)
-    if len(flat) < 2:
-        return {}, {}
-    inside = owner[1:] == owner[:-1]
-    key = (flat[:-1] << 32 | flat[1:])[inside]
-    owner = owner[:-1][inside]
+    return vocab, ids, np.array([ids[t] for t in tokens], np.int64)[symbol], owner[live]
+
+
+def grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that sorts the keys, where each distinct one begins in it, and the distinct keys."""
     order = np.argsort(key, kind="stable")
-    key, owner = key[order], owner[order]
+    key = key[order]
+    begin = np.flatnonzero(np.r_[len(key) > 0, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    return order, begin, key[begin]
+
+
+def first_pairs(symbols: np.ndarray, owner: np.ndarray, counts: np.ndarray) -> tuple[dict[int, int], dict[int, np.ndarray]]:
+    """Counts of neighbours (by left << 32 | right) and the words they stand in."""
+    inside = np.flatnonzero(owner[1:] == owner[:-1])
+    order, begin, key = grouped(symbols[inside] << 32 | symbols[inside + 1])
     if not len(key):
         return {}, {}
-    begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    total = np.add.reduceat(np.array(counts, np.int64)[owner], begin)
-    pairs = [(k >> 32, k & 0xFFFFFFFF) for k in key[begin].tolist()]
-    return dict(zip(pairs, total.tolist())), dict(zip(pairs, np.split(owner, begin[1:])))
+    held = owner[inside][order]
+    total = np.add.reduceat(counts[held], begin)
+    return dict(zip(key.tolist(), total.tolist())), dict(zip(key.tolist(), np.split(held, begin[1:])))
 
 
 def train(words: Sequence[tuple[str, int]], cfg: Config) -> Trained:
-    vocab, ids, symbols, counts = start(words, cfg)
-    pair_n, where = first_pairs(symbols, counts)
-    lengths = [[1] * len(s) for s in symbols] if cfg.max_token_length is not None else None
-    heap = [(-n, a, b, i) for i, ((a, b), n) in enumerate(pair_n.items()) if n > 0]
-    places: dict[int, object] = {i: where[a, b] for _, a, b, i in heap}
+    return train_words([w for w, _ in words], np.array([n for _, n in words], np.int64), cfg)
+
+
+def train_words(words: Sequence[str], counts: np.ndarray, cfg: Config) -> Trained:
+    vocab, ids, sym, owner = start(words, counts, cfg)
+    pair_n, where = first_pairs(sym, owner, counts)
+    n = len(sym)
+    same = owner[1:] == owner[:-1]
+    at = np.arange(n, dtype=np.int64)
+    after, before = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+    after[:-1][same], before[1:][same] = at[1:][same], at[:-1][same]
+    sizes = np.bincount(owner, minlength=len(words)) if n else np.zeros(len(words), np.int64)
+    begins = np.cumsum(sizes) - sizes
+    most = cfg.max_token_length
+    length = np.ones(n, np.int64)
+    heap = [(-c, k >> 32, k & 0xFFFFFFFF, i) for i, (k, c) in enumerate(pair_n.items()) if c > 0]
+    places: dict[int, np.ndarray] = {i: where[a << 32 | b] for _, a, b, i in heap}
     where.clear()
     heapq.heapify(heap)
     ticket, merges = len(pair_n), []
     prefix = cfg.continuing_subword_prefix
     while len(vocab) < cfg.vocab_size and heap:
         negative, a, b, i = heapq.heappop(heap)
-        current = pair_n[a, b] & UNSIGNED
+        current = pair_n[a << 32 | b] & UNSIGNED
         if -negative != current:
             heapq.heappush(heap, (-current, a, b, i))
             continue
@@ -125,45 +143,51 @@ def train(words: Sequence[tuple[str, int]], cfg: Config) -> Trained:
             new = ids[token] = len(vocab)
             vocab.append(token)
         merges.append((a, b, new))
-        fresh: dict[tuple[int, int], set[int]] = {}
-        at = places.pop(i)
-        for w in at.tolist() if isinstance(at, np.ndarray) else at:
-            old, n = symbols[w], counts[w]
-            if a not in old:
-                continue
-            sizes = lengths[w] if lengths is not None else None
-            out, out_sizes, k, end = [], [], 0, len(old)
-            while k < end:
-                if k + 1 < end and old[k] == a and old[k + 1] == b:
-                    size = sizes[k] + sizes[k + 1] if sizes is not None else 0
-                    if out:
-                        p = out[-1]
-                        pair_n[p, a] = pair_n.get((p, a), 0) - n
-                        if sizes is None or out_sizes[-1] + size < cfg.max_token_length:
-                            pair_n[p, new] = pair_n.get((p, new), 0) + n
-                            fresh.setdefault((p, new), set()).add(w)
-                    if k + 2 < end:
-                        q = old[k + 2]
-                        pair_n[b, q] = pair_n.get((b, q), 0) - n
-                        if sizes is None or size + sizes[k + 2] < cfg.max_token_length:
-                            pair_n[new, q] = pair_n.get((new, q), 0) + n
-                            fresh.setdefault((new, q), set()).add(w)
-                    out.append(new)
-                    out_sizes.append(size)
-                    k += 2
-                else:
-                    out.append(old[k])
-                    if sizes is not None:
-                        out_sizes.append(sizes[k])
-                    k += 1
-            symbols[w] = out
-            if lengths is not None:
-                lengths[w] = out_sizes
-        for pair, at in fresh.items():
-            if pair_n[pair] > 0:
-                places[ticket] = at
-                heapq.heappush(heap, (-pair_n[pair], *pair, ticket))
-                ticket += 1
+        held = np.unique(places.pop(i))
+        span = sizes[held]
+        spots = np.repeat(begins[held] - (np.cumsum(span) - span), span) + np.arange(int(span.sum()))
+        left = spots[sym[spots] == a]
+        right = after[left]
+        hit = (right >= 0) & (sym[right] == b)
+        left, right = left[hit], right[hit]
+        if a == b and len(left):  # of a chain of overlapping places every other one
+            chain = np.r_[True, left[1:] != right[:-1]]
+            start_at = np.maximum.accumulate(np.where(chain, np.arange(len(left)), 0))
+            every_other = (np.arange(len(left)) - start_at) % 2 == 0
+            left, right = left[every_other], right[every_other]
+        if not len(left):
+            continue
+        weight = counts[owner[left]]
+        size = length[left] + length[right]
+        p, q = before[left], after[right]
+        has_p, has_q = p >= 0, q >= 0
+        # a left neighbour that ends the place before is merged already, a right one isn't yet
+        merged = np.r_[False, p[1:] == right[:-1]]
+        p_sym = np.where(merged, new, sym[p])
+        p_size = np.where(merged, np.r_[0, size[:-1]], length[p])
+        fits_p = has_p if most is None else has_p & (p_size + size < most)
+        fits_q = has_q if most is None else has_q & (size + length[q] < most)
+        q_sym = sym[q]
+        grown = np.concatenate([p_sym[fits_p] << 32 | new, new << 32 | q_sym[fits_q]])
+        shrunk = np.concatenate([p_sym[has_p] << 32 | a, b << 32 | q_sym[has_q]])
+        key = np.concatenate([grown, shrunk])
+        if len(key):
+            change = np.concatenate([weight[fits_p], weight[fits_q], -weight[has_p], -weight[has_q]])
+            order, begin, distinct = grouped(key)
+            for k, c in zip(distinct.tolist(), np.add.reduceat(change[order], begin).tolist()):
+                pair_n[k] = pair_n.get(k, 0) + c
+        sym[left], sym[right] = new, -1
+        length[left] = size
+        after[left] = q
+        before[q[has_q]] = left[has_q]
+        if len(grown):
+            held = np.concatenate([owner[left[fits_p]], owner[left[fits_q]]])
+            order, begin, distinct = grouped(grown)
+            for k, w in zip(distinct.tolist(), np.split(held[order], begin[1:])):
+                if pair_n[k] > 0:
+                    places[ticket] = w
+                    heapq.heappush(heap, (-pair_n[k], k >> 32, k & 0xFFFFFFFF, ticket))
+                    ticket += 1
     return Trained(vocab, merges)
 
 
@@ -180,8 +204,11 @@ def train_table(words: DataFrame, cfg: Config) -> DataFrame:
         return np.array(values, dtype=object)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [r for pdf in batches for r in zip(pdf["word"].tolist(), pdf["cnt"].tolist())]
-        done = train(rows, cfg)
+        held, n = [], [np.empty(0, np.int64)]
+        for pdf in batches:
+            held += pdf["word"].tolist()
+            n.append(pdf["cnt"].to_numpy(np.int64))
+        done = train_words(held, np.concatenate(n), cfg)
         yield pd.DataFrame({"kind": "vocab", "id": range(len(done.vocab)), "token": strings(done.vocab), "left": None, "right": None})
         merges = done.serialized()
         prefix = cfg.continuing_subword_prefix

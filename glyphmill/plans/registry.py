@@ -37,7 +37,7 @@ def query(oracle: str | None = None):
 
 
 def load(spark: SparkSession, d: str, name: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return corpus.read_table(spark, f"{d}/{name}.parquet")
 
 
 def words_of(spark: SparkSession, d: str, mode: str = "whitespace") -> DataFrame:
@@ -77,7 +77,7 @@ EACH_PIECE = f"SELECT doc_id, line_no, unnest({sql.pieces('line')}) AS piece FRO
 # scans and sources
 
 
-@query()
+@query(sql.WS_COUNTS)
 def scan_text(spark, d):
     """Text files read in splits: the documents written as lines, and read again."""
     from ..functions.shared import shared_folder
@@ -120,9 +120,12 @@ def round_robin_sample(spark, d):
     return corpus.round_robin(load(spark, d).select("doc_id", "lang")).select("doc_id", "lang", "position")
 
 
-@query()
+@query("SELECT doc_id, n::BIGINT AS n_bytes, substr(hex(encode(text)), 2 * n + 1, 1) NOT IN ('8', '9', 'A', 'B') AS valid FROM (SELECT *, strlen(text) // 2 AS n FROM documents)")
 def utf8_guard(spark, d):
-    return corpus.utf8_guard(spark, f"{d}/documents.parquet").select("n_bytes", "valid")
+    """The first half of each text's bytes, which may end inside a character."""
+    raw = F.encode("text", "UTF-8")
+    half = load(spark, d).select("doc_id", F.floor(F.octet_length(raw) / 2).cast("int").alias("n"), raw.alias("raw"))
+    return half.select("doc_id", F.col("n").cast("bigint").alias("n_bytes"), corpus.valid_utf8(F.col("raw").substr(F.lit(1), F.col("n"))).alias("valid"))
 
 
 # pretokens

@@ -13,20 +13,31 @@ from ..functions import text as T
 LARGEST = (1 << 63) - 1
 
 
-def utf8_guard(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """path, n_bytes, valid of every file: whether its bytes are UTF-8. A missing path raises."""
-    files = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths))
-    return files.select("path", F.col("length").alias("n_bytes"), F.is_valid_utf8(F.col("content").cast("string")).alias("valid"))
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table. Where it has fewer row groups than there are cores, no more tasks than that could read it, so its rows are dealt to more."""
+    table = spark.read.parquet(path)
+    cores, files = spark.sparkContext.defaultParallelism, table.inputFiles()
+    if len(files) >= cores:
+        return table
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    groups = 0
+    for f in files:
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(f), conf))
+        groups += reader.getRowGroups().size()
+        reader.close()
+    return table.repartition(cores) if groups < cores else table
+
+
+def valid_utf8(raw: Column) -> Column:
+    """Whether bytes are UTF-8."""
+    return F.is_valid_utf8(raw.cast("string"))
 
 
-def read_files(spark: SparkSession, paths: Sequence[str], check: bool = True) -> DataFrame:
-    """text: one row for each file. Bytes that aren't UTF-8 are an error of the task that meets them."""
-    if isinstance(paths, str) or not paths:
-        raise ValueError("paths must be a list of one or more files")
-    files = spark.read.format("binaryFile").load(list(paths)).select("content")
-    raw = F.col("content").cast("string")
-    bad = F.raise_error(F.lit("stream did not contain valid UTF-8")).cast("string")
-    return files.select((F.when(F.is_valid_utf8(raw), raw).otherwise(bad) if check else raw).alias("text"))
+def utf8_guard(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """path, n_lines, bad_lines of every file that isn't empty, read in splits: lines in all, and those whose bytes aren't UTF-8. A missing path raises."""
+    lines = spark.read.text(paths if isinstance(paths, str) else list(paths), lineSep="\n")
+    bad = F.count(F.when(~F.is_valid_utf8("value"), 1))
+    return lines.groupBy(F.input_file_name().alias("path")).agg(F.count("*").alias("n_lines"), bad.alias("bad_lines"))
 
 
 def scan_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -34,6 +45,70 @@ def scan_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return spark.read.text(list(paths), lineSep="\n").select(F.col("value").alias("line"))
 
 
+def piece_of_file(spark: SparkSession, path: str, begin: int, size: int) -> bytes:
+    """Some bytes of a file in any file system, on the driver."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        stream.seek(begin)
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, size))
+    finally:
+        stream.close()
+
+
+BOM = "\ufeff"
+NOT_UTF8 = "stream did not contain valid UTF-8"
+
+
+def corrections(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Lines, and how often each counts, that make up for what reading in splits does to a file: the last line gets a line feed that it may lack, and a mark at the beginning is lost."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).getLen()
+    out: list[tuple[str, int]] = []
+    if not size:
+        return out
+    first = last = None
+    if size == 3 and piece_of_file(spark, path, 0, 3) == BOM.encode():  # read as no line at all
+        return [(BOM, 1)]
+    if piece_of_file(spark, path, 0, min(3, size)) == BOM.encode():
+        held, step = b"", 1 << 12
+        while len(held) < size and b"\n" not in held:
+            held += piece_of_file(spark, path, len(held), min(step, size - len(held)))
+            step *= 2
+        first = held.split(b"\n")[0][3:]
+    if piece_of_file(spark, path, size - 1, 1) != b"\n":
+        held, step = b"", 1 << 12
+        while len(held) < size and b"\n" not in held:
+            more = min(step, size - len(held))
+            held = piece_of_file(spark, path, size - len(held) - more, more) + held
+            step *= 2
+        last = held.rsplit(b"\n", 1)[-1]
+    try:
+        if first is not None:
+            out += [(first.decode() + "\n", -1), (BOM + first.decode() + "\n", 1)]
+        if last is not None:
+            text = last.decode()
+            out += [(text + "\n", -1), (text, 1)]
+    except UnicodeDecodeError:
+        raise ValueError(NOT_UTF8) from None
+    return out
+
+
+def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """line, weight: the lines of text files with their terminators, read in splits of any size of file.
+
+    A few lines per file count -1 or once more, see corrections; sums over all rows are exact. A line
+    that isn't UTF-8 is an error of the task that meets it.
+    """
+    if isinstance(paths, str) or not paths:
+        raise ValueError("paths must be a list of one or more files")
+    raw = F.col("value")
+    checked = F.when(F.is_valid_utf8(raw), F.concat(raw, F.lit("\n"))).otherwise(F.raise_error(F.lit(NOT_UTF8)).cast("string"))
+    lines = spark.read.text(list(paths), lineSep="\n").select(checked.alias("line"), F.lit(1).cast("long").alias("weight"))
+    more = [row for p in paths for row in corrections(spark, p)]
+    return lines.unionByName(spark.createDataFrame(more, "line string, weight long")) if more else lines
+
+
 def split_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, line_no (from 0), line with its terminator; null and empty texts have none."""
     return docs.select(F.col(key), F.posexplode(T.lines(F.col(text))).alias("line_no", "line"))

@@ -75,10 +75,10 @@ def test_files(spark, tmp_path):
     good, bad = tmp_path / "a.txt", tmp_path / "b.txt"
     good.write_bytes(b"x y\r\nz")
     bad.write_bytes(b"\xff\xfe")
-    assert [r.text for r in corpus.read_files(spark, [str(good)]).collect()] == ["x y\r\nz"]
+    assert sorted((r.line, r.weight) for r in corpus.read_lines(spark, [str(good)]).collect()) == [("x y\r\n", 1), ("z", 1), ("z\n", -1), ("z\n", 1)]
     with pytest.raises(Exception, match="valid UTF-8"):
-        corpus.read_files(spark, [str(bad)]).collect()
-    assert {r.valid for r in corpus.utf8_guard(spark, [str(good), str(bad)]).collect()} == {True, False}
+        corpus.read_lines(spark, [str(bad)]).collect()
+    assert {r.path.rsplit("/", 1)[1]: (r.n_lines, r.bad_lines) for r in corpus.utf8_guard(spark, [str(good), str(bad)]).collect()} == {"a.txt": (2, 0), "b.txt": (1, 1)}
 
 
 def test_pattern_of_the_oracle_marks_only_backed_off_blanks():

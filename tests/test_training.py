@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+import slow_trainer
 from glyphmill import api
 from glyphmill.__main__ import main
 from glyphmill.operators import counts, merging, metrics, serialize, trainer
@@ -49,8 +50,19 @@ def test_decoration():
     assert len(merges) == 15 and merges[11] == "##c ##a"
     vocab, merges, _ = train({"bccaa": 1}, continuing_subword_prefix="##")
     assert vocab.index("##a") < vocab.index("##c") and merges[:2] == ["b ##c", "##a ##a"]
-    with pytest.raises(ValueError):
-        Config(continuing_subword_prefix="# #")
+    assert Config(continuing_subword_prefix="# #").continuing_subword_prefix == "# #"
+
+
+@pytest.mark.parametrize("seed", range(150))
+def test_same_as_loops(seed):
+    rng = random.Random(seed)
+    letters = "abcde"[: rng.choice([1, 1, 2, 3, 5])]
+    words = {"".join(rng.choices(letters, k=rng.randint(1, 16))): rng.randint(1, 30) for _ in range(rng.randint(1, 14))}
+    how = dict(vocab_size=rng.randint(5, 80), max_token_length=rng.choice([None, None, 2, 3, 4, 6]), min_frequency=rng.choice([0, 0, 3, 20]))
+    how |= dict(continuing_subword_prefix=rng.choice([None, "##", "a"]), end_of_word_suffix=rng.choice([None, None, "</w>"]))
+    how |= dict(special_tokens=rng.choice([(), ("ab", "e", "<s>")]), limit_alphabet=rng.choice([None, None, 2]), initial_alphabet=rng.choice([(), ("z", "a")]))
+    fast, slow = trainer.train([*words.items()], Config(**how)), slow_trainer.train([*words.items()], Config(**how))
+    assert fast.vocab == slow.vocab and fast.merges == slow.merges
 
 
 def stepwise(words, steps):
@@ -150,13 +162,69 @@ def test_files_and_command_line(spark, tmp_path, capsys):
     tsv.write_text("".join(f"{w}\t{n}\n" for w, n in LOW.items()))
     assert main(["--vocab-size", "13", "--words-tsv", "--vocab-out", str(tmp_path / "v.json"), str(tsv)]) == 0
     assert capsys.readouterr().out == "e s\nes t\nl o\n" and len(json.loads((tmp_path / "v.json").read_text())) == 13
-    for bad in (["--wordpiece", "--continuing-subword-prefix", "@"], ["--end-of-word-suffix", "a b"]):
+    for bad in (["--wordpiece", "--continuing-subword-prefix", "##"], ["--end-of-word-suffix", "a b"], ["--threads", "4097"]):
         with pytest.raises(SystemExit) as e:
             main(["--vocab-size", "9", *bad, str(tsv)])
         assert e.value.code == 2
     assert main(["pretok", str(f)]) == 0 and capsys.readouterr().out.split() == ["x", "Ġy", "čĊ"] * 3
 
 
+def test_train_tokenizer(spark, tmp_path):
+    tk = pytest.importorskip("tokenizers")
+    f, out = tmp_path / "t.txt", tmp_path / "tokenizer.json"
+    f.write_text("low lower lowest\nnewer newest low\n" * 5)
+    for mode in ("whitespace", "bytelevel"):
+        api.train_tokenizer([str(f)], 40, str(out), pretokenizer=mode, special_tokens=["<s>"])
+        vocab, merges = api.train_bpe([str(f)], 40, pretokenizer=mode, special_tokens=["<s>"])
+        told = json.loads(out.read_text())
+        assert told["model"]["vocab"] == vocab and [tuple(m) for m in told["model"]["merges"]] == merges and told["added_tokens"][0]["content"] == "<s>"
+        assert "".join(tk.Tokenizer.from_file(str(out)).encode("lower newest").tokens).replace("Ġ", "") == "lowernewest"
+
+
+DEGENERATE = {
+    "dna_fasta": "\n".join("ACGT"[i % 4] * 3 + "GATTACA" * 9 for i in range(200)),
+    "dna_oneline": "ACGTTGCAAC" * 3000,
+    "json_oneline": "{" + ",".join(f'"k{i}": [{i}, null]' for i in range(900)) + "}",
+    "cr_only": "one two\rthree four\r" * 700,
+    "cjk_dense": "".join(chr(0x4E00 + i * 7 % 512) for i in range(9000)),
+    "minified_js": "function(a,b){return a+b};" * 600 + "\n",
+    "base64": "\n".join("QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVo=" for _ in range(300)),
+    "logs": "".join(f"2024-01-01T00:00:{i % 60:02} INFO worker-{i % 7} took {i} ms\r\n" for i in range(500)),
+    "giant_word": "supercalifragilistic" * 2000,
+    "blank_runs": "a  b\n\n \t \n   c" * 50,
+    "mark_first": "\ufeffword one\nword two",
+    "mark_only": "\ufeff",
+    "empty": "",
+    "line_feeds": "\n\n\n",
+}
+
+
+@pytest.mark.parametrize("shape", DEGENERATE)
+def test_files_in_splits(spark, tmp_path, shape):
+    """Counts of a file that many tasks read are those of its whole text."""
+    f = tmp_path / "f.txt"
+    f.write_bytes(DEGENERATE[shape].encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        for mode in ("whitespace", "bytelevel"):
+            whole = counts.word_counts(spark.createDataFrame([(DEGENERATE[shape],)], "text string"), mode)
+            got = api.count_words([str(f), str(f)], mode, spark)
+            assert {r.word: r.cnt for r in got.collect()} == {r.word: 2 * r.cnt for r in whole.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_bad_bytes(spark, tmp_path):
+    f = tmp_path / "f.txt"
+    for raw in (b"fine\nnot \xff\nfine\n", b"fine\ncut \xc3", b"\xed\xa0\x80\n"):
+        f.write_bytes(raw)
+        with pytest.raises(ValueError, match="UTF-8"):
+            api.train_bpe([str(f)], 20)
+        with pytest.raises(SystemExit):
+            main(["--vocab-size", "9", str(f)])
+
+
 def test_training_tables_of_little(spark):
     for rows, vocab in (([], []), ([("a", 1)], ["a"])):
         table = trainer.train_table(spark.createDataFrame(rows, "word string, cnt long"), Config(vocab_size=10))
