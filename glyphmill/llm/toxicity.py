@@ -26,8 +26,6 @@ from pyspark.sql import functions as F
 from .common import keep_rows, pick, unit_hash
 
 LOOKALIKES = {"0": "o", "1": "il", "!": "il", "|": "il", "3": "e", "€": "e", "4": "a", "@": "a", "5": "s", "$": "s", "7": "t", "+": "t", "8": "b", "9": "g", "6": "g", "2": "z"}
-#: One sign for all letters that a look-alike may stand for.
-CANON = {ord(c): v[0] for c, v in LOOKALIKES.items()} | {ord("l"): "i"}
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, [0xDF, *range(0xE0, 0xF7), *range(0xF8, 0x100)])) + "œ"
 CLASS = {c: i + 1 for i, c in enumerate(LETTERS)}
 SIZE = 64
@@ -37,6 +35,8 @@ NOT_LETTER = re.compile(r"[\W\d_]+")
 EDGES = ".,;:!?\"'()[]{}<>«»“”‘’…|*_-~#%&$/\\=+^`@"
 SHORTEST, LONGEST = 3, 6
 MARGIN = 10.0
+#: Signs up to which a text is restored as a whole, and signs around a place in a longer one.
+WHOLE, AROUND = 512, 32
 
 
 def squeeze(word: str) -> str:
@@ -44,11 +44,6 @@ def squeeze(word: str) -> str:
     return REPEAT.sub(r"\1", word)
 
 
-def skeleton(text: str) -> str:
-    """What all restorations of a text have in common."""
-    return squeeze("".join(c for c in text.translate(CANON) if c.isalpha()))
-
-
 def class_table() -> np.ndarray:
     table = np.zeros(0x250, np.int64)
     for c, k in CLASS.items():
@@ -89,50 +84,67 @@ def log_probabilities(counts: np.ndarray, strength: float = 4.0) -> np.ndarray:
     return np.log(three)
 
 
-def arcs(sign: str, run: int) -> list[tuple[str, float]]:
-    """What a run of one sign may stand for, with the channel's cost."""
+def arcs(sign: str, run: int, parts: bool = False) -> list[tuple[str, float]]:
+    """What a run of one sign may stand for, with the channel's cost. parts: blanks are more likely what they look like."""
     if sign in LOOKALIKES:
         out = [(h, 0.7) for h in LOOKALIKES[sign]] + [("", 5.0 if sign.isdigit() else 1.5)]
     elif sign.isalpha():
         out = [(sign, 0.0)]
     elif sign.isspace():
-        return [("", 0.5), (" ", 1.0)]
+        return [("", 3.0), (" ", 0.0)] if parts else [("", 0.5), (" ", 1.0)]
     else:
         return [("", 0.3), (" ", 1.0)]
     return out + [(h + h, cost + 0.5) for h, cost in out if h] * (run > 1)
 
 
-def decode(text: str, lm: np.ndarray, wanted: str = "") -> tuple[str, float]:
-    """The likeliest restoration and its log probability; with wanted, the likeliest that has it (squeezed) as a substring of its squeezed form."""
+def decode(text: str, lm: np.ndarray, wanted: str = "", parts: bool = False) -> tuple[str, float]:
+    """The likeliest restoration and its log probability; with wanted, a rule, the likeliest that has a word (squeezed) that meets it."""
+    whole, wanted = wanted.endswith("$"), wanted.rstrip("$")
+    full = len(wanted)
     runs = [(m.group(0)[0], len(m.group(0))) for m in re.finditer(r"(.)\1*", text, re.S)]
     table = CLASS
-    # state: last two classes, squeezed letters matched of wanted (len(wanted) once found), last letter
-    states: dict[tuple, tuple[float, str]] = {(0, 0, 0, ""): (0.0, "")}
+    # state: last two classes, squeezed letters matched of wanted (all of them once found, one more if a whole word is wanted and has ended), last letter; each keeps the way back to where it came from
+    states: dict[tuple, tuple[float, tuple | None]] = {(0, 0, 0, ""): (0.0, None)}
     for sign, run in runs:
-        after: dict[tuple, tuple[float, str]] = {}
-        for (a, b, m, last), (score, out) in states.items():
-            for hidden, cost in arcs(sign, run):
+        after: dict[tuple, tuple[float, tuple | None]] = {}
+        for (a, b, m, last), (score, back) in states.items():
+            for hidden, cost in arcs(sign, run, parts):
                 x, y, s, mm, ll = a, b, score - cost, m, last
                 for c in hidden:
                     k = table.get(c, 0)
                     s += lm[x, y, k]
                     x, y = y, k
-                    if wanted and mm < len(wanted) and c != ll:
+                    if wanted and mm == full and whole and c != ll:
+                        mm = 0 if c.isalpha() else full + 1
+                    elif wanted and mm < full and c != ll:
                         mm = mm + 1 if c == wanted[mm] else (1 if c == wanted[0] and (ll == "" or ll == " ") else 0)
                         if mm == 1 and ll not in ("", " "):
                             mm = 0
                     ll = c
                 key = (x, y, mm, ll if wanted else "")
                 if key not in after or after[key][0] < s:
-                    after[key] = (s, out + hidden)
+                    after[key] = (s, (hidden, back) if hidden else back)
         states = after
-    ends = [(s + lm[a, b, 0], o) for (a, b, m, _), (s, o) in states.items() if not wanted or m == len(wanted)]
-    return max(ends)[::-1] if ends else ("", -math.inf)
+    ends = [(s + lm[key[0], key[1], 0], i) for i, (key, (s, _)) in enumerate(states.items()) if not wanted or key[2] >= full]
+    if not ends:
+        return "", -math.inf
+    score, i = max(ends)
+    back, out = list(states.values())[i][1], []
+    while back:
+        out.append(back[0])
+        back = back[1]
+    return "".join(reversed(out)), score
 
 
 @dataclass
 class Model:
-    """rules: squeezed word ("loser$") or beginning ("loser") -> probability that a document with it is toxic; lm: log trigram probabilities."""
+    """rules: squeezed word ("loser$") or beginning ("loser") -> probability that a document with it is toxic; lm: log trigram probabilities.
+
+    What may meet a rule is found by an automaton that follows all rules at once, a bit for each of
+    their letters: a sign moves a bit on if it may stand for the next letter; anything that isn't a
+    letter may stand for nothing, and a letter may repeat. Every path through the lattice that
+    meets a rule is such a way, so only where there is none is nothing decoded.
+    """
 
     rules: dict[str, float]
     lm: np.ndarray
@@ -140,26 +152,84 @@ class Model:
     def __post_init__(self):
         self.lengths = sorted({len(r) for r in self.rules if r[-1] != "$"})
         self.starts = {r[:2] for r in self.rules} | {r[0] * 2 for r in self.rules if r}
-        self.skeletons = [(skeleton(r.rstrip("$")), r) for r in self.rules]
+        self.heads = {r.rstrip("$")[:n] for r in self.rules for n in range(1, len(r.rstrip("$")))}
+        self.first = self.last = bits = 0
+        self.at: dict[int, str] = {}
+        self.letter: dict[str, int] = {}
+        for r in sorted(self.rules):
+            core = r.rstrip("$")
+            self.first |= 1 << bits
+            for c in core:
+                self.letter[c] = self.letter.get(c, 0) | 1 << bits
+                bits += 1
+            self.last |= 1 << (bits - 1)
+            self.at[bits - 1] = r
+        self.accepts = dict(self.letter)
+        for sign, letters in LOOKALIKES.items():
+            for c in letters:
+                self.accepts[sign] = self.accepts.get(sign, 0) | self.letter.get(c, 0)
 
     def match(self, word: str) -> str | None:
         """The surest rule that a squeezed word meets."""
         found = [r for r in (word + "$", *(word[:n] for n in self.lengths if len(word) >= n)) if r in self.rules]
         return max(found, key=lambda r: (self.rules[r], r)) if found else None
 
+    def follow(self, text: str, state: int = 0, begin: bool = True) -> tuple[int, list[tuple[int, int]]]:
+        """The automaton's bits after the text, and (place, bits) where last letters of rules were read. begin: rules may begin at any sign that no letter stands before."""
+        ends, free = [], begin
+        first, last = self.first, self.last
+        for place, c in enumerate(text):
+            may, letter = self.accepts.get(c, 0), c.isalpha()
+            stay = state & self.letter.get(c, 0) if letter else state
+            state = (state << 1) & ~first & may | stay
+            if free:
+                state |= first & may
+            if state & last & may:
+                ends.append((place, state & last & may))
+            free = begin and not letter
+        return state, ends
+
+    def window(self, text: str, end: int, rule: str) -> int:
+        """Where the shortest way that ends there begins."""
+        core, k = rule.rstrip("$"), len(rule.rstrip("$")) - 1
+        for place in range(end, -1, -1):
+            c = text[place]
+            if k >= 0 and (c == core[k] or core[k] in LOOKALIKES.get(c, "")):
+                k -= 1
+                if k < 0:
+                    return place
+        return 0
+
     def restored(self, text: str) -> list[str]:
-        """Squeezed words of the restorations of a text that are within MARGIN of the likeliest one."""
-        bones = skeleton(text)
-        near = [r for s, r in self.skeletons if s and s in bones]
-        if not near:  # no path through the lattice meets a rule
-            return []
-        best, top = decode(text, self.lm)
-        words = [squeeze(w) for w in NOT_LETTER.split(best) if w]
-        for r in near:
-            if not any(self.match(w) == r for w in words):
-                other, score = decode(text, self.lm, r.rstrip("$"))
-                if score >= top - MARGIN:
-                    words += [squeeze(w) for w in NOT_LETTER.split(other) if w]
+        """Squeezed words of the restorations of a text that are within MARGIN of the likeliest one.
+
+        Of a text of more than WHOLE signs the surroundings of each place that may meet a rule are restored.
+        """
+        _, ends = self.follow(text)
+        met = [(place, self.at[k]) for place, bits in ends for k in self.at if bits >> k & 1]
+        spans: list[list[int]] = []
+        if met and len(text) > WHOLE:
+            for place, r in met:
+                lo = max(0, self.window(text, place, r) - AROUND)
+                while lo and text[lo - 1].isalpha() and text[lo].isalpha():
+                    lo -= 1
+                if spans and lo <= spans[-1][1]:
+                    spans[-1] = [min(lo, spans[-1][0]), place + 1 + AROUND]
+                else:
+                    spans.append([lo, place + 1 + AROUND])
+        elif met:
+            spans = [[0, len(text)]]
+        words: list[str] = []
+        for lo, hi in spans:
+            part = text[lo:hi]
+            best, top = decode(part, self.lm)
+            own = [squeeze(w) for w in NOT_LETTER.split(best) if w]
+            for r in sorted({r for place, r in met if lo <= place < hi}):
+                if not any(self.match(w) == r for w in own):
+                    other, score = decode(part, self.lm, r)
+                    if score >= top - MARGIN:
+                        own += [squeeze(w) for w in NOT_LETTER.split(other) if w]
+            words += own
         return words
 
     def hits(self, token: str) -> list[tuple[str, str]]:
@@ -175,10 +245,40 @@ class Model:
         words = dict.fromkeys([squeeze(w) for w in NOT_LETTER.split(token) if w] + self.restored(token))
         return [(w, r) for w in words if (r := self.match(w))]
 
+    def opening(self, token: str) -> int:
+        """The automaton's bits after a token that may be the first part of a divided word, else 0."""
+        if token.isalpha():
+            return self.follow(token, 0)[0] if squeeze(token) in self.heads else 0
+        return self.follow(token, 0)[0]
+
+    def divided(self, tokens: list[str], opening: dict[str, int]) -> list[tuple[str, str]]:
+        """(restored word, rule) of words that blanks divide into parts of which one is longer than a letter.
+
+        Blanks between such parts mostly are what they look like, so only what the likeliest
+        restoration, with the tokens before and after, joins counts.
+        """
+        out = []
+        for i in [i for i, t in enumerate(tokens) if t in opening]:
+            state, j, ends = opening[tokens[i]], i + 1, 0
+            while state and j < len(tokens):
+                state, more = self.follow(tokens[j], state, False)
+                j += 1
+                if more:
+                    ends = j
+            if ends and any(not single(t) for t in tokens[i:ends]):
+                best, _ = decode(" ".join(tokens[max(0, i - 1) : ends + 1]), self.lm, parts=True)
+                out += [(w, r) for w in map(squeeze, filter(None, NOT_LETTER.split(best))) if (r := self.match(w))]
+        return out
+
+
+def single(token: str) -> bool:
+    """One sign, repeated or not."""
+    return token.count(token[0]) == len(token)
+
 
 def spaced_runs(tokens: list[str]) -> list[str]:
-    """Three or more single characters in a row, with what stands before and after if it is one character within signs."""
-    ones = [i for i, t in enumerate(tokens) if len(t) == 1]
+    """Three or more single signs in a row, with what stands before and after if it is one sign within others."""
+    ones = [i for i, t in enumerate(tokens) if single(t)]
     if len(ones) < 2:
         return []
     out, start = [], 0
@@ -203,11 +303,13 @@ def score_batch(model: Model, texts: list[str | None]) -> list[list[tuple[str, s
     own = [set(s) for s in split]
     every: set[str] = set().union(*own) if own else set()
     found = {t: h for t in every if (h := model.hits(t))}
+    opening = {t: state for t in every if (state := model.opening(t))}
     names, out = set(found), []
     for tokens, distinct in zip(split, own):
         hits = {h for t in names & distinct for h in found[t]}
         for run in spaced_runs(tokens):
             hits |= {(w, r) for w in model.restored(run) if (r := model.match(w))}
+        hits |= set(model.divided(tokens, opening))
         out.append(sorted(hits))
     return out
 
