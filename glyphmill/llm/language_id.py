@@ -170,13 +170,13 @@ def windows(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     count = -(-lengths // CORE)
     doc = np.repeat(np.arange(len(raw)), count)
     number = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-    joined = np.frombuffer(b"".join(raw), np.uint8)
+    joined = np.frombuffer(b"".join(raw), np.uint8).astype(np.int16)  # EDGE is no byte
     begin = np.cumsum(lengths) - lengths
     at = number[None, :] * CORE + np.arange(-CONTEXT, CORE + CONTEXT)[:, None]
     inside = (at >= 0) & (at < lengths[doc][None, :])
     if not len(joined):
         return np.full(at.shape, EDGE, np.int16), doc, np.zeros(len(doc), np.int64)
-    x = np.where(inside, joined[np.where(inside, begin[doc][None, :] + at, 0)], EDGE).astype(np.int16)
+    x = np.where(inside, joined[np.where(inside, begin[doc][None, :] + at, 0)], np.int16(EDGE))
     return x, doc, np.minimum(CORE, lengths[doc] - number * CORE)
 
 
@@ -215,12 +215,12 @@ def runs_of(labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def training_rows(docs: DataFrame, per_language: int, seed: int = 11) -> tuple[list[str], list[str]]:
-    """At most per_language texts of each language, those with the smallest hash of id and language."""
+    """At most per_language texts of each language, those with the smallest hash of id, language and text (rows without doc_id are drawn like others; only equal rows go together)."""
     base = pick(docs, "doc_id", "text", "lang").filter("lang is not null and text is not null and text <> ''")
     counts = {r["lang"]: r["count"] for r in base.groupBy("lang").count().collect()}
     if not counts:
         return [], []
-    u = unit_hash(F.col("doc_id"), F.col("lang"), seed=seed)
+    u = unit_hash(F.col("doc_id"), F.col("lang"), F.col("text"), seed=seed)
     share = F.create_map(*[x for k, c in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.3 * (per_language + 20) / c)))])
     rows = base.withColumn("u", u).filter(F.col("u") < share[F.col("lang")]).select("lang", "text", "u").toPandas()
     rows = rows.sort_values(["u", "text"], kind="stable").groupby("lang", sort=True).head(per_language)
@@ -233,14 +233,15 @@ def fit(docs: DataFrame, per_language: int = 400, hidden: int = 8, steps: int =
     return train(texts, langs, hidden, steps)
 
 
-RESULT = "lang_pred string, confidence double, n_bytes long, n_spans long, votes array<long>, probabilities array<double>"
+POOLED = "lang_pred string, confidence double"
+RESULT = POOLED + ", n_bytes long, n_spans long, votes array<long>, probabilities array<double>, span_ends array<long>, span_langs array<string>"
 
 
-def labeller(docs: DataFrame, net: Network):
-    """A column function text -> struct of RESULT."""
+def labeller(docs: DataFrame, net: Network, schema: str = RESULT):
+    """A column function text -> struct of the schema, RESULT or POOLED."""
     handle = docs.sparkSession.sparkContext.broadcast(net)
 
-    @F.pandas_udf(RESULT)
+    @F.pandas_udf(schema)
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = handle.value
         for texts in batches:
@@ -250,25 +251,24 @@ def labeller(docs: DataFrame, net: Network):
                 pooled, votes, sizes, labels = label_batch(own, [t if isinstance(t, str) else None for t in cut])
                 some = (sizes > 0) & bool(own.languages)
                 top = pooled.argmax(1) if own.languages else np.zeros(len(cut), int)
-                parts.append(
-                    pd.DataFrame(
-                        {
-                            "lang_pred": [own.languages[k] if ok else None for k, ok in zip(top, some)],
-                            "confidence": np.where(some, pooled.max(1) if own.languages else 0.0, 0.0).round(6),
-                            "n_bytes": sizes,
-                            "n_spans": [len(runs_of(x)[0]) for x in labels],
-                            "votes": votes.tolist(),
-                            "probabilities": pooled.round(6).tolist(),
-                        }
-                    )
-                )
-            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c.split()[0]: [] for c in RESULT.split(", ")})
+                out = {
+                    "lang_pred": [own.languages[k] if ok else None for k, ok in zip(top, some)],
+                    "confidence": np.where(some, pooled.max(1) if own.languages else 0.0, 0.0).round(6),
+                }
+                if schema == RESULT:
+                    spans = [(ends, x[starts]) for x in labels for starts, ends in [runs_of(x)]]
+                    out |= {"n_bytes": sizes, "n_spans": [len(e) for e, _ in spans], "votes": votes.tolist(), "probabilities": pooled.round(6).tolist()}
+                    out |= {"span_ends": [e for e, _ in spans], "span_langs": [[own.languages[k] for k in x] for _, x in spans]}
+                parts.append(pd.DataFrame(out))
+            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
 
     return label
 
 
 def identify(docs: DataFrame, net: Network | None = None) -> DataFrame:
-    """doc_id, lang_pred, confidence, n_bytes, n_spans, votes and probabilities (both by language in alphabetical order), one row for each row.
+    """doc_id, lang_pred, confidence, n_bytes, n_spans, votes and probabilities (both by language in alphabetical order), span_ends and span_langs, one row for each row.
+
+    The spans are the maximal runs of bytes with one label; each begins where the last one ends.
 
     A null or empty text has no language (null), confidence 0 and no bytes. Repeated rows are
     labelled alike; equal probabilities go to the first language of the alphabet. Without any
@@ -303,5 +303,5 @@ def accepted(result: Column, min_confidence: float) -> Column:
 def filter_by_language(docs: DataFrame, min_confidence: float = 0.4, net: Network | None = None) -> DataFrame:
     """The rows whose text has a language with at least min_confidence, all columns as they were; null and empty texts go."""
     net = net or fit(docs)
-    label = labeller(docs, net)
+    label = labeller(docs, net, POOLED)
     return keep_rows(docs, ["text"], lambda text: accepted(label(text.cast("string")), min_confidence))
