@@ -3,9 +3,13 @@
 A source with the share p of all tokens gets the weight p^a / sum p^a. The exponent a in [0, 1] is
 bisected until the weights reach a target entropy, or until no source repeats more often than a
 limit allows. A source's weight is a budget of tokens. It is met by whole passes over the source
-and one part of a pass: blocks (of about ``block_tokens``, by hash) in the order of a permutation
-that the pass number seeds, and of the block in which the budget ends the first documents of its
-own permutation. Only that one block of a source is ever sorted.
+and one part of a pass. A source's documents are dealt by hash to blocks of about ``block_tokens``,
+LEAST_BLOCKS of them at least. Every pass reads the blocks in the order of a permutation of its
+own and the documents of a block in the order of a hash; the part of a pass ends inside one
+block, at the last document in that order that fits. Only that one block of a source is ever sorted.
+
+The permutation sends block b to (a b + c) mod n, with c and the prime a > n drawn by source and
+pass; so a block's place is an expression and no table of blocks is joined.
 """
 
 from __future__ import annotations
@@ -20,7 +24,9 @@ from pyspark.sql import functions as F
 from .common import checkpoint, positional, unit_hash
 
 NONE = "\x00none"
-STEPS, BROADCAST_SOURCES = 60, 100_000
+STEPS, BROADCAST_SOURCES, LEAST_BLOCKS = 60, 100_000, 16
+#: Above 2^31, so that none divides a number of blocks.
+PRIMES = (2147483659, 2147483693, 2147483713, 2147483743, 2147483777, 2147483783, 2147483813, 2147483857)
 
 
 def tempered(shares: list[float], exponent: float) -> list[float]:
@@ -82,7 +88,8 @@ def plan(totals: dict[str, int], target_entropy: float | None, max_repeats: floa
         rate = rate if n else 1.0
         passes = math.floor(rate + 1e-9)
         rest = max(0, math.floor((rate - passes) * n + 1e-6)) if n else 0
-        out.append(Plan(name, passes, rest, max(1, -(-n // block_tokens)), rate))
+        size = max(1, min(block_tokens, -(-n // LEAST_BLOCKS)))
+        out.append(Plan(name, passes, rest, max(1, -(-n // size)), rate))
     return out
 
 
@@ -91,6 +98,13 @@ def tokens_of(text: Column) -> Column:
     return F.coalesce(F.octet_length(text.cast("string")), F.lit(0)).cast("long")
 
 
+def place_of(block: Column, blocks: Column, source: Column, turn: Column, seed: int) -> Column:
+    """The place of a block in the permutation of a pass over its source."""
+    drawn = F.xxhash64(F.lit(seed), source, turn)
+    a = F.element_at(F.array(*map(F.lit, PRIMES)), (F.pmod(drawn, F.lit(len(PRIMES))) + 1).cast("int"))
+    return F.pmod(block * F.pmod(a, blocks) + F.pmod(F.shiftright(drawn, 8), blocks), blocks)
+
+
 def _keyed(docs: DataFrame, seed: int) -> tuple[DataFrame, list[str]]:
     flat, where = positional(docs)
     key = F.xxhash64(F.lit(seed), F.col(where["doc_id"]), F.col(where["text"]))
@@ -108,33 +122,37 @@ def mixed(docs: DataFrame, target_entropy: float | None = None, max_repeats: flo
         return keyed.withColumns({"pass": F.lit(0), "position": F.lit(0.0)}).drop("_key")
     per_source = spark.createDataFrame([(p.source, p.passes, p.rest, p.blocks, p.rate) for p in plans], "_source string, _passes int, _rest long, _blocks long, _rate double")
     block = F.pmod(F.col("_key"), F.col("_blocks"))
-    block_rank = unit_hash(F.col("_source"), F.col("_block"), F.col("_passes"), seed=seed)
-    in_block = F.xxhash64(F.lit(seed + 1), F.col("_key"), F.col("_passes"))
+    block_rank = place_of(F.col("_block"), F.col("_blocks"), F.col("_source"), F.col("_passes"), seed)
+    in_block = unit_hash(F.col("_key"), F.col("_passes"), seed=seed + 1)
     # the block of each source in which its budget ends, and what is left for it
-    blocks = sizes.join(per_source.filter("_rest > 0"), "_source").withColumn("_block", block).groupBy("_source", "_block", "_passes", "_rest").agg(F.sum("_tokens").alias("n")).withColumn("_u", block_rank)
+    blocks = sizes.join(per_source.filter("_rest > 0"), "_source").withColumn("_block", block).groupBy("_source", "_block", "_blocks", "_passes", "_rest").agg(F.sum("_tokens").alias("n")).withColumn("_u", block_rank)
     run = W.partitionBy("_source").orderBy("_u", "_block").rowsBetween(W.unboundedPreceding, 0)
     ends = blocks.withColumn("end", F.sum("n").over(run)).filter("end > _rest").groupBy("_source").agg(F.min(F.struct("_u", "_block", F.col("end").alias("end"), "n")).alias("b"))
     last = [(r["_source"], r["b"]["_u"], r["b"]["_block"], r["b"]["end"] - r["b"]["n"]) for r in ends.collect()]
     rest = {p.source: p.rest for p in plans}
     last = [(s, u, b, rest[s] - before) for s, u, b, before in last]
-    ended = spark.createDataFrame(last, "_source string, _end_u double, _end_block long, _left long")
+    ended = spark.createDataFrame(last, "_source string, _end_u long, _end_block long, _left long")
     params = per_source.join(ended, "_source", "left")
     if len(plans) <= BROADCAST_SOURCES:  # a row a source; a shuffle on the source would put a hot one into one task
         params = F.broadcast(params)
     # documents of a final block: first ones in the order of its permutation that fit what is left
     placed = keyed.join(params, "_source").withColumn("_block", block).withColumn("_u", block_rank)
-    whole = (F.col("_rest") > 0) & ((F.col("_u") < F.col("_end_u")) | ((F.col("_u") == F.col("_end_u")) & (F.col("_block") < F.col("_end_block"))))
+    whole = (F.col("_rest") > 0) & (F.col("_u") < F.col("_end_u"))
     passes = F.sequence(F.lit(0), F.col("_passes") - 1 + whole.cast("int"))
     full = placed.filter((F.col("_passes") > 0) | whole).withColumn("pass", F.explode(passes))
     order = W.partitionBy("_source").orderBy(F.col("_order"), F.col("_key")).rowsBetween(W.unboundedPreceding, 0)
     final = placed.filter((F.col("_rest") > 0) & (F.col("_block") == F.col("_end_block")) & (F.col("_left") > 0))
     final = final.withColumn("_order", in_block).withColumn("_sum", F.sum("_tokens").over(order)).filter("_sum <= _left").drop("_order", "_sum").withColumn("pass", F.col("_passes"))
-    spread = (F.col("pass") + unit_hash(F.col("_key"), F.col("pass"), seed=seed + 2)) / F.col("_rate")
+    at = place_of(F.col("_block"), F.col("_blocks"), F.col("_source"), F.col("pass"), seed) + unit_hash(F.col("_key"), F.col("pass"), seed=seed + 1)
+    spread = (F.col("pass") + at / F.col("_blocks")) / F.col("_rate")
     return full.select(*final.columns).unionByName(final).withColumn("position", spread).select(*columns, "_source", "_tokens", "pass", "position")
 
 
 def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = None, keep_all: bool = True, block_tokens: int = 1 << 25, seed: int = 17) -> DataFrame:
-    """doc_id, source, tokens, pass (from 0) and position: the schedule, a row for each reading; sorting by position interleaves the sources evenly.
+    """doc_id, source, tokens, pass (from 0) and position: the schedule, a row for each reading.
+
+    Within a source position follows the pass, the block's place in that pass's permutation and the
+    document's place in the block; sorting by it interleaves the sources evenly.
 
     keep_all=True: every document is read once at least and small sources repeat; otherwise the
     budget is the corpus's size and large sources lose documents. A null source is one of its own.
