@@ -1,17 +1,16 @@
 """Near-duplicate embeddings by product quantisation.
 
-Unit vectors are put into about sqrt(N) inverted lists by their nearest coarse centroid; what
-remains after the centroid is coded, SUBSPACES parts of it at a time, by the nearest of at most 256
-codewords. Centroids and codewords come from Lloyd steps over all vectors. Every vector queries its
-own list and every other one whose centroid is not farther than its own by more than a margin. In a
-list the distances of a query to all members are sums of looked-up table entries; a member whose
-looked-up distance exceeds the search radius by more than the member's own coding error can't lie
-within the radius, and all others are compared exactly.
-
-The margin: a neighbour at distance d lies in another list only if moving by d closes the gap
-between both centroids' distances. That is 2 d at worst and about d / sqrt(dimension) for a move in
-a direction that knows nothing of the centroids; the margin is SPREAD times the latter, at most the
-former.
+Vectors of equal direction form a class first; one stands for it from there on. Unit vectors are put
+into about sqrt(N) inverted lists by their nearest coarse centroid; what remains after the centroid
+is coded, SUBSPACES parts of it at a time, by the nearest of at most 256 codewords. Centroids and
+codewords are fitted by Lloyd steps on a bounded sample, SAMPLE vectors by hash; every vector is
+indexed and every one is a query. A query searches its own list and the next nearest ones, PROBES
+lists in all whatever their number; a pair is found if either of its vectors has the other's list
+among its own. In a list the distances of a query to all members are sums of looked-up table
+entries; a member whose looked-up distance exceeds the search radius by more than the member's own
+coding error can't lie within the radius, and all others are compared exactly. Long lists are
+divided into blocks of members and of queries, each pair of blocks a group of its own. Pairs are
+counted where they are found and never written.
 """
 
 from __future__ import annotations
@@ -25,9 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, pick
+from . import grouping
+from .common import dropping_shuffles, folder, pick, remove, written
 
-SUBSPACES, WORDS, SPREAD, LLOYD = 8, 256, 4.0, 4
+SUBSPACES, WORDS, LLOYD = 8, 256, 6
+#: Lists that a vector searches; vectors that the index is fitted on; the most lists.
+PROBES, SAMPLE, MOST_LISTS = 12, 1 << 16, 1 << 12
 
 
 def matrix(column: pa.Array | pd.Series, dim: int) -> np.ndarray:
@@ -64,125 +66,153 @@ def lookups(residual: np.ndarray, words: list[np.ndarray]) -> list[np.ndarray]:
     return [((residual[:, s] ** 2).sum(1)[:, None] + (w * w).sum(1)[None, :] - 2 * residual[:, s] @ w.T) for s, w in zip(cut, words)]
 
 
-def lloyd(vectors: DataFrame, centres: list[np.ndarray], dim: int, coarse: np.ndarray | None) -> list[np.ndarray]:
-    """One step over all vectors: means of the members of each centre. centres: one array (whole vectors), or one for each subspace of the residuals of coarse. Empty centres stay."""
-    handle = vectors.sparkSession.sparkContext.broadcast((centres, coarse))
-    cut = parts(dim) if coarse is not None else [slice(0, dim)]
+def lloyd(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Means of the members of each centre, LLOYD times over; a centre without members stays."""
+    for _ in range(LLOYD):
+        k = nearest(x, centres)
+        n = np.bincount(k, minlength=len(centres))
+        order = np.argsort(k, kind="stable")
+        sums = np.add.reduceat(x[order], (np.cumsum(n) - n)[n > 0], axis=0) if len(x) else x
+        centres = centres.copy()
+        centres[n > 0] = sums / n[n > 0][:, None]
+    return centres.astype(np.float32)
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, base = handle.value
-        total = [np.zeros(c.shape) for c in own]
-        count = [np.zeros(len(c), np.int64) for c in own]
-        for batch in batches:
-            x = matrix(batch.column(0), dim)
-            if base is not None and len(x):
-                x = x - base[nearest(x, base)]
-            for i, s in enumerate(cut):
-                k = nearest(x[:, s], own[i])
-                np.add.at(total[i], k, x[:, s])
-                count[i] += np.bincount(k, minlength=len(own[i]))
-        which = [(i, k) for i, c in enumerate(count) for k in np.flatnonzero(c)]
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in which], pa.int32()), pa.array([int(k) for _, k in which], pa.int32()), pa.array([int(count[i][k]) for i, k in which], pa.int64()), pa.array([total[i][k].tolist() for i, k in which], pa.list_(pa.float64()))], ["part", "k", "n", "total"])
-
-    rows = vectors.select("x").mapInArrow(sums, "part int, k int, n long, total array<double>")
-    added = rows.select("part", "k", "n", F.posexplode("total").alias("at", "v")).groupBy("part", "k", "at").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
-    out = [c.copy() for c in centres]
-    for r in added.toPandas().itertuples():
-        out[r.part][r.k, r.at] = r.v / r.n
-    return out
-
-
-def one_dimension(vectors: DataFrame, dim: int, n: int, threshold: float) -> DataFrame:
-    """vec_a, vec_b, cosine of distinct unit vectors (vec_id, x) of one dimension."""
+
+def fit(sample: np.ndarray, lists: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Coarse centroids, and the codewords of each subspace of what remains after them."""
+    coarse = lloyd(sample, sample[:lists])
+    left = sample - coarse[nearest(sample, coarse)]
+    return coarse, [lloyd(np.ascontiguousarray(left[:, s]), np.ascontiguousarray(left[:WORDS, s])) for s in parts(sample.shape[1])]
+
+
+def one_dimension(vectors: DataFrame, dim: int, n: int, threshold: float, path: str) -> DataFrame:
+    """a, b, links of distinct unit vectors (cls, n, x) of one dimension: for a vector with neighbours (b null) the copies of others within reach, in parts that add up; and (a, b) that hold each connected group together."""
     spark = vectors.sparkSession
-    lists = max(1, math.isqrt(n - 1) + 1)
-    start = vectors.orderBy(F.xxhash64(F.lit(3), "vec_id"), "vec_id").limit(max(lists, min(n, WORDS))).toPandas()
-    seeds = matrix(start["x"], dim)
-    coarse = seeds[:lists]
-    for _ in range(LLOYD):
-        (coarse,) = (c.astype(np.float32) for c in lloyd(vectors, [coarse], dim, None))
-    left = seeds[:WORDS] - coarse[nearest(seeds[:WORDS], coarse)]
-    words = [np.ascontiguousarray(left[:, s]) for s in parts(dim)]
-    for _ in range(LLOYD):
-        words = [w.astype(np.float32) for w in lloyd(vectors, words, dim, coarse)]
-    radius = math.sqrt(2 - 2 * threshold) + 1e-4
-    margin = radius * min(2.0, SPREAD / math.sqrt(dim))
-    handle = spark.sparkContext.broadcast((coarse, words))
+    lists = min(MOST_LISTS, math.isqrt(n - 1) + 1)
+    # the bound holds on the driver whatever the number of vectors
+    sample = vectors.select("x", F.xxhash64(F.lit(3), "cls").alias("u")).orderBy("u").limit(SAMPLE).toPandas()
+    handle = spark.sparkContext.broadcast(fit(matrix(sample["x"], dim), lists))
+    radius, probes = math.sqrt(2 - 2 * threshold) + 1e-4, min(PROBES, lists)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A member row for the own list, a query row for every list to probe."""
+        """A row for each list that a vector searches, the own one first; members carry the code."""
         centres, own_words = handle.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
-                x = matrix(part.column(1), dim)
-                d = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (centres * centres).sum(1)[None, :] - 2 * x @ centres.T))
-                home = d.argmin(1)
-                codes, missed = encode(x - centres[home], own_words)
-                row, probe = np.nonzero(d <= d.min(1, keepdims=True) + margin)
-                ids = part.column(0).to_numpy()
-                member = pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array(ids), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(missed.astype(np.float32))], ["list", "vec_id", "x", "code", "missed"])
-                yield member
-                for s in range(0, len(row), 20_000):
-                    r, p = row[s : s + 20_000], probe[s : s + 20_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), pa.array(ids[r]), part.column(1).take(pa.array(r)), pa.nulls(len(r), pa.binary()), pa.nulls(len(r), pa.float32())], ["list", "vec_id", "x", "code", "missed"])
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+                m = part.num_rows
+                x = matrix(part.column(2), dim)
+                d = (centres * centres).sum(1) - 2 * x @ centres.T
+                near = np.argpartition(d, probes - 1, axis=1)[:, :probes] if probes < lists else np.tile(np.arange(lists), (m, 1))
+                near = np.take_along_axis(near, np.lexsort((near, np.take_along_axis(d, near, 1))), 1).astype(np.int32)
+                codes, missed = encode(x - centres[near[:, 0]], own_words)
+                row = np.repeat(np.arange(m), probes)
+                first = np.tile(np.arange(probes) == 0, m)
+                code = np.where(first, np.array([c.tobytes() for c in codes], dtype=object)[row], None)
+                lists_of = pa.ListArray.from_arrays(pa.array(np.arange(0, m * probes + 1, probes, dtype=np.int32)), pa.array(near.ravel()))
+                cols = [pa.array(near.ravel()), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), part.column(2).take(pa.array(row)), lists_of.take(pa.array(row)), pa.array(code.tolist(), pa.binary()), pa.array(missed.astype(np.float32)[row])]
+                yield pa.RecordBatch.from_arrays(cols, ["list", "cls", "n", "x", "near", "code", "missed"])
+
+    def search(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         centres, own_words = handle.value
-        is_member = pdf["code"].notna().to_numpy()
-        member, query = pdf[is_member], pdf[~is_member]
-        out = []
-        if len(member) and len(query):
-            centre = centres[pdf["list"].iloc[0]]
-            mx, qx = matrix(member["x"], dim), matrix(query["x"], dim)
-            mi, qi = member["vec_id"].to_numpy(), query["vec_id"].to_numpy()
-            codes = np.frombuffer(b"".join(member["code"]), np.uint8).reshape(len(member), -1)
-            reach = (radius + member["missed"].to_numpy(np.float32) + 1e-3) ** 2
-            block = max(1, 4_000_000 // max(1, len(member)))
-            for s in range(0, len(query), block):
-                q = qx[s : s + block]
-                tables = lookups(q - centre, own_words)
-                d = tables[0][:, codes[:, 0]]
-                for i in range(1, len(tables)):
-                    d += tables[i][:, codes[:, i]]
-                a, b = np.nonzero(d <= reach[None, :])
-                live = qi[s + a] != mi[b]
-                a, b = a[live], b[live]
-                for e in range(0, len(a), 500_000):
-                    ae, be = a[e : e + 500_000], b[e : e + 500_000]
-                    cos = np.einsum("ij,ij->i", q[ae].astype(np.float64), mx[be].astype(np.float64))
-                    near = cos >= threshold
-                    out.append(pd.DataFrame({"vec_a": np.minimum(qi[s + ae], mi[be])[near], "vec_b": np.maximum(qi[s + ae], mi[be])[near], "cosine": cos[near]}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"vec_a": np.empty(0, np.int64), "vec_b": np.empty(0, np.int64), "cosine": np.empty(0)})
-
-    rows = vectors.select("vec_id", "x").mapInArrow(place, "list int, vec_id long, x array<float>, code binary, missed float")
-    found = rows.groupBy("list").applyInPandas(search, "vec_a long, vec_b long, cosine double")
-    return found.groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))
+        start, out = 0, ([], [], [])
+        for m in grouping.group_lengths(batch).tolist():
+            if m > 1:
+                for column, more in zip(out, in_list(batch.slice(start, m), centres, own_words)):
+                    column += more
+            start += m
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b", "links"])
+
+    def in_list(rows: pa.RecordBatch, centres: np.ndarray, own_words: list[np.ndarray]) -> tuple[list, list, list]:
+        here, i, j = (rows.column(c)[0].as_py() for c in range(3))
+        ids, weight, near = rows.column(3).to_numpy(), rows.column(4).to_numpy(), rows.column(6).flatten().to_numpy().reshape(rows.num_rows, -1)
+        member = np.flatnonzero((rows.column(9).to_numpy() == i) & np.asarray(rows.column(7).is_valid()))
+        query = np.flatnonzero(rows.column(10).to_numpy() == j)
+        if not len(member) or not len(query):
+            return [], [], []
+        x = matrix(rows.column(5), dim)
+        mx, codes = x[member], np.frombuffer(b"".join(rows.column(7).take(pa.array(member)).to_pylist()), np.uint8).reshape(len(member), -1)
+        reach = (radius + rows.column(8).to_numpy()[member].astype(np.float32) + 1e-3) ** 2
+        links, p, q = np.zeros(rows.num_rows, np.int64), [], []
+        block = max(1, 2_000_000 // len(member))
+        for s in range(0, len(query), block):
+            own = query[s : s + block]
+            tables = lookups(x[own] - centres[here], own_words)
+            d = tables[0][:, codes[:, 0]]
+            for k in range(1, len(tables)):
+                d += tables[k][:, codes[:, k]]
+            a, b = np.nonzero(d <= reach[None, :])
+            for e in range(0, len(a), 500_000):
+                u, v = own[a[e : e + 500_000]], member[b[e : e + 500_000]]
+                cos = np.einsum("ij,ij->i", x[u].astype(np.float64), x[v].astype(np.float64))
+                # a pair that the other one's query finds too counts where the smaller one asks
+                other = (near[v] == near[u, :1]).any(1)
+                ok = (cos >= threshold - 1e-7) & (ids[u] != ids[v]) & (~other | (ids[u] < ids[v]))
+                np.add.at(links, u[ok], weight[v[ok]])
+                np.add.at(links, v[ok], weight[u[ok]])
+                p.append(u[ok])
+                q.append(v[ok])
+        some = np.flatnonzero(links)
+        if not len(some):
+            return [], [], []
+        u, v = grouping.spanning(rows.num_rows, np.concatenate(p), np.concatenate(q))
+        return ids[some].tolist() + ids[u].tolist(), [None] * len(some) + ids[v].tolist(), links[some].tolist() + [None] * len(u)
+
+    rows = written(vectors.select("cls", "n", "x").mapInArrow(place, "list int, cls long, n long, x array<float>, near array<int>, code binary, missed float"), f"{path}/placed-{dim}")
+    counted = rows.groupBy(F.col("list").alias("grp")).agg(F.count("code").alias("members"), F.count("*").alias("queries"))
+    # two numbers a list, MOST_LISTS lists
+    rows = rows.withColumnRenamed("list", "grp").join(F.broadcast(counted), "grp")
+    parts_of = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / grouping.BLOCK).cast("int"))
+    bm, bq = F.pmod(F.xxhash64(F.lit(7), "cls"), parts_of("members")).cast("int"), F.pmod(F.xxhash64(F.lit(9), "cls"), parts_of("queries")).cast("int")
+    rows = rows.withColumns({"bm": bm, "bq": bq})
+    asks = F.transform(F.sequence(F.lit(0), parts_of("members") - 1), lambda i: F.struct(i.alias("i"), F.col("bq").alias("j")))
+    holds = F.transform(F.sequence(F.lit(0), parts_of("queries") - 1), lambda j: F.struct(F.col("bm").alias("i"), j.alias("j")))
+    places = F.when(F.col("code").isNull(), asks).otherwise(F.array_union(asks, holds))
+    rows = rows.withColumn("g", F.explode(places)).select("grp", "g.i", "g.j", "cls", "n", "x", "near", "code", "missed", "bm", "bq")
+    return written(grouping.by_group(rows, search, "a long, b long, links long"), f"{path}/found-{dim}")
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """vec_a < vec_b, cosine of all vectors whose cosine is at least the threshold, a row for each pair.
-
-    Vectors that point the same way (equal after scaling to unit length) are reported as (smallest
-    id, other id, 1.0), and other pairs by their smallest ids. Null ids, null or empty vectors, those
-    with null, infinite or undefined entries and those of length zero pair with nothing, nor do
-    vectors of different dimensions. A repeated vec_id never pairs with itself. Extra columns are
-    ignored. Ties at the threshold pair. An empty table gives no pairs.
+    """vec_id, class_id, n_copies, n_links: a row for each vector.
+
+    n_links counts the other vectors whose cosine is at least the threshold, of which n_copies point
+    the same way (equal after scaling to unit length). class_id is the smallest vec_id of those that
+    links connect with it; its own where there is no link. The search is approximate: a pair is
+    missed if neither vector's list is among the other's PROBES nearest ones; what is counted is
+    exact.
+
+    Null ids, null or empty vectors, those with null, infinite or undefined entries and those of
+    length zero give no row. Vectors of different dimensions don't pair. A row that repeats a vec_id
+    and its direction counts once; one vec_id with two directions counts as two vectors. Extra
+    columns are ignored. Ties at the threshold pair. An empty table gives no rows.
     """
     if not 0.5 <= threshold <= 1:
         raise ValueError("threshold must lie in [0.5, 1]")
     spark = embeddings.sparkSession
-    raw = pick(embeddings, "vec_id", "embedding").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e")).filter("vec_id is not null and size(e) > 0")
+    raw = pick(embeddings, "vec_id", "embedding").select(F.col("vec_id").cast("long").alias("doc_id"), F.col("embedding").cast("array<double>").alias("e")).filter("doc_id is not null and size(e) > 0")
     norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, v: s + v * v))
-    unit = raw.withColumn("norm", norm).filter("norm > 0 and norm < double('infinity')").select("vec_id", F.expr("transform(e, v -> float(v / norm))").alias("x"))
-    unit = checkpoint(unit.withColumn("dim", F.size("x")))
-    leads = checkpoint(unit.groupBy("dim", "x").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")))
-    sizes = {r["dim"]: r["n"] for r in leads.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    again = unit.join(leads.filter("n > 1").select("dim", "x", F.col("vec_id").alias("vec_a")), ["dim", "x"]).filter("vec_id <> vec_a")
-    out = again.select("vec_a", F.col("vec_id").alias("vec_b"), F.lit(1.0).alias("cosine")).distinct()
-    for dim, n in sorted(sizes.items()):
-        if n > 1:
-            out = out.unionByName(one_dimension(leads.filter(F.col("dim") == dim).select("vec_id", "x"), dim, n, threshold))
-    if not sizes:
-        return spark.createDataFrame([], "vec_a long, vec_b long, cosine double")
-    return out.filter("vec_a <> vec_b").groupBy("vec_a", "vec_b").agg(F.round(F.max("cosine"), 6).alias("cosine"))
+    unit = raw.withColumn("norm", norm).filter("norm > 0 and norm < double('infinity')").select("doc_id", F.expr("transform(e, v -> float(v / norm))").alias("x"))
+    path, kept = folder(spark, "near"), folder(spark, "near-duplicates")
+    with dropping_shuffles(spark):
+        members, classes = grouping.classes_of(unit.select("doc_id", F.xxhash64("x").alias("k1"), F.xxhash64(F.lit(1), "x").alias("k2"), "x"), path)
+        sizes = {r["dim"]: r["n"] for r in classes.groupBy(F.size("x").alias("dim")).agg(F.count("*").alias("n")).collect()}
+        found = spark.createDataFrame([], "a long, b long, links long")
+        for dim, n in sorted(sizes.items()):
+            if n > 1:
+                found = found.unionByName(one_dimension(classes.filter(F.size("x") == dim), dim, n, threshold, path))
+        rows = grouping.one_row_each(members, classes, found, path).withColumnRenamed("doc_id", "vec_id")
+        rows = written(rows, kept)
+        remove(spark, path)
+    return rows
+
+
+#: Over embeddings, exactly.
+NEAR_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+half AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id < b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95 - 1e-7),
+edges AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reached AS (SELECT vec_id, vec_id AS other FROM v UNION SELECT r.vec_id, e.b FROM reached r JOIN edges e ON e.a = r.other),
+u AS (SELECT vec_id, list_transform(e, x -> (x / sqrt(list_sum(list_transform(e, y -> y * y))))::FLOAT) AS x FROM v),
+copies AS (SELECT vec_id, count(*) OVER (PARTITION BY x) - 1 AS n_copies FROM u)
+SELECT vec_id, (SELECT min(other) FROM reached r WHERE r.vec_id = v.vec_id) AS class_id, n_copies::BIGINT AS n_copies, (SELECT count(*) FROM edges e WHERE e.a = v.vec_id)::BIGINT AS n_links FROM v JOIN copies USING (vec_id)
+"""

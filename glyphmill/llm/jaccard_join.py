@@ -31,15 +31,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import grouping
 from .common import checkpoint, dropping_shuffles, folder, mix64, pick, positional, remove, written
+from .grouping import blocks_of, by_group, classes_of, group_lengths, one_row_each, spanning
 
 WORD = re.compile(r"\w+")
 FIRST_BAND, SPARE, SPLIT = 4, 1, 4
-#: Members of a run or of a leader that are compared with as many others in one task.
-BLOCK = 2048
+#: Bytes of signatures of a task of the shuffle in one pass.
 PASS_BYTES = 8_000_000
 
 
@@ -257,36 +258,11 @@ def feature_sets(docs: DataFrame, n: int) -> DataFrame:
     return base.mapInArrow(extract, "doc_id long, feats array<int>").filter(F.size("feats") > 0)
 
 
-def classes_of(docs: DataFrame, n: int, path: str) -> tuple[DataFrame, DataFrame]:
-    """Tables members (doc_id, k1, k2; a row for each document) and classes (cls, k1, k2, rep, n, feats; a row for each distinct set).
-
-    k1 and k2 are 64-bit hashes of the set. Copies are counted before they are shuffled.
-    """
-    spark = docs.sparkSession
-    keys = [F.xxhash64("feats").alias("k1"), F.xxhash64(F.lit(1), "feats").alias("k2")]
-    sets = written(feature_sets(docs, n).select("doc_id", *keys, "feats"), f"{path}/sets")
-    members = written(sets.select("doc_id", "k1", "k2").distinct(), f"{path}/members")
-    each = members.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    first = sets.withColumnRenamed("doc_id", "rep").join(each, ["k1", "k2", "rep"]).dropDuplicates(["k1", "k2", "rep"])
-    classes = first.select(F.monotonically_increasing_id().alias("cls"), "k1", "k2", "rep", "n", "feats")
-    classes = written(classes, f"{path}/classes")
-    remove(spark, f"{path}/sets")
-    return members, classes
-
-
 def lists_of(column: pa.Array) -> list[np.ndarray]:
     ends, flat = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint32)
     return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
-def blocks_of(group: Column, item: Column, size: Column) -> Column:
-    """(group, i, j) for each pair of blocks that an item takes part in: one for groups of up to BLOCK, else BLOCK items or so are a block."""
-    n = F.ceil(size / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(7), item), n).cast("int")
-    others = F.sequence(F.lit(0), n - 1)
-    return F.transform(others, lambda o: F.struct(group.alias("grp"), F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
-
-
 def runs(sigs: DataFrame) -> DataFrame:
     """grp, i, j, cls of all signatures that two classes at least have; long runs in pairs of blocks."""
 
@@ -318,43 +294,6 @@ def runs(sigs: DataFrame) -> DataFrame:
     return long.select("cls", F.explode(blocks_of(F.col("grp"), F.col("cls"), F.col("n"))).alias("g")).select("g.grp", "g.i", "g.j", "cls")
 
 
-def by_group(rows: DataFrame, work, schema: str) -> DataFrame:
-    """work(first row of each group, batch as columns) for batches of whole groups (grp, i, j), as Arrow, many small groups at a time."""
-
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            whole = pa.Table.from_batches(parts).combine_chunks()
-            if whole.num_rows:
-                yield from work(whole.to_batches()[0])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = [batch.column(c).to_numpy() for c in range(3)]
-            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-            if held and [held[-1].column(c)[-1].as_py() for c in range(3)] != [k[0].item() for k in keys]:
-                yield from flush(held)
-                held = []
-            if len(change):
-                at = int(change[-1])
-                yield from flush([*held, batch.slice(0, at)])
-                held = [batch.slice(at)]
-            else:
-                held.append(batch)
-        if held:
-            yield from flush(held)
-
-    return rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(stream, schema)
-
-
-def group_lengths(batch: pa.RecordBatch) -> np.ndarray:
-    keys = [batch.column(c).to_numpy() for c in range(3)]
-    first = np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)]
-    return np.diff(np.r_[np.flatnonzero(first), batch.num_rows])
-
-
 def passes_for(threshold: float, features: int, tasks: int) -> int:
     """Passes over the signatures, so that those of one take about as much room as the sets; fewer where a task of the shuffle would get less than PASS_BYTES."""
     a_feature = 4 * (1 - threshold) / (1 + threshold) * (1 + 1 / threshold)
@@ -414,9 +353,8 @@ def compared(classes: DataFrame, threshold: float, path: str) -> DataFrame:
     led = sized.groupBy("member").agg(F.array_sort(F.collect_set(F.struct("leader", "many"))).alias("led"))
     led = led.join(classes.select(F.col("cls").alias("member"), "n", "feats"), "member")
     each = led.select("member", "n", "feats", F.col("led.leader").alias("leaders"), F.explode("led").alias("l"))
-    each = each.select("member", "n", "feats", "leaders", F.explode(blocks_of(F.col("l.leader"), F.col("member"), F.col("l.many"))).alias("g"), F.ceil(F.col("l.many") / BLOCK).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64(F.lit(7), F.col("member")), F.col("parts")).cast("int")
-    rows = each.select("g.grp", "g.i", "g.j", "member", "n", "feats", "leaders", own.alias("block"))
+    each = each.select("member", "n", "feats", "leaders", F.explode(blocks_of(F.col("l.leader"), F.col("member"), F.col("l.many"))).alias("g"), grouping.own_block(F.col("member"), F.col("l.many")).alias("block"))
+    rows = each.select("g.grp", "g.i", "g.j", "member", "n", "feats", "leaders", "block")
 
     def verify(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         member, weight, block = (batch.column(c).to_numpy() for c in (3, 4, 7))
@@ -451,32 +389,6 @@ def compared(classes: DataFrame, threshold: float, path: str) -> DataFrame:
     return written(by_group(rows, verify, "a long, b long, links long"), f"{path}/found")
 
 
-def spanning(m: int, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of the pairs, as they come."""
-    parent = list(range(m))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    take = []
-    for e, (i, k) in enumerate(zip(x.tolist(), y.tolist())):
-        p, q = root(i), root(k)
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            take.append(e)
-    return x[take], y[take]
-
-
-def with_classes(members: DataFrame, table: DataFrame) -> DataFrame:
-    """Members joined with a table by k1, k2. A class that holds a thousandth of all documents or more would overload a task of the shuffle; there are a thousand of them at most, so these are broadcast."""
-    many = members.count() // 1000 + 1
-    usual = members.join(table.filter(F.col("n") < many), ["k1", "k2"])
-    return usual.unionByName(members.join(F.broadcast(table.filter(F.col("n") >= many)), ["k1", "k2"]))
-
-
 #: Over documents, for n = 1.
 JOIN_SQL = r"""
 WITH RECURSIVE w AS (SELECT DISTINCT doc_id, text, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS g FROM documents WHERE doc_id IS NOT NULL),
@@ -507,17 +419,11 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.85, n: int = 1) -> DataFr
         raise ValueError("threshold must lie in [0.5, 1]")
     spark = docs.sparkSession
     path, kept = folder(spark, "join"), folder(spark, "joined")
+    keys = [F.xxhash64("feats").alias("k1"), F.xxhash64(F.lit(1), "feats").alias("k2")]
     with dropping_shuffles(spark):
-        members, classes = classes_of(docs, n, path)
+        members, classes = classes_of(feature_sets(docs, n).select("doc_id", *keys, "feats"), path)
         found = compared(classes, threshold, path)
-        links = found.filter("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
-        small = classes.select("cls", "k1", "k2", "rep", "n")
-        group = components(found.filter("b is not null").select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))).select(F.col("doc_id").alias("cls"), F.col("group_id").alias("grp"))
-        least = group.join(small.select("cls", "rep"), "cls").groupBy("grp").agg(F.min("rep").alias("class_id"))
-        table = small.join(links, "cls", "left").join(group.join(least, "grp").select("cls", "class_id"), "cls", "left")
-        table = written(table.select("k1", "k2", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class_id", "rep").alias("class_id")), f"{path}/table")
-        rows = with_classes(members, table).select("doc_id", "class_id", (F.col("n") - 1).alias("n_copies"), (F.col("links") + F.col("n") - 1).alias("n_links"))
-        rows = written(rows, kept)
+        rows = written(one_row_each(members, classes, found, path), kept)
         remove(spark, path)
     return rows
 
@@ -539,22 +445,3 @@ def keep_one(docs: DataFrame, threshold: float = 0.85, n: int = 1) -> DataFrame:
         once = once.filter(text.isNull()).unionByName(once.filter(text.isNotNull()).dropDuplicates([where["doc_id"], where["text"]]))
         kept = kept.join(repeated, again, "left_anti").unionByName(once)
     return kept.toDF(*docs.columns)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """doc_id, group_id (smallest id reachable) by alternating large-star and small-star steps until nothing changes."""
-    e = checkpoint(edges.select(F.col("doc_a").alias("u"), F.col("doc_b").alias("v")).filter("u <> v").distinct())
-    while True:
-        both = e.union(e.select(F.col("v"), F.col("u")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p")).select("p.u", "p.v").filter("u <> v").distinct()
-        nxt = checkpoint(small)
-        stats = lambda d: d.agg(F.count("*"), F.bit_xor(F.xxhash64(F.greatest("u", "v"), F.least("u", "v")))).first()
-        done = stats(nxt) == stats(e)
-        e = nxt
-        if done:
-            break
-    return e.select(F.col("u").alias("doc_id"), F.col("v").alias("group_id")).union(e.select(F.col("v"), F.col("v")).distinct())

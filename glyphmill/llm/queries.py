@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.corpus import read_table
 from . import chat, embedding_dedup, fingerprints, jaccard_join, language_id, mixing, packing, quality, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +70,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op7_chat_format": chat.EXPAND_SQL, "op9_ngram_jaccard_join": jaccard_join.JOIN_SQL}
+ORACLES: dict[str, str] = {"op7_chat_format": chat.EXPAND_SQL, "op6_embedding_dedup": embedding_dedup.NEAR_SQL, "op9_ngram_jaccard_join": jaccard_join.JOIN_SQL}

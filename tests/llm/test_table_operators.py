@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmill.llm import chat, embedding_dedup, jaccard_join, mixing, packing, sharding
+from glyphmill.llm import chat, embedding_dedup, grouping, jaccard_join, mixing, packing, sharding
 
 
 def brute_pack(lengths, capacity):
@@ -79,6 +79,41 @@ def test_mix_meets_budgets(spark, tables, keep_all):
         assert {r.doc_id for r in rows} == {r.doc_id for r in docs.collect()}
 
 
+def test_mix_by_brute_force(spark, monkeypatch):
+    """Budgets from shares and exponent anew; passes read block by block, the last one a beginning of its order."""
+    monkeypatch.setattr(mixing, "LEAST_BLOCKS", 5)
+    rows = [(i, f"text {i} " * (1 + i % 7), "abc"[0 if i % 10 < 6 else 1 if i % 10 < 9 else 2]) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    placed = mixing.mixed(docs, max_repeats=2.6, seed=3)
+    got = placed.select(F.col("c0").alias("doc_id"), "_source", "_tokens", "pass", "position").collect()
+    size = {i: len(t.encode()) for i, t, _ in rows}
+    total = {s: sum(size[i] for i, _, x in rows if x == s) for s in "abc"}
+    share = {s: n / sum(total.values()) for s, n in total.items()}
+    lo, hi = 0.0, 1.0
+    for _ in range(80):  # the rate of the smallest source against the largest is (p_large / p_small) ^ (1 - a)
+        a = (lo + hi) / 2
+        lo, hi = (a, hi) if (share["a"] / share["c"]) ** (1 - a) > 2.6 else (lo, a)
+    keys = {r["c0"]: r for r in mixing._keyed(docs, 3)[0].select("c0", "_key").collect()}
+    for s in "abc":
+        rate = (share["a"] / share[s]) ** (1 - hi)
+        mine = [r for r in got if r._source == s]
+        budget = int(rate * total[s] + 1e-6)
+        given = sum(r._tokens for r in mine)
+        assert budget - max(size.values()) < given <= budget
+        block = lambda r: keys[r.doc_id]["_key"] % 5  # noqa: E731, B023
+        orders = []
+        for turn in range(int(rate + 1e-9) + 1):
+            read = sorted((r for r in mine if r["pass"] == turn), key=lambda r: r.position)
+            if turn < int(rate + 1e-9):
+                assert sorted(r.doc_id for r in read) == sorted(i for i, _, x in rows if x == s)
+            seen = list(dict.fromkeys(map(block, read)))
+            assert len(seen) == 1 + sum(block(p) != block(q) for p, q in zip(read, read[1:])) if read else not seen
+            assert all(turn <= r.position * rate < turn + 1 for r in read)
+            orders.append(seen)
+            if read and turn == int(rate + 1e-9):  # whole blocks, but for the last one
+                for b in seen[:-1]:
+                    assert {r.doc_id for r in read if block(r) == b} == {i for i, _, x in rows if x == s and keys[i]["_key"] % 5 == b}
+        assert sorted(orders[0]) == [*range(5)]
 
 
 def test_mix_of_awkward_rows(awkward):
@@ -111,6 +146,32 @@ def test_shard(spark, tables):
     assert len({(r.shard, r.p) for r in rows}) == len(sizes)
 
 
+def test_few_ranges_for_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SAMPLE", 256)
+    monkeypatch.setattr(sharding, "MOST_TASKS", 7)
+    rows = [(i, f"k{i % 97:02}", "x" * (50 + i % 40)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = sharding.shard(docs, target_tokens=4000).select("doc_id", "source", "shard", F.octet_length("text").alias("n"), F.spark_partition_id().alias("p")).collect()
+    sizes, low, high = {}, {}, {}
+    for r in got:
+        sizes[r.shard] = sizes.get(r.shard, 0) + r.n + 1
+        low[r.source], high[r.source] = min(low.get(r.source, r.shard), r.shard), max(high.get(r.source, r.shard), r.shard)
+    assert sorted(r.doc_id for r in got) == [*range(3000)] and sorted(sizes) == [*range(len(sizes))] and len(sizes) >= 50
+    assert max(sizes.values()) < 2 * 4000 and len({r.p for r in got}) <= 7
+    # keys of one range share its shards, and ranges follow each other
+    order = sorted(low)
+    assert all(low[a] <= high[b] for i, a in enumerate(order) for b in order[i:]) and high[order[0]] < low[order[-1]]
+    of = {r.shard: r.p for r in got}
+    assert all(of[a] <= of[a + 1] for a in range(len(of) - 1)) and len({(r.shard, r.p) for r in got}) == len(of)
+
+
+def test_ranges_by_brute_force(spark):
+    bounds = ["b", "d", "é", "中"]
+    keys = ["", "a", "b", "c", "d", "da", "e", "z", "é", "éa", "中", "中文", "🙂"]
+    got = spark.createDataFrame([(k,) for k in keys], "k string").select("k", sharding.range_of(spark, bounds)(F.col("k")).alias("r")).collect()
+    assert {r.k: r.r for r in got} == {k: sum(b.encode() < k.encode() for b in bounds) for k in keys}
+
+
 def test_shard_of_awkward_rows(awkward):
     out = sharding.shard(awkward, target_tokens=50_000)
     assert out.count() == 10 and out.columns == [*awkward.columns, "shard_"]
@@ -136,7 +197,7 @@ def brute_join(rows, threshold, n):
 
 @pytest.mark.parametrize("threshold,n,block", [(0.85, 1, 2048), (0.6, 2, 4), (0.5, 1, 2048), (0.7, 1, 3), (1.0, 1, 2048)])
 def test_join_is_exact(spark, monkeypatch, threshold, n, block):
-    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(grouping, "BLOCK", block)
     rng = np.random.default_rng(int(threshold * 100) + n)
     rows, base = [], []
     for i in range(160):
@@ -204,27 +265,55 @@ def test_join_of_awkward_rows(awkward):
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101)]
     edges = spark.createDataFrame([(b, a) for a, b in chain], "doc_a long, doc_b long")
-    got = {r.doc_id: r.group_id for r in jaccard_join.components(edges).collect()}
+    got = {r.doc_id: r.group_id for r in grouping.components(edges).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
-def test_embeddings(spark, tables):
-    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    rows = e.collect()
-    x = np.array([r.embedding for r in rows])
+def brute_near(rows, threshold):
+    ids = [i for i, _ in rows]
+    x = np.array([v for _, v in rows], np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    a, b = np.nonzero(np.triu(x @ x.T >= 0.95, 1))
-    want = {tuple(sorted((rows[i].vec_id, rows[j].vec_id))) for i, j in zip(a, b)}
-    got = {(r.vec_a, r.vec_b) for r in embedding_dedup.near_duplicates(e).collect()}
-    assert got <= want and len(got) >= 0.9 * len(want)
+    near = x @ x.T >= threshold - 1e-7
+    np.fill_diagonal(near, False)
+    return ids, near
+
+
+@pytest.mark.parametrize("dim,block", [(64, 2048), (48, 40)])
+def test_planted_embeddings(spark, monkeypatch, dim, block):
+    """Near copies in random directions, and displaced towards other vectors, which other lists are likelier to hold."""
+    monkeypatch.setattr(grouping, "BLOCK", block)
+    rng = np.random.default_rng(dim)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    base = unit(rng.standard_normal((1500, dim)))
+    angle = np.arccos(0.952) * rng.random(900)[:, None] ** 0.3
+    noise, towards = unit(rng.standard_normal((450, dim))), unit(base[rng.integers(0, 1500, 450)] + base[rng.integers(0, 1500, 450)])
+    way = np.r_[noise, towards]
+    own = base[:900]
+    way = unit(way - (way * own).sum(1, keepdims=True) * own + 1e-9)
+    near = own * np.cos(angle) + way * np.sin(angle)
+    crowd = unit(base[1000] + 0.02 * rng.standard_normal((120, dim)))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.r_[base, near, crowd, 3 * base[1200:1220]])]
+    ids, real = brute_near(rows, 0.95)
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(r.vec_id for r in got) == ids
+    links = np.zeros(len(ids), int)
+    links[[r.vec_id for r in got]] = [r.n_links for r in got]
+    want = real.sum(1)
+    assert (links <= want).all() and links.sum() >= 0.99 * want.sum()
+    plain = [i for i in range(900) if want[i]]
+    assert len(plain) > 850 and np.mean([links[i] > 0 for i in plain]) >= 0.95
+    same = {r.vec_id: r.class_id for r in got}
+    assert np.mean([same[i] == same[1500 + i] for i in plain]) >= 0.95 and len({same[i] for i in range(2400, 2520)}) == 1
+    assert all(same[i] in np.flatnonzero(real[i]) or same[i] == i or want[i] > 1 for i in ids)
+    assert all(r.n_copies == 1 for r in got if r.vec_id >= 2520)
 
 
 def test_awkward_embeddings(spark):
     v = [1.0, 2.0, 3.0]
     rows = [(1, v, 0), (1, v, 0), (2, v, 1), (3, [2.0, 4.0, 6.0], 1), (4, None, 0), (5, [], 0), (6, [0.0] * 3, 0), (7, [math.nan, 1.0, 1.0], 0), (8, [None, 1.0, 1.0], 0), (None, v, 0), (9, [1.0, 2.0], 0), (10, [-1.0, -2.0, -3.0], 0), (11, [1.0, 2.0, 3.01], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, VEC_A int")
-    got = {(r.vec_a, r.vec_b) for r in embedding_dedup.near_duplicates(df, 0.95).collect()}
-    assert got == {(1, 2), (1, 3), (1, 11)}
+    got = {tuple(r) for r in embedding_dedup.near_duplicates(df, 0.95).collect()}
+    assert got == {(1, 1, 2, 3), (2, 1, 2, 3), (3, 1, 2, 3), (11, 1, 0, 3), (10, 10, 0, 0), (9, 9, 0, 0)}
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 

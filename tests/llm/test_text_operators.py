@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -50,10 +51,55 @@ def test_language(spark, awkward, net):
     assert spans[0].start == 0 and spans[-1].end == 120000 and all(a.end == b.start for a, b in zip(spans, spans[1:]))
 
 
-def test_windows_do_not_change_labels(net):
-    text = "the thing of " * 40
-    p = language_id.label_batch(net, [text, None, "", text])
-    assert np.allclose(p[0][0], p[0][3]) and p[2].tolist() == [len(text), 0, 0, len(text)]
+def plain_labels(net, text):
+    """Probabilities of every byte by a loop over windows, directions and bytes."""
+    raw, out = list(text.encode()), []
+    for core in range(0, len(raw), language_id.CORE):
+        symbols = [raw[i] if 0 <= i < len(raw) else language_id.EDGE for i in range(core - language_id.CONTEXT, core + language_id.CORE + language_id.CONTEXT)]
+        both, n = [], net.hidden
+        for d in range(2):
+            h, states = np.zeros(n), []
+            for c in symbols if d == 0 else symbols[::-1]:
+                gin, rec = net.table[d][:, c].astype(float), net.recur[d].astype(float) @ h
+                z, r = (1 / (1 + np.exp(-2 * (gin + rec)[i * n : (i + 1) * n])) for i in range(2))
+                h = z * h + (1 - z) * np.tanh(gin[2 * n :] + r * (rec[2 * n :] + net.bias[d][:, 0]))
+                states.append(h)
+            both.append(states if d == 0 else states[::-1])
+        for i in range(language_id.CONTEXT, language_id.CONTEXT + min(language_id.CORE, len(raw) - core)):
+            logit = net.out.astype(float) @ np.r_[both[0][i], both[1][i]] + net.out_bias[:, 0]
+            e = np.exp(logit - logit.max())
+            out.append(e / e.sum())
+    return np.array(out)
+
+
+def test_labels_by_brute_force(net):
+    texts = ["the thing of " * 25, None, "", "und der ißt " * 3 + "the thing of " * 12, "x", "of the"]
+    pooled, votes, sizes, labels = language_id.label_batch(net, texts)
+    for i, t in enumerate(texts):
+        if not t:
+            assert sizes[i] == 0 and not pooled[i].any() and not len(labels[i])
+            continue
+        p = plain_labels(net, t)
+        sure = np.abs(p[:, 0] - p[:, 1]) > 1e-4
+        assert len(p) == sizes[i] == len(labels[i]) and (labels[i] == p.argmax(1))[sure].all()
+        assert np.allclose(pooled[i], p.mean(0), atol=1e-5) and abs(votes[i] - np.bincount(p.argmax(1), minlength=2)).max() <= (~sure).sum()
+
+
+def test_windows_do_not_change_labels(net, monkeypatch):
+    """The same text alone, among others, and with blocks of few windows."""
+    text, others = "the thing of und der " * 40, ["of", "der ißt " * 90, None, "thing " * 33]
+    alone = language_id.label_batch(net, [text])
+    among = language_id.label_batch(net, [*others, text, *others])
+    monkeypatch.setattr(language_id, "BLOCK", 3)
+    small = language_id.label_batch(net, [*others[::-1], text])
+    for got in ([x[4] for x in among], [x[4] for x in small]):
+        assert np.allclose(got[0], alone[0][0], atol=1e-5) and got[1].tolist() == alone[1][0].tolist() and (got[3] == alone[3][0]).all()
+
+
+def test_spans_are_returned(spark, net):
+    rows = language_id.identify(spark.createDataFrame([(1, "und der ißt " * 30 + "the thing of " * 30), (2, None)], "doc_id long, text string"), net).orderBy("doc_id").collect()
+    assert rows[0].span_ends[-1] == rows[0].n_bytes and len(rows[0].span_ends) == len(rows[0].span_langs) == rows[0].n_spans and set(rows[0].span_langs) == {"de", "en"}
+    assert rows[1].span_ends == [] and rows[1].n_spans == 0
 
 
 def test_held_out_language(spark, tables):
@@ -95,6 +141,9 @@ def test_disguises(model):
         lambda w: "".join(rng.choice(back[c]) if c in back and rng.random() < 0.5 else c for c in w),
         lambda w: "".join(c * rng.choice([1, 2, 4]) for c in w),
         lambda w: rng.choice([" ", ".", "-", "_", "*"]).join(w),
+        lambda w: rng.choice(list("|!+$@")).join(w),
+        lambda w: " ".join(c * rng.choice([1, 2, 3]) for c in w),
+        lambda w: "-".join(rng.choice(back[c]) if c in back and rng.random() < 0.3 else c * rng.choice([1, 2]) for c in w),
         str.upper,
     ]
     tries = [(w, way(w)) for way in ways for w in WORDS for _ in range(4)]
@@ -104,6 +153,37 @@ def test_disguises(model):
     assert toxicity.score_batch(model, harmless) == [[]] * len(harmless)
 
 
+@pytest.mark.parametrize("shown", ["l|o|s|e|r", "l+o+s+e+r", "l!o!s!e!r", "l$o$s$e$r", "l@o@s@e@r", "lo!ser", "l oo s e r", "lo ser", "mo ron", "scu m", "mo, ron"])
+def test_separators(model, shown):
+    word = toxicity.squeeze("".join(c for c in shown if c.isalpha()))
+    assert word in {w for w, _ in toxicity.score_batch(model, [f"the cat {shown} sat"])[0]}
+
+
+def test_filter_loses_nothing(model):
+    """With and without it, of random tokens of the rules' letters, look-alikes and separators."""
+    rng = random.Random(4)
+    found = 0
+    for _ in range(400):
+        w = rng.choice(WORDS)
+        token = "".join(rng.choice("|!+$@.-_*01x" + w) * rng.choice([0, 0, 1, 1, 2]) + c for c in w)
+        rules = {model.at[k] for _, bits in model.follow(token)[1] for k in model.at if bits >> k & 1}
+        for r in model.rules:
+            if toxicity.decode(token, model.lm, r.rstrip("$"))[1] > -np.inf:
+                assert r in rules
+                found += 1
+    assert found > 50
+
+
+def test_huge_token(model):
+    rng = random.Random(8)
+    token = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789+/", k=1_000_000))
+    began = time.time()
+    plain = model.restored(token)
+    assert "loser" not in plain and time.time() - began < 60
+    hidden = token[:500_000] + ".l-0-$-3-r." + token[500_000:]
+    assert "loser" in model.restored(hidden) and time.time() - began < 120
+
+
 def test_decoder_prefers_the_likelier_word(model):
     assert toxicity.decode("cl0wn", model.lm)[0] == "clown" and toxicity.decode("m0r0n", model.lm)[0] == "moron"
 
