@@ -42,6 +42,8 @@ WORD = re.compile(r"\w+")
 FIRST_BAND, SPARE, SPLIT = 4, 1, 4
 #: Bytes of signatures of a task of the shuffle in one pass.
 PASS_BYTES = 8_000_000
+#: Members up to which the pairs of many runs are made at once.
+LONG = 32
 
 
 def words_of(text: str) -> list[str]:
@@ -167,21 +169,38 @@ def possible(sketches: np.ndarray, words: np.ndarray, sizes: np.ndarray, lengths
     fewest = np.minimum.reduceat(words, np.cumsum(lengths) - lengths)
     a, b = [], []
     for w in np.unique(fewest).tolist():
-        runs = np.flatnonzero(fewest == w)
-        at = np.flatnonzero(np.repeat(fewest == w, lengths))
-        x = np.empty((len(at), w), np.uint64)
+        mine = fewest == w
+        at = np.flatnonzero(np.repeat(mine, lengths))
+        x = np.empty((w, len(at)), np.uint64)
         own = words[at]
         for v in np.unique(own).tolist():
             rows = np.flatnonzero(own == v)
-            x[rows] = folded(sketches[begin[at[rows]][:, None] + np.arange(v)], w)
-        size = sizes[at]
-        for i, j in neighbours(lengths[runs]):
-            for lo in range(0, len(i), max(1, 2_000_000 // w)):
-                p, q = i[lo : lo + max(1, 2_000_000 // w)], j[lo : lo + max(1, 2_000_000 // w)]
-                apart = np.bitwise_count(x[p] ^ x[q]).sum(1, dtype=np.int64)
-                ok = apart <= rate * (size[p] + size[q]) + 1e-6
-                a.append(at[p[ok]])
-                b.append(at[q[ok]])
+            x[:, rows] = folded(sketches[begin[at[rows]][:, None] + np.arange(v)], w).T
+        size = (rate * sizes[at]).astype(np.float32)
+        n = lengths[mine]
+        starts = np.cumsum(n) - n
+        short = np.repeat(n <= LONG, n)
+        where = np.flatnonzero(short)
+        for i, j in neighbours(n[n <= LONG]):
+            i, j = where[i], where[j]
+            apart = np.zeros(len(i), np.int32)
+            for word in x:
+                apart += np.bitwise_count(word[i] ^ word[j])
+            ok = apart <= size[i] + size[j] + 1e-3
+            a.append(at[i[ok]])
+            b.append(at[j[ok]])
+        for first, m in zip(starts[n > LONG].tolist(), n[n > LONG].tolist()):
+            run, room = np.ascontiguousarray(x[:, first : first + m]), size[first : first + m] + np.float32(5e-4)
+            step = max(1, 100_000 // m)
+            for lo in range(0, m, step):
+                hi = min(m, lo + step)
+                apart = np.zeros((hi - lo, m - lo), np.uint16 if w < 1024 else np.uint32)
+                for word in run:
+                    apart += np.bitwise_count(word[lo:hi, None] ^ word[None, lo:])
+                i, j = np.nonzero(apart <= room[lo:hi, None] + room[None, lo:])
+                later = j > i
+                a.append(at[first + lo + i[later]])
+                b.append(at[first + lo + j[later]])
     if a:
         a, b = np.concatenate(a), np.concatenate(b)
         while True:

@@ -198,6 +198,7 @@ def brute_join(rows, threshold, n):
 @pytest.mark.parametrize("threshold,n,block", [(0.85, 1, 2048), (0.6, 2, 4), (0.5, 1, 2048), (0.7, 1, 3), (1.0, 1, 2048)])
 def test_join_is_exact(spark, monkeypatch, threshold, n, block):
     monkeypatch.setattr(grouping, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "LONG", 3 if n == 1 else 32)
     rng = np.random.default_rng(int(threshold * 100) + n)
     rows, base = [], []
     for i in range(160):
