@@ -212,7 +212,7 @@ WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 half AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id < b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95 - 1e-7),
 edges AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
 reached AS (SELECT vec_id, vec_id AS other FROM v UNION SELECT r.vec_id, e.b FROM reached r JOIN edges e ON e.a = r.other),
-u AS (SELECT vec_id, list_transform(e, x -> (x / sqrt(list_sum(list_transform(e, y -> y * y))))::FLOAT) AS x FROM v),
+u AS (SELECT vec_id, list_transform(e, lambda x: (x / sqrt(list_sum(list_transform(e, lambda y: y * y))))::FLOAT) AS x FROM v),
 copies AS (SELECT vec_id, count(*) OVER (PARTITION BY x) - 1 AS n_copies FROM u)
 SELECT vec_id, (SELECT min(other) FROM reached r WHERE r.vec_id = v.vec_id) AS class_id, n_copies::BIGINT AS n_copies, (SELECT count(*) FROM edges e WHERE e.a = v.vec_id)::BIGINT AS n_links FROM v JOIN copies USING (vec_id)
 """

@@ -91,7 +91,7 @@ def arcs(sign: str, run: int, parts: bool = False) -> list[tuple[str, float]]:
     elif sign.isalpha():
         out = [(sign, 0.0)]
     elif sign.isspace():
-        return [("", 3.0), (" ", 0.0)] if parts else [("", 0.5), (" ", 1.0)]
+        return [("", 5.0), (" ", 0.0)] if parts else [("", 0.5), (" ", 1.0)]
     else:
         return [("", 0.3), (" ", 1.0)]
     return out + [(h + h, cost + 0.5) for h, cost in out if h] * (run > 1)
