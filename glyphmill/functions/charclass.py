@@ -45,6 +45,9 @@ WORD = f"[^{WS}]+"
 LINE = r"[^\n]*\n|[^\n]+"
 CONTRACTION = "'(?:[stmd]|re|ve|ll)"
 PIECE = f"{CONTRACTION}| ?[{L}]+| ?[{N}]+| ?[^{WS}{L}{N}]+|[{WS}]+(?![^{WS}])|[{WS}]+"
+#: Runs of word characters, or of neither these nor blanks.
+WORD_OR_SIGNS = f"[{L}{N}\\p{{M}}\\p{{Pc}}]+|[^{WS}{L}{N}\\p{{M}}\\p{{Pc}}]+"
+SQL_WORD_OR_SIGNS = f"[{SQL_L}{SQL_N}\\p{{M}}\\p{{Pc}}]+|[^{WS}{SQL_L}{SQL_N}\\p{{M}}\\p{{Pc}}]+"
 #: DuckDB has no lookahead: MARK stands before the last blank of a run that a word follows, and ends the run there.
 MARK = 0x10FFFF
 SQL_PIECE = f"{CONTRACTION}| ?[{SQL_L}]+| ?[{SQL_N}]+| ?[^{WS}{SQL_L}{SQL_N}\\x{{{MARK:X}}}]+|[{WS}]+"

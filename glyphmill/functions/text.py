@@ -26,6 +26,11 @@ def pieces(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(C.PIECE), F.lit(0))
 
 
+def words_and_signs(text: Column) -> Column:
+    """Runs of word characters (letters, marks, numbers, connectors), and runs of anything else but blanks."""
+    return F.regexp_extract_all(text, F.lit(C.WORD_OR_SIGNS), F.lit(0))
+
+
 def show_bytes(raw: Column) -> Column:
     """Every byte of the UTF-8 form as one visible character."""
     return F.translate(F.decode(F.encode(raw, "UTF-8"), "ISO-8859-1"), HIDDEN, VISIBLE)

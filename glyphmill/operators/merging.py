@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import settled
 from . import counts
 
 SEP = "\x01"
@@ -40,13 +41,13 @@ def merge_all(word: Column, merges: Sequence[tuple[str, str]]) -> Column:
 def train_stepwise(words: DataFrame, steps: int, specials: Sequence[str] = (), limit: int | None = None, min_frequency: int = 0) -> tuple[list[tuple[str, str, int]], DataFrame]:
     """At most `steps` merges (left, right, count), and the wrapped words after them.
 
-    A step brings one row to the driver. Every step reads the words as they were at the start and
-    rewrites them by all merges so far, so nothing but that table is kept.
+    A step brings one row to the driver. Every step reads the words as they were at the start, from
+    reliable storage, and rewrites them by all merges so far, so nothing but that table is kept.
     """
     vocab = counts.vocabulary(counts.limited(counts.alphabet_counts(words), limit), specials).collect()
     ids = {r["token"]: r["id"] for r in vocab}
     spark = words.sparkSession
-    base = counts.symbols(words, spark.createDataFrame(vocab, "id long, token string")).select(wrapped(F.col("symbols")).alias("w"), "cnt").filter("w <> ''").persist()
+    base = settled(counts.symbols(words, spark.createDataFrame(vocab, "id long, token string")).select(wrapped(F.col("symbols")).alias("w"), "cnt").filter("w <> ''"))
     found: list[tuple[str, str, int]] = []
     while len(found) < steps:
         now = base.select(unwrapped(merge_all(F.col("w"), [(a, b) for a, b, _ in found])).alias("symbols"), "cnt")

@@ -55,3 +55,11 @@ def equity(by_group: DataFrame, group: str = "lang") -> DataFrame:
     """best, worst (groups by characters a token, equals by name), spread (population deviation of it)."""
     v = "chars_per_token"
     return by_group.agg(F.max(F.struct(F.col(v), F.col(group)))[group].alias("best"), F.min(F.struct(F.col(v), F.col(group)))[group].alias("worst"), F.round(F.stddev_pop(v), 6).alias("spread"))
+
+
+def run_statistics(runs: DataFrame, value: str, *by: str) -> DataFrame:
+    """by, n, median, spread (largest less smallest), mean, half_range of repeated measurements."""
+    v = F.col(value)
+    n = lambda c, name: F.round(c, 6).alias(name)
+    wide = F.max(v) - F.min(v)
+    return runs.groupBy(*by).agg(F.count(v).alias("n"), n(F.median(v), "median"), n(wide, "spread"), n(F.avg(v), "mean"), n(wide / 2, "half_range"))

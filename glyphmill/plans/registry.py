@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 
 from ..functions import charclass as C
 from ..functions import text as T
+from ..functions.shared import settled, shared_folder
 from ..operators import counts, merging, metrics, serialize, trainer
 from ..operators.trainer import Config
-from ..sources import corpus
+from ..sources import corpus, shapes
 from . import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-STEPS, FEW, LIMIT, FREQUENT = 16, 8, 40, 15000
+STEPS, FEW, LIMIT = 16, 8, 40
 SPECIALS = ["<|endoftext|>", "<pad>"]
 COLLIDING = ["th", "e", "<eos>"]
 VOCAB = 2000
@@ -60,8 +61,13 @@ def pairs_list(found) -> list[tuple[str, str]]:
     return [(a, b) for a, b, _ in found]
 
 
+def counted(spark: SparkSession, d: str, mode: str = "whitespace") -> DataFrame:
+    """words_of, counted once for all that is done with them."""
+    return settled(words_of(spark, d, mode))
+
+
 def learned(words: DataFrame, steps: int = STEPS) -> list[tuple[str, str]]:
-    """The first merges, by the incremental trainer."""
+    """The first merges, by the incremental trainer. words are read twice."""
     size = counts.alphabet_counts(words).count()
     return trainer.collected(trainer.train_table(words, Config(vocab_size=size + steps)))[1]
 
@@ -74,14 +80,33 @@ EACH_LINE = f"SELECT doc_id, unnest(range(0, len(l)))::BIGINT AS line_no, unnest
 EACH_PIECE = f"SELECT doc_id, line_no, unnest({sql.pieces('line')}) AS piece FROM ({EACH_LINE})"
 
 
+# documents with contractions and runs of blanks, of which the table has none
+SPICE = [("e ", "e's  "), ("n ", "n't "), ("a ", "a'll \t "), ("s\n", "s'x \n\n")]
+
+
+def spiced(docs: DataFrame) -> DataFrame:
+    text = F.col("text")
+    for plain, more in SPICE:
+        text = F.replace(text, F.lit(plain), F.lit(more))
+    return docs.withColumn("text", text)
+
+
+def _spiced_sql() -> str:
+    text = "text"
+    for plain, more in SPICE:
+        text = f"replace({text}, {sql.q(plain)}, {sql.q(more)})"
+    return f"(SELECT doc_id, {text} AS text FROM documents)"
+
+
+SPICED_PIECE = EACH_PIECE.replace("FROM documents", f"FROM {_spiced_sql()}")
+
+
 # scans and sources
 
 
 @query(sql.WS_COUNTS)
 def scan_text(spark, d):
     """Text files read in splits: the documents written as lines, and read again."""
-    from ..functions.shared import shared_folder
-
     path = shared_folder(spark, "scan")
     load(spark, d).select(F.regexp_replace("text", "\n", " ").alias("value")).write.text(path)
     return corpus.scan_lines(spark, [path]).select(F.explode(T.words(F.col("line"))).alias("word")).groupBy("word").agg(F.count("*").alias("cnt"))
@@ -128,9 +153,34 @@ def utf8_guard(spark, d):
     return half.select("doc_id", F.col("n").cast("bigint").alias("n_bytes"), corpus.valid_utf8(F.col("raw").substr(F.lit(1), F.col("n"))).alias("valid"))
 
 
+SHAPE_LENGTH = 20_000
+
+
+@query(shapes.generated_sql(SHAPE_LENGTH))
+def degenerate_shapes(spark, d):
+    return shapes.generated(spark, SHAPE_LENGTH)
+
+
+@query(f"SELECT shape, piece, count(*)::BIGINT AS cnt FROM (SELECT shape, unnest({sql.pieces('line')}) AS piece FROM (SELECT shape, unnest({sql.lines('text')}) AS line FROM ({shapes.generated_sql(SHAPE_LENGTH)}))) GROUP BY ALL")
+def degenerate_pieces(spark, d):
+    lines = shapes.generated(spark, SHAPE_LENGTH).select("shape", F.explode(T.lines(F.col("text"))).alias("line"))
+    return lines.select("shape", F.explode(T.pieces(F.col("line"))).alias("piece")).groupBy("shape", "piece").agg(F.count("*").alias("cnt"))
+
+
+@query("SELECT doc_id, replace(replace(text, chr(10), ''), chr(13), '') AS one_line, replace(translate(replace(replace(text, chr(10), ''), chr(13), ''), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), 'N', '') AS genome, replace(text, chr(10), chr(13)) AS carriage_returns FROM documents")
+def degenerate_derivations(spark, d):
+    t = F.col("text")
+    return load(spark, d).select("doc_id", shapes.one_line(t).alias("one_line"), shapes.genome(t).alias("genome"), shapes.carriage_returns(t).alias("carriage_returns"))
+
+
 # pretokens
 
 
+@query(f"SELECT token, count(*)::BIGINT AS cnt FROM (SELECT unnest(regexp_extract_all(text, {sql.q(C.SQL_WORD_OR_SIGNS)})) AS token FROM documents) GROUP BY token")
+def words_and_signs(spark, d):
+    return load(spark, d).select(F.explode(T.words_and_signs(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("cnt"))
+
+
 @query(f"SELECT doc_id, unnest(t) AS word, unnest(range(0, len(t)))::BIGINT AS pos FROM (SELECT doc_id, {sql.words('text')} AS t FROM documents)")
 def ws_tokens(spark, d):
     return load(spark, d).select("doc_id", F.posexplode(T.words(F.col("text"))).alias("pos", "word")).select("doc_id", "word", *big("pos"))
@@ -141,14 +191,14 @@ def bl_pieces(spark, d):
     return corpus.split_lines(load(spark, d)).select("doc_id", *big("line_no"), F.explode(T.pieces(F.col("line"))).alias("piece"))
 
 
-@query(f"SELECT piece, cnt FROM ({sql.RAW_COUNTS}) WHERE regexp_full_match(piece, {sql.q(C.CONTRACTION)})")
+@query(f"SELECT piece, count(*)::BIGINT AS cnt FROM ({SPICED_PIECE}) WHERE strpos(piece, chr(39)) > 0 GROUP BY piece")
 def bl_contractions(spark, d):
-    return counts.pretokens(load(spark, d), "bytelevel").filter(F.col("word").rlike(f"^{C.CONTRACTION}$")).groupBy(F.col("word").alias("piece")).agg(F.count("*").alias("cnt"))
+    return counts.pretokens(spiced(load(spark, d)), "bytelevel").filter(F.contains("word", F.lit("'"))).groupBy(F.col("word").alias("piece")).agg(F.count("*").alias("cnt"))
 
 
-@query(f"SELECT length(piece)::BIGINT AS run, count(*)::BIGINT AS cnt FROM ({EACH_PIECE}) WHERE regexp_full_match(piece, {sql.q(f'[{C.WS}]+')}) GROUP BY 1")
+@query(f"SELECT length(piece)::BIGINT AS run, count(*)::BIGINT AS cnt FROM ({SPICED_PIECE}) WHERE regexp_full_match(piece, {sql.q(f'[{C.WS}]+')}) GROUP BY 1")
 def bl_ws_runs(spark, d):
-    blank = counts.pretokens(load(spark, d), "bytelevel").filter(F.col("word").rlike(f"^[{C.WS}]+$"))
+    blank = counts.pretokens(spiced(load(spark, d)), "bytelevel").filter(F.col("word").rlike(f"^[{C.WS}]+$"))
     return blank.groupBy(F.char_length("word").cast("bigint").alias("run")).agg(F.count("*").alias("cnt"))
 
 
@@ -311,8 +361,9 @@ def bpe_train_naive(spark, d):
 
 def incremental(spark, d, mode="whitespace", steps=None, **how) -> DataFrame:
     """The incremental trainer's merges; with steps, the vocabulary is that much larger than specials and alphabet."""
-    w = words_of(spark, d, mode).persist()
+    w = words_of(spark, d, mode)
     if steps is not None:
+        w = settled(w)
         first = counts.vocabulary(counts.limited(counts.alphabet_counts(w), how.get("limit_alphabet")), how.get("special_tokens", ()))
         how["vocab_size"] = first.count() + steps
     return trainer.train_table(w, Config(**how))
@@ -345,9 +396,16 @@ def bpe_train_bl_2k(spark, d):
     return incremental(spark, d, "bytelevel", vocab_size=VOCAB)
 
 
-@query(sql.merges(sql.WS_COUNTS, STEPS, (), None, FREQUENT) + NO_COUNT)
+#: Of all words' occurrences, as the least count of a merged pair; so that training stops before STEPS merges.
+RARE = 12
+
+
+@query(sql.merges(sql.WS_COUNTS, STEPS, (), None, f"(SELECT sum(cnt)::BIGINT // {RARE} FROM words)") + NO_COUNT)
 def bpe_min_frequency(spark, d):
-    return only_merges(incremental(spark, d, steps=STEPS, min_frequency=FREQUENT))
+    w = counted(spark, d)
+    size = counts.alphabet_counts(w).count()
+    least = (w.agg(F.sum("cnt")).first()[0] or 0) // RARE
+    return only_merges(trainer.train_table(w, Config(vocab_size=size + STEPS, min_frequency=least)))
 
 
 @query(sql.merges(sql.WS_COUNTS, STEPS, (), LIMIT) + NO_COUNT)
@@ -365,9 +423,14 @@ def bpe_special_collision(spark, d):
     return spark.createDataFrame([(i, t) for t, i in known.items()], "id long, token string")
 
 
-@query()
+@query(sql.merges(sql.WS_COUNTS, STEPS, most=4) + NO_COUNT)
 def bpe_max_token_length(spark, d):
-    return incremental(spark, d, vocab_size=VOCAB, max_token_length=6)
+    return only_merges(incremental(spark, d, steps=STEPS, max_token_length=4))
+
+
+@query()
+def bpe_max_token_length_30k(spark, d):
+    return only_merges(produced(words_of(spark, d), max_token_length=16))
 
 
 @query()
@@ -376,9 +439,18 @@ def bpe_phantom(spark, d):
     return incremental(spark, d, vocab_size=VOCAB, max_token_length=4, continuing_subword_prefix="##")
 
 
-@query()
+@query(sql.merges(sql.WS_COUNTS, STEPS, ["[UNK]"], prefix="##") + "SELECT 'vocab' AS kind, id, token FROM vocab UNION ALL SELECT 'merge', rank, left_token || ' ' || right_token FROM every")
 def wordpiece_train(spark, d):
-    return incremental(spark, d, vocab_size=VOCAB, continuing_subword_prefix="##", special_tokens=["[UNK]"])
+    w = counted(spark, d)
+    plain = counts.vocabulary(counts.alphabet_counts(w), ["[UNK]"])
+    size = plain.count() + counts.symbols(w, plain, "##").select(F.explode("symbols").alias("token")).distinct().join(plain, "token", "left_anti").count()
+    table = trainer.train_table(w, Config(vocab_size=size + STEPS, continuing_subword_prefix="##", special_tokens=["[UNK]"]))
+    return table.select("kind", "id", F.when(F.col("kind") == "vocab", F.col("token")).otherwise(F.concat_ws(" ", "left", "right")).alias("token"))
+
+
+@query()
+def wordpiece_train_30k(spark, d):
+    return produced(words_of(spark, d), continuing_subword_prefix="##", special_tokens=["[UNK]"])
 
 
 @query(sql.merges(sql.WS_COUNTS, FEW, COLLIDING) + "SELECT DISTINCT ON (left_token, right_token) rank, left_token, right_token FROM (SELECT rank, left_token, right_token FROM every UNION ALL SELECT rank + 100, left_token, right_token FROM every WHERE rank % 2 = 0) ORDER BY left_token, right_token, rank DESC")
@@ -410,24 +482,61 @@ def json_escape(spark, d):
     return load(spark, d).select("doc_id", T.json_escaped(F.col("text")).alias("escaped"))
 
 
-@query()
+def _quoted(c: str) -> str:
+    return f"'\"' || {_escape_sql(c)} || '\"'"
+
+
+@query(sql.merges(sql.WS_COUNTS, STEPS) + f"SELECT '[' || string_agg({_quoted('token')}, ',' ORDER BY id) || ']' AS document FROM vocab")
 def vocab_json(spark, d):
-    vocab, _ = trainer.collected(incremental(spark, d, vocab_size=VOCAB))
+    vocab, _ = trainer.collected(incremental(spark, d, steps=STEPS))
     return spark.createDataFrame([(serialize.vocab_json(vocab),)], "document string")
 
 
 @query()
+def vocab_json_30k(spark, d):
+    vocab, _ = trainer.collected(produced(words_of(spark, d)))
+    return spark.createDataFrame([(serialize.vocab_json(vocab),)], "document string")
+
+
+def _tokenizer_sql() -> str:
+    """A document of one token and one merge with the lists of all in their places."""
+    cfg = Config(special_tokens=SPECIALS)
+    shown = serialize.tokenizer_json([*SPECIALS, "TOKEN"], [("LEFT", "RIGHT")], cfg, "bytelevel")
+    head, rest = shown.split(f'"{SPECIALS[0]}": 0,')
+    _, rest = rest.split('"TOKEN": 2')
+    middle, rest = rest.split('"LEFT",')
+    between, tail = rest.split('"RIGHT"')
+    margin = "\n" + head.rsplit("\n", 1)[1]
+    opened, closed = middle.rsplit("[", 1), tail.split("]", 1)
+    inner = opened[0].rsplit("\n", 1)[1]
+    one = f"{_quoted('left_token')} || ',' || {sql.q(between)} || {_quoted('right_token')}"
+    vocab = f"(SELECT string_agg({_quoted('token')} || ': ' || id, {sql.q(',' + margin)} ORDER BY id) FROM vocab)"
+    listed = f"(SELECT string_agg({sql.q('[' + opened[1])} || {one} || {sql.q(closed[0] + ']')}, {sql.q(',' + chr(10) + inner)} ORDER BY rank) FROM every)"
+    return f"SELECT {sql.q(head)} || {vocab} || {sql.q(opened[0])} || {listed} || {sql.q(closed[1])} AS document"
+
+
+def _tokenizer(spark, table: DataFrame) -> DataFrame:
+    vocab, merges = trainer.collected(table)
+    return spark.createDataFrame([(serialize.tokenizer_json(vocab, merges, Config(special_tokens=SPECIALS), "bytelevel"),)], "document string")
+
+
+@query(sql.merges(sql.BL_COUNTS, STEPS, SPECIALS) + _tokenizer_sql())
 def tokenizer_json(spark, d):
-    cfg = Config(vocab_size=VOCAB, special_tokens=SPECIALS)
-    vocab, merges = trainer.collected(trainer.train_table(words_of(spark, d, "bytelevel"), cfg))
-    return spark.createDataFrame([(serialize.tokenizer_json(vocab, merges, cfg, "bytelevel"),)], "document string")
+    return _tokenizer(spark, incremental(spark, d, "bytelevel", steps=STEPS, special_tokens=SPECIALS))
+
+
+@query()
+def tokenizer_json_30k(spark, d):
+    return _tokenizer(spark, produced(words_of(spark, d, "bytelevel"), special_tokens=SPECIALS))
 
 
 @query(sql.merges(sql.WS_COUNTS, STEPS, SPECIALS) + "SELECT (SELECT count(*) FROM words)::BIGINT AS n_words, (SELECT count(*) FROM vocab)::BIGINT AS n_vocab, (SELECT count(*) FROM every)::BIGINT AS n_merges")
 def train_summary(spark, d):
-    table = incremental(spark, d, steps=STEPS, special_tokens=SPECIALS)
+    w = counted(spark, d)
+    first = counts.vocabulary(counts.alphabet_counts(w), SPECIALS).count()
+    table = trainer.train_table(w, Config(vocab_size=first + STEPS, special_tokens=SPECIALS))
     n = lambda k: F.count(F.when(F.col("kind") == k, 1))
-    return words_of(spark, d).agg(F.count("*").alias("n_words")).crossJoin(table.agg(n("vocab").alias("n_vocab"), n("merge").alias("n_merges")))
+    return w.agg(F.count("*").alias("n_words")).crossJoin(table.agg(n("vocab").alias("n_vocab"), n("merge").alias("n_merges")))
 
 
 # analytics
@@ -438,14 +547,14 @@ SPACED = "trim(replace(w, chr(1) || chr(1), ' '), chr(1))"
 
 @query(sql.merges(sql.WS_COUNTS, STEPS) + f"SELECT word, cnt, {SPACED} AS tokens, {sql.tokens()}::BIGINT AS n_tokens FROM w{STEPS}")
 def encode_words(spark, d):
-    w = words_of(spark, d)
+    w = counted(spark, d)
     coded = merging.encode(w, learned(w))
     return coded.select("word", "cnt", F.array_join("tokens", " ").alias("tokens"), F.size("tokens").cast("bigint").alias("n_tokens"))
 
 
 @query(sql.merges(sql.WS_COUNTS, STEPS) + f"SELECT sum(cnt * {sql.tokens()})::BIGINT AS n_tokens, sum(cnt)::BIGINT AS n_words, round(sum(cnt * {sql.tokens()}) / sum(cnt), 6) AS fertility FROM w{STEPS}")
 def fertility(spark, d):
-    w = words_of(spark, d)
+    w = counted(spark, d)
     return metrics.fertility(merging.encode(w, learned(w)))
 
 
@@ -456,7 +565,7 @@ def _compressed_sql(rows: str, by: str = "") -> str:
 
 @query(sql.merges(sql.WS_COUNTS, STEPS) + _compressed_sql(f"w{STEPS}"))
 def bytes_per_token(spark, d):
-    w = words_of(spark, d)
+    w = counted(spark, d)
     return metrics.compression(merging.encode(w, learned(w)))
 
 
@@ -469,7 +578,7 @@ def by_language(docs: DataFrame) -> DataFrame:
 
 
 def coded_by_language(spark, d) -> DataFrame:
-    rows = by_language(load(spark, d))
+    rows = settled(by_language(load(spark, d)))
     found = learned(rows.groupBy("word").agg(F.sum("cnt").alias("cnt")))
     tokens = merging.unwrapped(merging.merge_all(merging.wrapped(T.characters(F.col("word"))), found))
     return metrics.compression(rows.withColumn("tokens", tokens), "lang")
@@ -514,7 +623,7 @@ def _cross_sql() -> str:
 
 @query(_cross_sql())
 def cross_domain(spark, d):
-    words = {t: counts.word_counts(load(spark, d, t)) for t in CROSS}
+    words = {t: settled(counts.word_counts(load(spark, d, t))) for t in CROSS}
     merges = {t: learned(w, FEW) for t, w in words.items()}
     cells = [metrics.compression(merging.encode(words[u], merges[t])).select(F.lit(t).alias("trained"), F.lit(u).alias("used"), "*") for t in CROSS for u in CROSS]
     out = cells[0]
@@ -527,10 +636,14 @@ ENGLISH = sql.WS_COUNTS.replace("FROM documents", "FROM documents WHERE lang = '
 
 
 def _two(spark, d):
-    docs = load(spark, d)
-    every = counts.word_counts(docs)
-    english = counts.word_counts(docs.filter("lang = 'en'"))
-    return [learned(w, FEW) for w in (every, english)]
+    return [learned(w, FEW) for w in _all_and_english(spark, d)]
+
+
+def _all_and_english(spark, d) -> list[DataFrame]:
+    """Word counts of all texts and of the English ones, from one reading."""
+    rows = settled(by_language(load(spark, d)))
+    both = (rows, rows.filter("lang = 'en'"))
+    return [x.groupBy("word").agg(F.sum("cnt").alias("cnt")) for x in both]
 
 
 def _renamed(spark, found) -> DataFrame:
@@ -590,6 +703,11 @@ def rank_overlap(spark, d):
     return metrics.rank_overlap(*_vocabs(spark, d), 50)
 
 
+@query("SELECT event_type, count(value)::BIGINT AS n, round(median(value), 6) AS median, round(max(value) - min(value), 6) AS spread, round(avg(value), 6) AS mean, round((max(value) - min(value)) / 2, 6) AS half_range FROM events GROUP BY event_type")
+def run_statistics(spark, d):
+    return metrics.run_statistics(load(spark, d, "events"), "value", "event_type")
+
+
 # the same to a production vocabulary, which no SQL can follow
 
 
@@ -602,7 +720,7 @@ def coded(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
 
 
 def _coded_all(spark, d) -> DataFrame:
-    w = words_of(spark, d)
+    w = counted(spark, d)
     return coded(w, trainer.collected(produced(w))[1])
 
 
@@ -638,7 +756,7 @@ def merge_lines_30k(spark, d):
 
 @query()
 def train_summary_30k(spark, d):
-    w = words_of(spark, d)
+    w = counted(spark, d)
     n = lambda k: F.count(F.when(F.col("kind") == k, 1))
     return w.agg(F.count("*").alias("n_words")).crossJoin(produced(w, special_tokens=SPECIALS).agg(n("vocab").alias("n_vocab"), n("merge").alias("n_merges")))
 
@@ -660,7 +778,7 @@ def bytes_per_token_30k(spark, d):
 
 @query()
 def lang_compression_30k(spark, d):
-    rows = by_language(load(spark, d))
+    rows = settled(by_language(load(spark, d)))
     found = trainer.collected(produced(rows.groupBy("word").agg(F.sum("cnt").alias("cnt"))))[1]
     return metrics.compression(coded(rows, found), "lang")
 
@@ -672,7 +790,7 @@ def lang_equity_30k(spark, d):
 
 @query()
 def cross_domain_30k(spark, d):
-    words = {t: counts.word_counts(load(spark, d, t)) for t in CROSS}
+    words = {t: settled(counts.word_counts(load(spark, d, t))) for t in CROSS}
     merges = {t: trainer.collected(produced(w))[1] for t, w in words.items()}
     cells = [metrics.compression(coded(words[u], merges[t])).select(F.lit(t).alias("trained"), F.lit(u).alias("used"), "*") for t in CROSS for u in CROSS]
     out = cells[0]
@@ -683,8 +801,7 @@ def cross_domain_30k(spark, d):
 
 def _two_produced(spark, d, kind: str) -> list[DataFrame]:
     """Of all texts and of the English ones: merges (rank, left, right) or vocabulary (id, token)."""
-    docs = load(spark, d)
-    both = [produced(counts.word_counts(x)).filter(F.col("kind") == kind) for x in (docs, docs.filter("lang = 'en'"))]
+    both = [produced(x).filter(F.col("kind") == kind) for x in _all_and_english(spark, d)]
     return [t.select(F.col("id").alias("rank"), "left", "right") if kind == "merge" else t.select("id", "token") for t in both]
 
 
@@ -695,7 +812,7 @@ def merge_diff_30k(spark, d):
 
 @query()
 def merge_prefix_30k(spark, d):
-    return metrics.merge_prefix(*[t.persist() for t in _two_produced(spark, d, "merge")])
+    return metrics.merge_prefix(*[settled(t) for t in _two_produced(spark, d, "merge")])
 
 
 @query()

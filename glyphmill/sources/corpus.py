@@ -154,14 +154,29 @@ def corpus_slice(docs: DataFrame, max_bytes: int, key: str = "doc_id", text: str
     return docs.filter(F.octet_length(text).isNotNull() & (bucket < last)).unionByName(edge.filter(F.col("_before") < max_bytes).drop("_n", "_before"))
 
 
-def round_robin(docs: DataFrame, group: str = "lang", key: str = "doc_id") -> DataFrame:
-    """All rows and position: the first row of each group, then the second of each, and so on, groups in order of their names."""
-    n = F.row_number().over(W.partitionBy(group).orderBy(key))
-    ranked = docs.withColumn("_n", n)
-    per_round = ranked.groupBy("_n").agg(F.count("*").alias("_size"))
-    start = F.coalesce(F.sum("_size").over(W.orderBy("_n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    within = F.row_number().over(W.partitionBy("_n").orderBy(group))
-    return ranked.join(per_round.withColumn("_start", start), "_n").withColumn("position", (F.col("_start") + within).cast("bigint")).drop("_n", "_size", "_start")
+def round_robin(docs: DataFrame, group: str = "lang", key: str = "doc_id", buckets: int = 1000) -> DataFrame:
+    """All rows and position: the first row of each group, then the second of each, and so on, groups in order of their names.
+
+    Two levels: a row's number in its group is that of the rows in lower ranges of keys and its
+    number in its own range. Rows of lower numbers are then counted from the groups' sizes, which
+    are a row a group, so no window holds more than a range of a group.
+    """
+    ends = docs.agg(F.min(key), F.max(key)).first()
+    if ends[0] is None:
+        return docs.withColumn("position", F.lit(None).cast("bigint")).limit(0)
+    width = max(1, (ends[1] - ends[0]) // buckets + 1)
+    ranged = docs.withColumn("_b", F.floor((F.col(key) - F.lit(ends[0])) / width))
+    sizes = ranged.groupBy(F.col(group).alias("_g"), F.col("_b").alias("_r")).agg(F.count("*").alias("_size"))
+    below = W.partitionBy("_g").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_below", F.coalesce(F.sum("_size").over(below), F.lit(0))).drop("_size")
+    groups = sizes.groupBy("_g").agg(F.sum("_size").alias("_all")).agg(F.collect_list(F.struct("_g", "_all")).alias("_groups"))
+    within = F.row_number().over(W.partitionBy(group, "_b").orderBy(key))
+    ranked = ranged.withColumn("_w", within).join(offsets, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_r")))
+    n = (F.col("_below") + F.col("_w")).cast("bigint")
+    rounds = F.aggregate("_groups", F.lit(0).cast("bigint"), lambda s, g: s + F.least(g["_all"], n - 1))
+    before = lambda g: F.when(g["_g"].isNull(), True).when(F.col(group).isNull(), False).otherwise(g["_g"] <= F.col(group))
+    this = F.aggregate("_groups", F.lit(0).cast("bigint"), lambda s, g: s + (before(g) & (g["_all"] >= n)).cast("bigint"))
+    return ranked.crossJoin(F.broadcast(groups)).withColumn("position", rounds + this).drop("_b", "_r", "_g", "_w", "_below", "_groups")
 
 
 def paragraphs(html: Column) -> Column:
