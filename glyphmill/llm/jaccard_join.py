@@ -1,32 +1,31 @@
-"""N-gram Jaccard join by PartEnum signatures.
+"""N-gram Jaccard join by prefixes.
 
 Two documents join when the Jaccard similarity of their sets of word n-grams is at least
-``threshold``. The search is exact over the hashed n-grams: PartEnum turns the threshold into a
-bound k on the symmetric difference for a band of set sizes, hashes the feature domain into
-n1 = ceil((k + 1) / (SPARE + 1)) partitions, of which one differs in at most SPARE features, and
-each of these into SPLIT parts, of which all but SPARE then agree; every choice of SPLIT - SPARE
-parts of a partition is a signature. More parts make a signature longer, hence rarer among
-unrelated documents, at the price of more signatures.
+``threshold``. The search is exact over the hashed n-grams: the members of each set are ordered,
+rare ones first; two sets that reach the threshold share one of the first (1 - threshold) |set| + 1
+members, the prefix, so each of these is a signature. The first member that they share leaves
+enough members behind it in both sets for the overlap that their sizes ask for; runs of equal
+signatures are searched for pairs of which this holds. Any order of the members gives the same
+result. It is taken from counts of all sets by hash buckets, which only rounds it; a second count,
+of the prefixes, tells signatures that no other set has, which aren't sent, and the length of runs.
 
 Documents of equal sets form a class first, by an aggregation that combines before it shuffles; one
-set stands for the class from there on. A set gives signatures in its own size band and, where a
-partner of the next band is in reach, in that one too. They are made and sorted in several passes,
-each over a share of the partitions, so that the files of one pass are gone before the next.
-Within a run of equal signatures sketches (a parity bit for each bucket of the domain) bound the
-symmetric difference from below; sets that no chain of possible pairs connects part ways, and the
-smallest class of each chain leads it. So the shuffle carries a row a signature and a row a
-membership, never a pair, and unrelated sets that share a signature go no further. Last, the sets
-of a leader are compared exactly. Runs and leaders with many members are divided into pairs of
-blocks, each a task of its own.
+set stands for the class from there on. Signatures are made and sorted in several passes, each over
+a share of the members, so that the files of one pass are gone before the next. With a signature
+goes a sketch of the set (a parity bit for each bucket of the domain), which bounds the symmetric
+difference from below; sets that no chain of possible pairs connects part ways, and the smallest
+class of each chain leads it. So the shuffle carries a row a signature and a row a membership, never
+a pair, and unrelated sets that share a signature go no further. Last, the sets of a leader are
+compared exactly. Runs and leaders with many members are divided into pairs of blocks, each a task
+of its own.
 """
 
 from __future__ import annotations
 
 import functools
-import itertools
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,10 +38,15 @@ from .common import checkpoint, dropping_shuffles, folder, mix64, pick, position
 from .grouping import blocks_of, by_group, classes_of, group_lengths, one_row_each, spanning
 
 WORD = re.compile(r"\w+")
-FIRST_BAND, SPARE, SPLIT = 4, 1, 4
+#: Hash buckets in which members are counted, and those of a part of the table.
+BUCKETS, PART = 1 << 22, 1 << 16
+#: Members of a run that are compared with as many others in one task.
+RUN = 32768
+#: What a set may miss of the threshold by rounding, as a share of its size.
+SLACK = 1e-6
 #: Bytes of signatures of a task of the shuffle in one pass.
 PASS_BYTES = 8_000_000
-#: Members up to which the pairs of many runs are made at once.
+#: Members up to which all pairs of a run are made; those of longer ones are sought by size.
 LONG = 32
 
 
@@ -66,74 +70,65 @@ def hash_shingles(grams: list[str]) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))).astype(np.uint32)
 
 
-def bands(threshold: float, largest: int) -> list[tuple[int, int]]:
-    """Consecutive size bands [lo, hi]; a partner of a set lies in its own band or a neighbour."""
-    out, lo = [], 1
-    while lo <= largest:
-        hi = max(lo, FIRST_BAND if lo == 1 else math.floor(lo / threshold + 1e-9))
-        out.append((lo, hi))
-        lo = hi + 1
-    return out
-
+def buckets(feats: np.ndarray) -> np.ndarray:
+    return (mix64(feats.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
-def most_different(a: int, b: int, threshold: float) -> int:
-    """The largest symmetric difference of sets of a and b members that still reach the threshold."""
-    return math.floor((1 - threshold) / (1 + threshold) * (a + b) + 1e-9)
 
+def prefixes(sets: list[np.ndarray], threshold: float, levels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(member, index of the set, members of the set from there on) of all prefixes. A set holds no repeats; an empty one gives none.
 
-def signatures(sets: list[np.ndarray], threshold: float, share: tuple[int, int] = (0, 1)) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, index of the set) of all sets. A set holds no repeats; an empty one gives none.
-
-    share (i, m): only of the partitions i, i + m, i + 2 m and so on.
+    levels: of each bucket, how frequent its members are; without, the order is that of the hashes.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
     if not sizes.size or not sizes.max():
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    table = bands(threshold, int(sizes.max() / threshold) + 2)
-    los = np.array([b[0] for b in table])
-    own = np.searchsorted(los, sizes, side="right") - 1
-    reach = np.searchsorted(los, np.floor(sizes / threshold + 1e-9), side="right") - 1
-    part, of = share
-    sigs, owners = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for later in range(int((reach - own).max()) + 1):
-        for band in np.unique(own[(sizes > 0) & (reach >= own + later)]).tolist():
-            who = np.flatnonzero((sizes > 0) & (own == band) & (reach >= band + later))
-            at = band + later
-            k = most_different(table[at][1], table[at][1], threshold)
-            spare, split = (SPARE, SPLIT) if k else (0, 1)
-            n1 = -(-(k + 1) // (spare + 1))
-            mine = len(range(part, n1, of))
-            if not mine:
-                continue
-            feats = np.concatenate([sets[i] for i in who]).astype(np.uint64)
-            row = np.repeat(np.arange(len(who)), sizes[who])
-            h = mix64(feats + np.uint64(0x9E3779B97F4A7C15 * (at + 1) & (1 << 64) - 1))
-            place = ((h >> np.uint64(32)) * np.uint64(n1 * split) >> np.uint64(32)).astype(np.int64)
-            if of > 1:
-                live = place // split % of == part
-                h, row, place = h[live], row[live], place[live]
-                place = place // split // of * split + place % split
-            total = np.zeros(len(who) * mine * split, np.uint64)
-            np.add.at(total, row * (mine * split) + place, mix64(h))
-            total = total.reshape(len(who), mine, split)
-            number = np.arange(part, n1, of).astype(np.uint64) * np.uint64(64)
-            for c, chosen in enumerate(itertools.combinations(range(split), split - spare)):
-                key = mix64(mix64(total[:, :, list(chosen)].sum(2) + number + np.uint64(c)) + np.uint64(at))
-                sigs.append(key.ravel().view(np.int64))
-                owners.append(np.repeat(who, mine))
-    return np.concatenate(sigs), np.concatenate(owners)
+        return np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+    feats = np.concatenate(sets).astype(np.uint64)
+    rank = (np.zeros(len(feats), np.uint64) if levels is None else levels[buckets(feats)].astype(np.uint64)) << np.uint64(32)
+    owner = np.repeat(np.arange(len(sets), dtype=np.uint64), sizes) << np.uint64(40)
+    feats = np.sort(owner | rank | feats).astype(np.uint32)
+    who = np.repeat(np.arange(len(sets)), sizes)
+    place = np.arange(len(who)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    live = place <= np.floor((1 - threshold + SLACK) * sizes + 1e-9).astype(np.int64)[who]
+    return feats[live], who[live], (sizes[who] - place)[live]
 
 
-def sketch(feats: np.ndarray) -> np.ndarray:
-    """uint64 words: a parity bit for each of 2^b buckets of the domain, 1.5 buckets a member at least.
+def of_share(feats: np.ndarray, share: tuple[int, int]) -> np.ndarray:
+    """Which members belong to share (i, m): one in m."""
+    return mix64(feats.astype(np.uint64)) % np.uint64(share[1]) == share[0]
+
+
+def signatures(sets: list[np.ndarray], threshold: float, share: tuple[int, int] = (0, 1)) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, index of the set) of all sets, in the order of the hashes, of a share of the members."""
+    feats, who, _ = prefixes(sets, threshold)
+    mine = of_share(feats, share)
+    return feats[mine], who[mine]
+
+
+def sketches_of(sets: list[np.ndarray]) -> list[bytes]:
+    """For each set a parity bit for each of 2^b buckets of the domain, 1.5 buckets a member at least.
 
     Two sets differ in a member at least for each bit in which their sketches do. Half a sketch
     xor the other half is the sketch of half as many buckets.
     """
-    bits = max(64, 1 << int(np.ceil(np.log2(1.5 * max(1, len(feats))))))
-    bucket = (mix64(feats.astype(np.uint64) + np.uint64(0x5BF03635)) & np.uint64(bits - 1)).astype(np.int64)
-    odd = np.bincount(bucket, minlength=bits).astype(np.uint8) & 1
-    return np.packbits(odd, bitorder="little").view(np.uint64)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    bits = np.maximum(64, 1 << np.ceil(np.log2(1.5 * np.maximum(1, sizes))).astype(np.int64))
+    out: list[bytes] = [b""] * len(sets)
+    for n in np.unique(bits).tolist():
+        who = np.flatnonzero(bits == n)
+        step = max(1, (1 << 21) // n)
+        for lo in range(0, len(who), step):
+            some = who[lo : lo + step]
+            bucket = (mix64(np.concatenate([sets[i] for i in some]).astype(np.uint64) + np.uint64(0x5BF03635)) & np.uint64(n - 1)).astype(np.int64)
+            odd = np.bincount(np.repeat(np.arange(len(some)), sizes[some]) * n + bucket, minlength=len(some) * n).astype(np.uint8) & 1
+            drawn = np.packbits(odd, bitorder="little").tobytes()
+            for k, i in enumerate(some.tolist()):
+                out[i] = drawn[k * n // 8 : (k + 1) * n // 8]
+    return out
+
+
+def sketch(feats: np.ndarray) -> np.ndarray:
+    """The sketch of one set in uint64 words."""
+    return np.frombuffer(sketches_of([feats])[0], np.uint64)
 
 
 def folded(x: np.ndarray, words: int) -> np.ndarray:
@@ -143,10 +138,8 @@ def folded(x: np.ndarray, words: int) -> np.ndarray:
     return x
 
 
-def neighbours(lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs i < j of positions in the same one of consecutive runs of the given lengths, some hundred thousand at a time."""
-    ends = np.cumsum(lengths)
-    after = np.repeat(ends, lengths) - np.arange(len(np.repeat(ends, lengths))) - 1
+def following(after: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of each position and as many next ones as given, some hundred thousand at a time."""
     done = np.cumsum(after)
     lo = 0
     while lo < len(after):
@@ -157,50 +150,72 @@ def neighbours(lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         lo = hi
 
 
-def possible(sketches: np.ndarray, words: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, threshold: float) -> np.ndarray:
+def neighbours(lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs i < j of positions in the same one of consecutive runs of the given lengths."""
+    ends = np.cumsum(lengths)
+    yield from following(np.repeat(ends, lengths) - np.arange(lengths.sum()) - 1)
+
+
+def fitting(need: np.ndarray, most: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of positions in the same one of consecutive runs, of which most of either is at least what the other needs."""
+    long = np.repeat(lengths > LONG, lengths)
+    where = np.flatnonzero(~long)
+    for i, j in neighbours(lengths[lengths <= LONG]):
+        i, j = where[i], where[j]
+        ok = (most[i] >= need[j]) & (most[j] >= need[i])
+        yield i[ok], j[ok]
+    if long.any():
+        run = np.repeat(np.arange(len(lengths)), lengths)
+        where = np.flatnonzero(long)
+        where = where[np.lexsort((need[where], run[where]))]
+        begin = run[where] * (1 + need.max() + most.max())
+        after = np.searchsorted(begin + need[where], begin + most[where], side="right") - np.arange(len(where)) - 1
+        for i, j in following(np.maximum(0, after)):
+            i, j = where[i], where[j]
+            ok = most[j] >= need[i]
+            yield i[ok], j[ok]
+
+
+def possible(sketches: np.ndarray, words: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, threshold: float, rest: np.ndarray | None = None) -> np.ndarray:
     """For each member of consecutive runs the first one of its run that a chain of possible pairs connects it with.
 
-    A pair is possible if the sketches don't show more differences than the threshold allows.
+    A pair is possible if neither its sizes nor rest, the members from the signature on, are too
+    small for the overlap and the sketches don't show more differences than the threshold allows.
     sketches: all of them, one after the other; words: how many words each has.
     """
     label = np.arange(len(sizes))
-    rate = (1 - threshold) / (1 + threshold)
+    part, rate = threshold / (1 + threshold) - SLACK, (1 - threshold) / (1 + threshold)
     begin = np.cumsum(words) - words
-    fewest = np.minimum.reduceat(words, np.cumsum(lengths) - lengths)
+    room = rate * sizes + 5e-4
+    drawn = {}
+
+    def narrowed(w: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sketches of w words (word, row) of the sets that may be compared in so many, and where each is."""
+        if w not in drawn:
+            at = np.flatnonzero((words >= w) & (words <= 4 * w))  # sizes differ by a factor of 2 at most
+            x, own = np.empty((w, len(at)), np.uint64), words[at]
+            for v in np.unique(own).tolist():
+                rows = np.flatnonzero(own == v)
+                x[:, rows] = folded(sketches[begin[at[rows]][:, None] + np.arange(v)], w).T
+            place = np.zeros(len(sizes), np.int64)
+            place[at] = np.arange(len(at))
+            drawn[w] = x, place
+        return drawn[w]
+
     a, b = [], []
-    for w in np.unique(fewest).tolist():
-        mine = fewest == w
-        at = np.flatnonzero(np.repeat(mine, lengths))
-        x = np.empty((w, len(at)), np.uint64)
-        own = words[at]
-        for v in np.unique(own).tolist():
-            rows = np.flatnonzero(own == v)
-            x[:, rows] = folded(sketches[begin[at[rows]][:, None] + np.arange(v)], w).T
-        size = (rate * sizes[at]).astype(np.float32)
-        n = lengths[mine]
-        starts = np.cumsum(n) - n
-        short = np.repeat(n <= LONG, n)
-        where = np.flatnonzero(short)
-        for i, j in neighbours(n[n <= LONG]):
-            i, j = where[i], where[j]
-            apart = np.zeros(len(i), np.int32)
+    for i, j in fitting(part * sizes, (sizes if rest is None else rest) - part * sizes + 1e-3, lengths):
+        fewest = np.minimum(words[i], words[j])
+        for w in np.unique(fewest).tolist():
+            mine = fewest == w
+            p, q = i[mine], j[mine]
+            x, place = narrowed(w)
+            left, right = place[p], place[q]
+            apart = np.zeros(len(p), np.int32)
             for word in x:
-                apart += np.bitwise_count(word[i] ^ word[j])
-            ok = apart <= size[i] + size[j] + 1e-3
-            a.append(at[i[ok]])
-            b.append(at[j[ok]])
-        for first, m in zip(starts[n > LONG].tolist(), n[n > LONG].tolist()):
-            run, room = np.ascontiguousarray(x[:, first : first + m]), size[first : first + m] + np.float32(5e-4)
-            step = max(1, 100_000 // m)
-            for lo in range(0, m, step):
-                hi = min(m, lo + step)
-                apart = np.zeros((hi - lo, m - lo), np.uint16 if w < 1024 else np.uint32)
-                for word in run:
-                    apart += np.bitwise_count(word[lo:hi, None] ^ word[None, lo:])
-                i, j = np.nonzero(apart <= room[lo:hi, None] + room[None, lo:])
-                later = j > i
-                a.append(at[first + lo + i[later]])
-                b.append(at[first + lo + j[later]])
+                apart += np.bitwise_count(word[left] ^ word[right])
+            ok = apart <= room[p] + room[q]
+            a.append(p[ok])
+            b.append(q[ok])
     if a:
         a, b = np.concatenate(a), np.concatenate(b)
         while True:
@@ -282,68 +297,75 @@ def lists_of(column: pa.Array) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
-def runs(sigs: DataFrame) -> DataFrame:
-    """grp, i, j, cls of all signatures that two classes at least have; long runs in pairs of blocks."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_sig, held = np.empty(0, np.int64), np.empty(0, np.int64)
-
-        def out(sig: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
-            first = np.r_[True, (sig[1:] != sig[:-1])]
-            n = np.diff(np.r_[np.flatnonzero(first), len(sig)])
-            n = np.repeat(n, n)
-            live = n > 1
-            return pa.RecordBatch.from_arrays([pa.array(sig[live]), pa.array(cls[live]), pa.array(n[live])], ["grp", "cls", "n"])
+def tally(classes: DataFrame, members: Callable[[list[np.ndarray]], np.ndarray]) -> np.ndarray:
+    """For each bucket the level of how often it is among the members that are given of all sets: 8 times the binary logarithm, 0 where it is once or never."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.uint32)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sig, cls = np.r_[held_sig, batch.column(0).to_numpy()], np.r_[held, batch.column(1).to_numpy()]
-            fresh = np.r_[True, (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])]
-            sig, cls = sig[fresh], cls[fresh]
-            at = int(np.searchsorted(sig, sig[-1])) if sig[0] <= sig[-1] else 0
-            if at:
-                yield out(sig[:at], cls[:at])
-            held_sig, held = sig[at:], cls[at:]
-        if len(held):
-            yield out(held_sig, held)
-
-    ordered = sigs.repartition("sig").sortWithinPartitions("sig", "cls")
-    long = ordered.mapInArrow(cut, "grp long, cls long, n long")
-    return long.select("cls", F.explode(blocks_of(F.col("grp"), F.col("cls"), F.col("n"))).alias("g")).select("g.grp", "g.i", "g.j", "cls")
+            for lo in range(0, batch.num_rows, 2000):
+                total += np.bincount(buckets(members(lists_of(batch.column(0).slice(lo, 2000)))), minlength=BUCKETS).astype(np.uint32)
+        for part in range(BUCKETS // PART):
+            at = np.flatnonzero(total[part * PART : (part + 1) * PART])
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([total[part * PART + at].tobytes()], pa.binary())], ["part", "place", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, place, n in zip(*(c.to_pylist() for c in batch.columns)):
+                totals.setdefault(part, np.zeros(PART, np.int64))[np.frombuffer(place, np.uint16)] += np.frombuffer(n, np.uint32)
+        for part, total in totals.items():
+            level = np.minimum(255, np.round(8 * np.log2(np.maximum(1, total)))).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["part", "level"])
+
+    parts = classes.select("feats").mapInArrow(count, "part int, place binary, n binary")
+    out = np.zeros(BUCKETS, np.uint8)
+    for part, level in parts.repartition("part").mapInArrow(add, "part int, level binary").collect():
+        out[part * PART : (part + 1) * PART] = np.frombuffer(level, np.uint8)
+    return out
 
 
 def passes_for(threshold: float, features: int, tasks: int) -> int:
-    """Passes over the signatures, so that those of one take about as much room as the sets; fewer where a task of the shuffle would get less than PASS_BYTES."""
-    a_feature = 4 * (1 - threshold) / (1 + threshold) * (1 + 1 / threshold)
-    by_size = math.ceil(16 * a_feature * features / (PASS_BYTES * tasks))
-    return max(1, min(by_size, round(24 * (1 - threshold) / (1 + threshold) / threshold)))
+    """Passes over the signatures, so that those of one take about 10 bytes a feature; fewer where a task of the shuffle would get less than PASS_BYTES."""
+    by_size = math.ceil(100 * (1 - threshold) * features / (PASS_BYTES * tasks))
+    return max(1, min(by_size, math.ceil(10 * (1 - threshold) - 1e-9)))
 
 
 def candidates(classes: DataFrame, threshold: float, path: str) -> DataFrame:
     """leader, member: classes that are compared with each other, the leaders themselves included."""
+    spark = classes.sparkSession
+    levels = spark.sparkContext.broadcast(tally(classes, np.concatenate))
+    shared = spark.sparkContext.broadcast(tally(classes, lambda sets: prefixes(sets, threshold, levels.value)[0]))
 
     def sign_share(share: tuple[int, int]):
         def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for lo in range(0, batch.num_rows, 2000):
-                    part = batch.slice(lo, 2000)
-                    sig, who = signatures(lists_of(part.column(1)), threshold, share)
-                    yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(part.column(0).to_numpy()[who])], ["sig", "cls"])
+                for lo in range(0, batch.num_rows, 500):
+                    part = batch.slice(lo, 500)
+                    sets, cls = lists_of(part.column(1)), part.column(0).to_numpy()
+                    feats, who, rest = prefixes(sets, threshold, levels.value)
+                    level = shared.value[buckets(feats)]
+                    mine = (level > 0) & of_share(feats, share)
+                    feats, who, rest = feats[mine], who[mine], rest[mine]
+                    # a run of more than RUN members is divided into pairs of blocks
+                    many = np.ceil(2 ** (level[mine] / 8) / RUN).astype(np.int64)
+                    own = (mix64(cls[who].astype(np.uint64)) % many.astype(np.uint64)).astype(np.int64)
+                    each = np.repeat(np.arange(len(who)), many)
+                    other = np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
+                    own, who = own[each], who[each]
+                    sizes = np.array([len(s) for s in sets], np.int32)
+                    columns = [feats[each].astype(np.int64), np.minimum(own, other).astype(np.int32), np.maximum(own, other).astype(np.int32), cls[who], sizes[who], rest[each].astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(sketches_of(sets), pa.binary()).take(pa.array(who))], ["grp", "i", "j", "cls", "size", "rest", "sketch"])
 
         return sign
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = lists_of(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array([len(s) for s in sets], np.int32)), pa.array([sketch(s).tobytes() for s in sets], pa.binary())], ["cls", "size", "sketch"])
-
     def connect(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        cls, sizes = batch.column(3).to_numpy(), batch.column(4).to_numpy().astype(np.int64)
-        _, ends, data = batch.column(5).buffers()
-        ends = np.frombuffer(ends, np.int32)[batch.column(5).offset :][: len(cls) + 1]
+        cls, sizes, rest = batch.column(3).to_numpy(), batch.column(4).to_numpy().astype(np.int64), batch.column(5).to_numpy().astype(np.int64)
+        _, ends, data = batch.column(6).buffers()
+        ends = np.frombuffer(ends, np.int32)[batch.column(6).offset :][: len(cls) + 1]
         sketches = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].copy().view(np.uint64)
-        label = possible(sketches, np.diff(ends) // 8, sizes, group_lengths(batch), threshold)
+        label = possible(sketches, np.diff(ends) // 8, sizes, group_lengths(batch), threshold, rest)
         # the smallest class of a chain leads
         lead = np.full(len(cls), np.iinfo(np.int64).max)
         np.minimum.at(lead, label, cls)
@@ -352,16 +374,15 @@ def candidates(classes: DataFrame, threshold: float, path: str) -> DataFrame:
         pair = pd.DataFrame({"leader": lead[some], "member": cls[some]}).drop_duplicates()
         yield pa.RecordBatch.from_pandas(pair, preserve_index=False)
 
-    spark = classes.sparkSession
-    sketches = written(classes.select("cls", "feats").mapInArrow(draw, "cls long, size int, sketch binary"), f"{path}/sketches")
-    total = sketches.agg(F.sum("size")).first()[0] or 0
+    total = classes.agg(F.sum(F.size("feats"))).first()[0] or 0
     times, found = passes_for(threshold, total, int(spark.conf.get("spark.sql.shuffle.partitions"))), []
     for i in range(times):
-        sigs = classes.select("cls", "feats").mapInArrow(sign_share((i, times)), "sig long, cls long")
-        rows = runs(sigs).join(sketches, "cls").select("grp", "i", "j", "cls", "size", "sketch")
+        rows = classes.select("cls", "feats").mapInArrow(sign_share((i, times)), "grp long, i int, j int, cls long, size int, rest int, sketch binary")
         found.append(written(by_group(rows, connect, "leader long, member long").distinct(), f"{path}/star-{i}"))
     star = functools.reduce(DataFrame.unionByName, found).distinct()
     star = written(star, f"{path}/star")
+    levels.destroy()
+    shared.destroy()
     return star.unionByName(star.select("leader", F.col("leader").alias("member")).distinct())
 
 

@@ -238,6 +238,58 @@ def test_signatures_and_sketches_lose_no_pair(threshold):
     assert len(pairs) > 20
 
 
+def zipf_texts(n, size, seed):
+    """Unrelated texts over one vocabulary of 3,000 words, some of them in nearly all texts."""
+    rng = np.random.default_rng(seed)
+    share = 1 / np.arange(1, 3001) ** 0.8
+    return [sorted(rng.choice(3000, size, replace=False, p=share / share.sum()).tolist()) for _ in range(n)]
+
+
+def test_unrelated_sets_hardly_meet():
+    """A signature for each member of the prefix at most, and fewer than half of the pairs in the runs of signatures."""
+    sets = [jaccard_join.hash_shingles([f"w{k}" for k in t]) for t in zipf_texts(400, 100, 5)]
+    sig, who = jaccard_join.signatures(sets, 0.7)
+    assert len(sig) <= 31 * len(sets) and set(who.tolist()) == set(range(400))
+    levels = np.zeros(jaccard_join.BUCKETS, np.uint8)
+    at, n = np.unique(jaccard_join.buckets(np.concatenate(sets)), return_counts=True)
+    levels[at] = np.round(8 * np.log2(n))
+    feats, who, rest = jaccard_join.prefixes(sets, 0.7, levels)
+    order = np.argsort(feats, kind="stable")
+    lengths = np.unique(feats, return_counts=True)[1]
+    part = 0.7 / 1.7
+    pairs = sum(len(i) for i, _ in jaccard_join.fitting(np.full(len(feats), part * 100), rest[order] - part * 100, lengths))
+    assert pairs < 0.5 * (lengths * (lengths - 1) // 2).sum()
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.9])
+def test_first_shared_member_fits(threshold):
+    """Whatever the order of the members, two similar sets fit each other in the run of the first one that they share."""
+    rng = np.random.default_rng(23)
+    levels, tried = rng.integers(0, 4, jaccard_join.BUCKETS).astype(np.uint8), 0
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 1 << 32, int(rng.integers(1, 90)), dtype=np.uint64)).astype(np.uint32)
+        b = np.unique(np.r_[a[int(rng.integers(0, len(a) + 1) * rng.random() ** 3) :], rng.integers(0, 1 << 32, int(rng.integers(1, 30) * rng.random() ** 2), dtype=np.uint64).astype(np.uint32)])
+        if not len(b) or jaccard(set(a.tolist()), set(b.tolist())) < threshold:
+            continue
+        tried += 1
+        feats, who, rest = jaccard_join.prefixes([a, b], threshold, levels)
+        common = sorted(set(feats[who == 0].tolist()) & set(feats[who == 1].tolist()))
+        size, sk = np.array([len(a), len(b)]), [jaccard_join.sketch(a), jaccard_join.sketch(b)]
+        found = [jaccard_join.possible(np.concatenate(sk), np.array([len(x) for x in sk]), size, np.array([2]), threshold, np.array([rest[(who == w) & (feats == c)][0] for w in (0, 1)])).tolist() for c in common]
+        assert [0, 0] in found
+    assert tried > 20
+
+
+def test_long_runs_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "RUN", 3)
+    monkeypatch.setattr(jaccard_join, "PASS_BYTES", 100)
+    texts = zipf_texts(60, 12, 9)
+    rows = [(i, " ".join(f"w{k}" for k in t)) for i, t in enumerate(texts)] + [(100 + i, " ".join(f"w{k}" for k in [*t[:-1], 5000])) for i, t in enumerate(texts)]
+    rows += [(300 + i, f"once upon a time there was a {i}") for i in range(20)]
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 0.7, 1)
+    assert sorted(tuple(r) for r in got.collect()) == brute_join(rows, 0.7, 1)
+
+
 def test_neighbours():
     for lengths in ([1], [3, 1, 4], [2, 2, 900]):
         runs = np.repeat(np.arange(len(lengths)), lengths)
