@@ -12,9 +12,10 @@ of the prefixes, tells signatures that no other set has, which aren't sent, and
 Documents of equal sets form a class first, by an aggregation that combines before it shuffles; one
 set stands for the class from there on. Signatures are made and sorted in several passes, each over
 a share of the members, so that the files of one pass are gone before the next. With a signature
-goes a sketch of the set (a parity bit for each bucket of the domain), which bounds the symmetric
-difference from below; sets that no chain of possible pairs connects part ways, and the smallest
-class of each chain leads it. So the shuffle carries a row a signature and a row a membership, never
+goes a sketch of the members from there on (a parity bit for each bucket of the domain), which bounds
+their symmetric difference from below; what two sets hold before the first member that they share
+differs entirely, so what the threshold allows is less by that. Sets that no chain of possible pairs
+connects part ways, and the smallest class of each chain leads it. So the shuffle carries a row a signature and a row a membership, never
 a pair, and unrelated sets that share a signature go no further. Last, the sets of a leader are
 compared exactly. Runs and leaders with many members are divided into pairs of blocks, each a task
 of its own.
@@ -46,6 +47,8 @@ RUN = 32768
 SLACK = 1e-6
 #: Bytes of signatures of a task of the shuffle in one pass.
 PASS_BYTES = 8_000_000
+#: Bits of sketches of signatures that are drawn at a time.
+DRAWN = 1 << 26
 #: Members up to which all pairs of a run are made; those of longer ones are sought by size.
 LONG = 32
 
@@ -104,21 +107,32 @@ def signatures(sets: list[np.ndarray], threshold: float, share: tuple[int, int]
     return feats[mine], who[mine]
 
 
-def sketches_of(sets: list[np.ndarray]) -> list[bytes]:
-    """For each set a parity bit for each of 2^b buckets of the domain, 1.5 buckets a member at least.
+def widths(sizes: np.ndarray, rest: np.ndarray, threshold: float) -> np.ndarray:
+    """Bits of the sketch at a signature, a power of 2, that tell unrelated sets apart: where d members may differ from there on, 2 d bits at least, and more the fewer they are, as chance matters more."""
+    differing = 2 / (1 + threshold) * np.maximum(0, (1 - threshold) * rest - threshold * (sizes - rest))
+    return np.maximum(64, 1 << np.ceil(np.log2(np.maximum(1, 2.15 * differing + 13 * np.sqrt(differing)))).astype(np.int64))
+
+
+def sketch_buckets(feats: np.ndarray, bits: int) -> np.ndarray:
+    return (mix64(feats.astype(np.uint64) + np.uint64(0x5BF03635)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def sketches_of(sets: list[np.ndarray], bits: np.ndarray | None = None) -> list[bytes]:
+    """For each set a parity bit for each of 2^b buckets of the domain, 1.5 buckets a member at least where their number isn't given.
 
     Two sets differ in a member at least for each bit in which their sketches do. Half a sketch
     xor the other half is the sketch of half as many buckets.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
-    bits = np.maximum(64, 1 << np.ceil(np.log2(1.5 * np.maximum(1, sizes))).astype(np.int64))
+    if bits is None:
+        bits = np.maximum(64, 1 << np.ceil(np.log2(1.5 * np.maximum(1, sizes))).astype(np.int64))
     out: list[bytes] = [b""] * len(sets)
     for n in np.unique(bits).tolist():
         who = np.flatnonzero(bits == n)
         step = max(1, (1 << 21) // n)
         for lo in range(0, len(who), step):
             some = who[lo : lo + step]
-            bucket = (mix64(np.concatenate([sets[i] for i in some]).astype(np.uint64) + np.uint64(0x5BF03635)) & np.uint64(n - 1)).astype(np.int64)
+            bucket = sketch_buckets(np.concatenate([sets[i] for i in some]), n)
             odd = np.bincount(np.repeat(np.arange(len(some)), sizes[some]) * n + bucket, minlength=len(some) * n).astype(np.uint8) & 1
             drawn = np.packbits(odd, bitorder="little").tobytes()
             for k, i in enumerate(some.tolist()):
@@ -138,6 +152,36 @@ def folded(x: np.ndarray, words: int) -> np.ndarray:
     return x
 
 
+def tails(sets: list[np.ndarray], feats: np.ndarray, who: np.ndarray, rest: np.ndarray, mine: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, sketches (row, word)) of those places of the prefixes (feats, who, rest) that are mine: each is the sketch of the members from there on."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    bits, narrow = widths(sizes, sizes, threshold), widths(sizes[who], rest, threshold)
+    for n in np.unique(bits[who[mine]]).tolist():
+        own = np.flatnonzero(bits == n)
+        whole = np.frombuffer(b"".join(sketches_of([sets[i] for i in own], bits[own])), np.uint64).reshape(-1, n // 64)
+        nth = np.zeros(len(sets), np.int64)
+        nth[own] = np.arange(len(own))
+        rows = np.flatnonzero(bits[who] == n)
+        step = max(1, DRAWN // n)
+        before, last, begin = np.zeros(n // 64, np.uint64), -1, np.zeros(n // 64, np.uint64)
+        for lo in range(0, len(rows), step):
+            some = rows[lo : lo + step]
+            seen = np.zeros((len(some) + 1, n // 64), np.uint64)
+            seen[0] = before
+            bucket = sketch_buckets(feats[some], n)
+            seen[np.arange(1, len(some) + 1), bucket >> 6] = np.uint64(1) << (bucket & 63).astype(np.uint64)
+            np.bitwise_xor.accumulate(seen, axis=0, out=seen)
+            # the members before a place in its own set are all before it but those before the set
+            new = np.r_[who[some[0]] != last, who[some[1:]] != who[some[:-1]]]
+            first = np.maximum.accumulate(np.where(new, np.arange(len(some)), -1))
+            for v in np.unique(narrow[some[mine[some]]]).tolist():
+                take = np.flatnonzero(mine[some] & (narrow[some] == v))
+                start = np.where((first[take] >= 0)[:, None], seen[first[take]], begin)
+                yield some[take], np.ascontiguousarray(folded(whole[nth[who[some[take]]]] ^ seen[take] ^ start, v // 64))
+            begin = seen[first[-1]].copy() if first[-1] >= 0 else begin
+            before, last = seen[-1].copy(), who[some[-1]]
+
+
 def following(after: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of each position and as many next ones as given, some hundred thousand at a time."""
     done = np.cumsum(after)
@@ -176,23 +220,24 @@ def fitting(need: np.ndarray, most: np.ndarray, lengths: np.ndarray) -> Iterator
             yield i[ok], j[ok]
 
 
-def possible(sketches: np.ndarray, words: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, threshold: float, rest: np.ndarray | None = None) -> np.ndarray:
+def possible(sketches: np.ndarray, words: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, threshold: float, rest: np.ndarray | None = None, tail: bool = False) -> np.ndarray:
     """For each member of consecutive runs the first one of its run that a chain of possible pairs connects it with.
 
     A pair is possible if neither its sizes nor rest, the members from the signature on, are too
     small for the overlap and the sketches don't show more differences than the threshold allows.
-    sketches: all of them, one after the other; words: how many words each has.
+    sketches: all of them, one after the other; words: how many words each has; tail: whether they
+    are those of the members from the signature on, of which it is the first that both sets hold.
     """
     label = np.arange(len(sizes))
     part, rate = threshold / (1 + threshold) - SLACK, (1 - threshold) / (1 + threshold)
     begin = np.cumsum(words) - words
-    room = rate * sizes + 5e-4
+    room = rate * sizes + 5e-4 - (sizes - rest if tail else 0)
     drawn = {}
 
     def narrowed(w: int) -> tuple[np.ndarray, np.ndarray]:
         """Sketches of w words (word, row) of the sets that may be compared in so many, and where each is."""
         if w not in drawn:
-            at = np.flatnonzero((words >= w) & (words <= 4 * w))  # sizes differ by a factor of 2 at most
+            at = np.flatnonzero((words >= w) & (tail | (words <= 4 * w)))  # sizes differ by a factor of 2 at most
             x, own = np.empty((w, len(at)), np.uint64), words[at]
             for v in np.unique(own).tolist():
                 rows = np.flatnonzero(own == v)
@@ -327,9 +372,9 @@ def tally(classes: DataFrame, members: Callable[[list[np.ndarray]], np.ndarray])
 
 
 def passes_for(threshold: float, features: int, tasks: int) -> int:
-    """Passes over the signatures, so that those of one take about 10 bytes a feature; fewer where a task of the shuffle would get less than PASS_BYTES."""
+    """Passes over the signatures, so that those of one take about 5 bytes a feature; fewer where a task of the shuffle would get less than PASS_BYTES."""
     by_size = math.ceil(100 * (1 - threshold) * features / (PASS_BYTES * tasks))
-    return max(1, min(by_size, math.ceil(10 * (1 - threshold) - 1e-9)))
+    return max(1, min(by_size, math.ceil(20 * (1 - threshold) - 1e-9)))
 
 
 def candidates(classes: DataFrame, threshold: float, path: str) -> DataFrame:
@@ -344,19 +389,21 @@ def candidates(classes: DataFrame, threshold: float, path: str) -> DataFrame:
                 for lo in range(0, batch.num_rows, 500):
                     part = batch.slice(lo, 500)
                     sets, cls = lists_of(part.column(1)), part.column(0).to_numpy()
+                    sizes = np.array([len(s) for s in sets], np.int32)
                     feats, who, rest = prefixes(sets, threshold, levels.value)
                     level = shared.value[buckets(feats)]
                     mine = (level > 0) & of_share(feats, share)
-                    feats, who, rest = feats[mine], who[mine], rest[mine]
-                    # a run of more than RUN members is divided into pairs of blocks
-                    many = np.ceil(2 ** (level[mine] / 8) / RUN).astype(np.int64)
-                    own = (mix64(cls[who].astype(np.uint64)) % many.astype(np.uint64)).astype(np.int64)
-                    each = np.repeat(np.arange(len(who)), many)
-                    other = np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
-                    own, who = own[each], who[each]
-                    sizes = np.array([len(s) for s in sets], np.int32)
-                    columns = [feats[each].astype(np.int64), np.minimum(own, other).astype(np.int32), np.maximum(own, other).astype(np.int32), cls[who], sizes[who], rest[each].astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(sketches_of(sets), pa.binary()).take(pa.array(who))], ["grp", "i", "j", "cls", "size", "rest", "sketch"])
+                    for at, drawn in tails(sets, feats, who, rest, mine, threshold):
+                        # a run of more than RUN members is divided into pairs of blocks
+                        many = np.ceil(2 ** (level[at] / 8) / RUN).astype(np.int64)
+                        own = (mix64(cls[who[at]].astype(np.uint64)) % many.astype(np.uint64)).astype(np.int64)
+                        each = np.repeat(np.arange(len(at)), many)
+                        other = np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many)
+                        own, at = own[each], at[each]
+                        columns = [feats[at].astype(np.int64), np.minimum(own, other).astype(np.int32), np.maximum(own, other).astype(np.int32), cls[who[at]], sizes[who[at]], rest[at].astype(np.int32)]
+                        ends = np.arange(len(drawn) + 1, dtype=np.int32) * np.int32(8 * drawn.shape[1])
+                        sketches = pa.Array.from_buffers(pa.binary(), len(drawn), [None, pa.py_buffer(ends), pa.py_buffer(drawn)])
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), sketches.take(pa.array(each))], ["grp", "i", "j", "cls", "size", "rest", "sketch"])
 
         return sign
 
@@ -365,7 +412,7 @@ def candidates(classes: DataFrame, threshold: float, path: str) -> DataFrame:
         _, ends, data = batch.column(6).buffers()
         ends = np.frombuffer(ends, np.int32)[batch.column(6).offset :][: len(cls) + 1]
         sketches = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].copy().view(np.uint64)
-        label = possible(sketches, np.diff(ends) // 8, sizes, group_lengths(batch), threshold, rest)
+        label = possible(sketches, np.diff(ends) // 8, sizes, group_lengths(batch), threshold, rest, tail=True)
         # the smallest class of a chain leads
         lead = np.full(len(cls), np.iinfo(np.int64).max)
         np.minimum.at(lead, label, cls)
@@ -386,12 +433,46 @@ def candidates(classes: DataFrame, threshold: float, path: str) -> DataFrame:
     return star.unionByName(star.select("leader", F.col("leader").alias("member")).distinct())
 
 
+def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose first column is among ids (one column, of monotonically_increasing_id), without a shuffle of rows: a bit for each row is broadcast."""
+    spark, schema = rows.sparkSession, rows.schema
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            x = batch.column(0).to_numpy()
+            for part in np.unique(x >> 33).tolist():
+                held.setdefault(part, []).append(x[x >> 33 == part] & ((1 << 33) - 1))
+        for part, places in held.items():
+            bits = np.zeros(max(int(p.max()) for p in places) + 1, bool)
+            for p in places:
+                bits[p] = True
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["part", "bits"])
+
+    one = ids.select(F.col(ids.columns[0]).alias("id"))
+    drawn = one.repartition(F.shiftright("id", 33)).mapInArrow(draw, "part int, bits binary").collect()
+    known = spark.sparkContext.broadcast({r.part: bytes(r.bits) for r in drawn})
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(0).to_numpy()
+            found = np.zeros(len(x), bool)
+            for part in np.unique(x >> 33).tolist():
+                bits = np.frombuffer(known.value.get(part, b""), np.uint8)
+                at = np.flatnonzero((x >> 33 == part) & ((x & ((1 << 33) - 1)) < 8 * len(bits)))
+                place = x[at] & ((1 << 33) - 1)
+                found[at] = bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1
+            yield batch.filter(pa.array(found))
+
+    return rows.mapInArrow(select, schema)
+
+
 def compared(classes: DataFrame, threshold: float, path: str) -> DataFrame:
     """a, b, links: for a class with partners (b null) the documents of other classes that it joins with, in parts that add up; and (a, b) that hold each connected group together."""
     star = candidates(classes, threshold, path)
     sized = star.join(star.groupBy("leader").agg(F.count("*").alias("many")), "leader")
     led = sized.groupBy("member").agg(F.array_sort(F.collect_set(F.struct("leader", "many"))).alias("led"))
-    led = led.join(classes.select(F.col("cls").alias("member"), "n", "feats"), "member")
+    led = led.join(among(classes.select(F.col("cls").alias("member"), "n", "feats"), star.select("member")), "member")
     each = led.select("member", "n", "feats", F.col("led.leader").alias("leaders"), F.explode("led").alias("l"))
     each = each.select("member", "n", "feats", "leaders", F.explode(blocks_of(F.col("l.leader"), F.col("member"), F.col("l.many"))).alias("g"), grouping.own_block(F.col("member"), F.col("l.many")).alias("block"))
     rows = each.select("g.grp", "g.i", "g.j", "member", "n", "feats", "leaders", "block")

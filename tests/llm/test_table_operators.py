@@ -280,6 +280,82 @@ def test_first_shared_member_fits(threshold):
     assert tried > 20
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.85, 1.0])
+@pytest.mark.parametrize("drawn", [1 << 8, 1 << 13, 1 << 26])
+def test_tails_by_brute_force(monkeypatch, threshold, drawn):
+    """Each sketch is that of the members from the signature on, however many are drawn at a time."""
+    monkeypatch.setattr(jaccard_join, "DRAWN", drawn)
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 1 << 32, n, dtype=np.uint32)) for n in (1, 2, 40, 41, 300, 2000, 5, 299)]
+    levels = rng.integers(0, 3, jaccard_join.BUCKETS).astype(np.uint8)
+    feats, who, rest = jaccard_join.prefixes(sets, threshold, levels)
+    mine, seen = rng.random(len(feats)) < 0.6, []
+    for at, rows in jaccard_join.tails(sets, feats, who, rest, mine, threshold):
+        for p, row in zip(at.tolist(), rows):
+            s = sets[who[p]]
+            tail = s[np.lexsort((s, levels[jaccard_join.buckets(s)]))][len(s) - rest[p] :]
+            assert tail[0] == feats[p] and jaccard_join.sketches_of([tail], np.array([64 * len(row)]))[0] == row.tobytes()
+            seen.append(p)
+    assert sorted(seen) == np.flatnonzero(mine).tolist()
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.85])
+def test_tails_lose_no_pair(threshold):
+    """Sets at the threshold meet at the first member that both hold; few unrelated ones do."""
+    rng = np.random.default_rng(int(100 * threshold))
+    levels, near, far = rng.integers(0, 4, jaccard_join.BUCKETS).astype(np.uint8), 0, []
+    for trial in range(300):
+        size, away = int(rng.integers(3, 600)), trial % 3 == 2
+        base = np.unique(rng.integers(0, 1 << 32, 2 * size, dtype=np.uint32))
+        share = 0.3 if away else rng.uniform(threshold, 1)
+        k = math.ceil(size * 2 * share / (1 + share))
+        a = base[rng.permutation(len(base))[:size]]
+        other = np.setdiff1d(base, a)
+        b = np.concatenate([rng.permutation(a)[:k], other[: size - k]])
+        both = len(np.intersect1d(a, b))
+        jac = both / (len(a) + len(b) - both)
+        feats, who, rest = jaccard_join.prefixes([a, b], threshold, levels)
+        drawn, common = {}, set(feats[who == 0].tolist()) & set(feats[who == 1].tolist())
+        for at, rows in jaccard_join.tails([a, b], feats, who, rest, np.ones(len(feats), bool), threshold):
+            drawn |= dict(zip(at.tolist(), rows))
+        met = False
+        for c in common:
+            x, y = (int(np.flatnonzero((who == w) & (feats == c))[0]) for w in (0, 1))
+            sk = [drawn[x], drawn[y]]
+            met |= jaccard_join.possible(np.concatenate(sk), np.array([len(v) for v in sk]), np.array([len(a), len(b)]), np.array([2]), threshold, rest[[x, y]], tail=True).tolist() == [0, 0]
+        if jac >= threshold:
+            near += 1
+            assert met
+        elif away and size > 100:
+            far.append(met)
+    assert near > 150 and (threshold < 0.7 or np.mean(far) < 0.05)
+
+
+@pytest.mark.parametrize("threshold, most", [(0.85, 28)])
+def test_signatures_carry_few_bytes(spark, monkeypatch, threshold, most):
+    """Sets of about 400 words sent 128 bytes with each signature when it had a sketch of the whole set."""
+    rng, sent, sorting = np.random.default_rng(5), [], jaccard_join.by_group
+
+    def by_group(rows, work, schema):
+        if "sketch" in rows.columns:
+            sent.append(rows.agg(F.sum(F.length("sketch")), F.count("*")).first())
+        return sorting(rows, work, schema)
+
+    monkeypatch.setattr(jaccard_join, "by_group", by_group)
+    rows = [(i, " ".join(f"w{k}" for k in rng.choice(2000, 400, replace=False))) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " more") for i in range(9)]
+    got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), threshold, 1)
+    assert sorted(tuple(r) for r in got.collect()) == brute_join(rows, threshold, 1)
+    assert sum(b for b, _ in sent) / sum(n for _, n in sent) < most
+
+
+def test_among(spark):
+    rows = spark.range(1000, numPartitions=7).select(F.monotonically_increasing_id().alias("cls"), F.col("id").alias("x")).localCheckpoint()
+    some = rows.filter("x % 3 = 0 and (x < 400 or x > 700)").select(F.col("cls").alias("member"))
+    assert sorted(r.x for r in jaccard_join.among(rows, some.union(some)).collect()) == [x for x in range(0, 1000, 3) if x < 400 or x > 700]
+    assert jaccard_join.among(rows, some.limit(0)).count() == 0
+
+
 def test_long_runs_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "RUN", 3)
     monkeypatch.setattr(jaccard_join, "PASS_BYTES", 100)
