@@ -331,7 +331,7 @@ def test_tails_lose_no_pair(threshold):
     assert near > 150 and (threshold < 0.7 or np.mean(far) < 0.05)
 
 
-@pytest.mark.parametrize("threshold, most", [(0.85, 28)])
+@pytest.mark.parametrize("threshold, most", [(0.7, 56), (0.85, 28)])
 def test_signatures_carry_few_bytes(spark, monkeypatch, threshold, most):
     """Sets of about 400 words sent 128 bytes with each signature when it had a sketch of the whole set."""
     rng, sent, sorting = np.random.default_rng(5), [], jaccard_join.by_group
